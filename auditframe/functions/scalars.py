@@ -14,22 +14,25 @@ from pyspark.sql import functions as F
 from auditframe import vocabulary as V
 
 # All white space a report may carry around a value, not only ASCII blanks.
-_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
-_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_HEX = r"^\s*0[xX][0-9a-fA-F]{1,13}\s*$"
+_SPACE = (
+    " \t\n\r\u000b\u000c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+_POSITIVE = r"^\s*\+?(?=[\d.]*[1-9])(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 
 def col_of(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def case_map(key: Column, mapping: Mapping[str, object], default: Column | None = None) -> Column:
-    """CASE over a small fixed mapping; null when nothing matches and no default is given."""
-    out = None
-    for name, value in mapping.items():
-        value = F.lit(value)
-        out = F.when(key == name, value) if out is None else out.when(key == name, value)
-    return out.otherwise(default) if default is not None else out
+def lookup(key, mapping: Mapping[str, object], default: object = None) -> Column:
+    """Value of a small fixed mapping. The key is evaluated once, unlike in a CASE."""
+    pairs = [F.lit(x) if not isinstance(x, Column) else x for pair in mapping.items() for x in pair]
+    found = F.try_element_at(F.create_map(*pairs), col_of(key))
+    if default is None:
+        return found
+    return F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
 
 
 def nonempty(c) -> Column:
@@ -44,7 +47,7 @@ def first_nonempty(*cols) -> Column:
 
 def strip(c) -> Column:
     """Trim every kind of white space (``trim`` removes blanks only)."""
-    return F.regexp_replace(col_of(c), f"^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(col_of(c), F.lit(_SPACE))
 
 
 def starts_with_any(c: Column, prefixes: Iterable[str]) -> Column:
@@ -85,26 +88,34 @@ def dirname(path) -> Column:
 
 def extension(path) -> Column:
     """Lower-cased extension of the file name; a name that only starts with a dot has none."""
-    return F.lower(F.regexp_extract(basename(path), r".(\.[^.]*)$", 1))
+    return F.lower(F.regexp_extract(col_of(path), r"[^/\\](\.[^./\\]*)$", 1))
+
+
+def any_literal(words: Iterable[str]) -> str:
+    """Alternation of words taken literally."""
+    special = "\\^$.|?*+()[]{}"
+    return "|".join("".join("\\" + c if c in special else c for c in w) for w in words)
 
 
 def has_segment(path, names: list[str]) -> Column:
-    return F.arrays_overlap(segments(path), F.array(*[F.lit(n) for n in names]))
+    """Some segment of the path, the file name included, is one of the names."""
+    return col_of(path).rlike(rf"(?:^|[/\\])(?:{any_literal(names)})(?:[/\\]|$)")
 
 
 def is_vendored(path) -> Column:
     return F.coalesce(has_segment(path, V.VENDORED_DIRS), F.lit(False))
 
 
+_DATA_FILE = rf"[^/\\](?:{any_literal(V.DATA_EXTENSIONS)})$"
+_TEST_FILE = rf"(?:^|[/\\])(?:{any_literal(V.TEST_DIRS)})(?:[/\\]|$)|{V.TEST_FILE_PATTERN}"
+
+
 def is_data_file(path) -> Column:
-    return F.coalesce(extension(path).isin(V.DATA_EXTENSIONS), F.lit(False))
+    return F.coalesce(F.lower(col_of(path)).rlike(_DATA_FILE), F.lit(False))
 
 
 def is_test_file(path) -> Column:
-    low = F.lower(col_of(path))
-    return F.coalesce(
-        has_segment(low, V.TEST_DIRS) | basename(low).rlike(V.TEST_FILE_PATTERN), F.lit(False)
-    )
+    return F.coalesce(F.lower(col_of(path)).rlike(_TEST_FILE), F.lit(False))
 
 
 def resolve_path(path: Column) -> Column:
@@ -134,42 +145,40 @@ def import_candidates(source, from_path) -> Column:
 # --- numbers ---------------------------------------------------------------
 
 
-def to_number(c) -> Column:
-    """Text to number: decimal, exponent or hex notation, blank is 0, anything else null."""
-    c = col_of(c).cast("string")
-    return (
-        F.when(c.rlike(_DECIMAL), c.try_cast("double"))
-        .when(c.rlike(_HEX), F.conv(F.trim(F.substring_index(F.lower(c), "x", -1)), 16, 10).try_cast("double"))
-        .when(strip(c) == "", F.lit(0.0))
-    )
-
-
 def coerce_line(c) -> Column:
-    n = to_number(c)
-    return F.when(n > 0, F.floor(n).try_cast("int"))
+    """Positive number in decimal or exponent notation, rounded down; anything else is null."""
+    text = F.regexp_extract(col_of(c).cast("string"), _POSITIVE, 0)
+    return F.floor(text.try_cast("double")).try_cast("int")
 
 
 def coerce_column(c) -> Column:
-    n = to_number(c)
-    return F.when(n >= 0, F.floor(n).try_cast("int"))
+    """Number from 0 up, rounded down; blank text is 0."""
+    text = col_of(c).cast("string")
+    number = F.regexp_extract(text, _NUMBER, 0).try_cast("double")
+    number = F.coalesce(number, F.when(strip(text) == "", F.lit(0.0)))
+    return F.when(~text.contains("-") | (number >= 0), F.floor(number).try_cast("int"))
 
 
 # --- enumerations ----------------------------------------------------------
 
 
+_SEVERITY_OF = {word: name for name, words in V.SEVERITY_ALIASES.items() for word in words}
+
+
+def _same(words: Iterable[str]) -> dict[str, str]:
+    return {w: w for w in words}
+
+
 def coerce_severity(c) -> Column:
-    low = F.lower(col_of(c))
-    return F.when(low.isin(V.SEVERITIES), low).otherwise(F.lit("medium"))
+    return lookup(F.lower(col_of(c)), _same(V.SEVERITIES), "medium")
 
 
 def coerce_confidence(c) -> Column:
-    low = F.lower(col_of(c))
-    return F.when(low.isin(V.CONFIDENCES), low).otherwise(F.lit("high"))
+    return lookup(F.lower(col_of(c)), _same(V.CONFIDENCES), "high")
 
 
 def coerce_category(c) -> Column:
-    c = col_of(c)
-    return F.when(c.isin(V.CATEGORIES), c).otherwise(F.lit("other"))
+    return lookup(c, _same(V.CATEGORIES), "other")
 
 
 def coerce_message(c) -> Column:
@@ -178,41 +187,23 @@ def coerce_message(c) -> Column:
 
 def normalize_severity(c, fallback: str | Column = "medium") -> Column:
     """Scanner spelling to the four-level scale; the fallback covers null and unknown words."""
-    word = F.lower(strip(c))
-    fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
-    out = None
-    for name, words in V.SEVERITY_ALIASES.items():
-        cond = word.isin(words)
-        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
-    return out.otherwise(fallback)
-
-
-def semgrep_severity(c) -> Column:
-    c = col_of(c)
-    return case_map(
-        F.upper(c), {"ERROR": "high", "WARNING": "medium", "INFO": "low"}, normalize_severity(c)
-    )
+    return lookup(F.lower(strip(c)), _SEVERITY_OF, fallback)
 
 
 def map_confidence(c, fallback: str) -> Column:
-    low = F.lower(col_of(c))
-    return F.when(low.isin(V.CONFIDENCES), low).otherwise(F.lit(fallback))
+    return lookup(F.lower(col_of(c)), _same(V.CONFIDENCES), fallback)
 
 
 def severity_ord(c) -> Column:
-    return case_map(col_of(c), V.SEVERITY_ORD, F.lit(0))
+    return lookup(c, V.SEVERITY_ORD, 0)
 
 
 def severity_name(ord_col) -> Column:
-    ord_col = col_of(ord_col)
-    out = None
-    for name, value in V.SEVERITY_ORD.items():
-        out = F.when(ord_col == value, F.lit(name)) if out is None else out.when(ord_col == value, F.lit(name))
-    return out
+    return lookup(ord_col, {n: name for name, n in V.SEVERITY_ORD.items()})
 
 
 def confidence_ord(c) -> Column:
-    return case_map(col_of(c), V.CONFIDENCE_ORD, F.lit(0))
+    return lookup(c, V.CONFIDENCE_ORD, 0)
 
 
 def meets_threshold(severity, threshold: str) -> Column:
@@ -221,39 +212,33 @@ def meets_threshold(severity, threshold: str) -> Column:
     return F.lit(False) if level is None else severity_ord(severity) >= level
 
 
-def infer_category(text, fallback: str = "other") -> Column:
-    low = F.lower(F.coalesce(col_of(text), F.lit("")))
+def infer_category(lowered, fallback: str = "other") -> Column:
+    """First category whose pattern occurs in the text.
+
+    The text must be lower-cased already, in a column of its own, so that it is
+    computed once and not once per pattern.
+    """
+    lowered = col_of(lowered)
     out = None
     for pattern, category in V.CATEGORY_PATTERNS:
-        cond = low.rlike(pattern)
+        cond = lowered.rlike(pattern)
         out = F.when(cond, F.lit(category)) if out is None else out.when(cond, F.lit(category))
     return out.otherwise(F.lit(fallback))
 
 
 def bandit_category(test_id) -> Column:
-    test_id = col_of(test_id)
-    out = None
-    for category, ids in V.BANDIT_CATEGORIES.items():
-        cond = test_id.isin(ids)
-        out = F.when(cond, F.lit(category)) if out is None else out.when(cond, F.lit(category))
-    return out
+    return lookup(test_id, {i: category for category, ids in V.BANDIT_CATEGORIES.items() for i in ids})
 
 
 def eslint_meta(rule_id) -> Column:
     """struct(category, severity, confidence) of an eslint rule."""
 
     def triple(values):
-        return F.struct(
-            F.lit(values[0]).alias("category"),
-            F.lit(values[1]).alias("severity"),
-            F.lit(values[2]).alias("confidence"),
-        )
+        names = ("category", "severity", "confidence")
+        return F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values)])
 
-    rule_id = col_of(rule_id)
-    out = None
-    for rule, values in V.ESLINT_RULES.items():
-        out = F.when(rule_id == rule, triple(values)) if out is None else out.when(rule_id == rule, triple(values))
-    return out.otherwise(triple(("other", "medium", "medium")))
+    table = {rule: triple(values) for rule, values in V.ESLINT_RULES.items()}
+    return lookup(rule_id, table, triple(("other", "medium", "medium")))
 
 
 def secret_severity(rule_id) -> Column:

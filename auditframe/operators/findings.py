@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
 
 FINDING = T.StructType(
@@ -42,18 +43,12 @@ def make_findings(df: DataFrame, keep: list[str] | None = None, **fields: Column
 
     def given(name: str) -> Column:
         value = fields.get(name)
-        return F.lit(None).cast("string") if value is None else S.col_of(value)
+        kind = "array<string>" if name in ("references", "agreed_tools") else "string"
+        return F.lit(None).cast(kind) if value is None else S.col_of(value)
 
-    def text_list(name: str) -> Column:
-        value = fields.get(name)
-        empty = F.lit(None).cast("array<string>")
-        if value is None:
-            return empty
-        value = S.col_of(value)
-        return F.when(F.size(value) > 0, value)
-
-    columns = {
-        "repo": given("repo"),
+    # First the plain values, then whatever refers to a value twice: the
+    # optimiser keeps the two steps apart, so nothing is computed twice.
+    plain = {
         "tool": F.coalesce(given("tool").cast("string"), F.lit("unknown")),
         "rule_id": F.coalesce(given("rule_id").cast("string"), F.lit("unknown")),
         "severity": S.coerce_severity(given("severity")),
@@ -62,16 +57,22 @@ def make_findings(df: DataFrame, keep: list[str] | None = None, **fields: Column
         "line": S.coerce_line(given("line")),
         "end_line": S.coerce_line(given("end_line")),
         "column": S.coerce_column(given("column")),
-        "message": S.coerce_message(given("message")),
+        "message": S.strip(given("message").cast("string")),
         "confidence": S.coerce_confidence(given("confidence")),
         "ai_relevant": F.coalesce(given("ai_relevant").cast("boolean"), F.lit(False)),
-        "remediation": S.nonempty(given("remediation")),
-        "references": text_list("references"),
-        "tool_version": S.nonempty(given("tool_version")),
-        "raw": given("raw"),
-        "agreed_tools": text_list("agreed_tools"),
+        "agreed_tools": F.array_distinct(given("agreed_tools")),
     }
-    return df.select(*(keep or []), *[columns[c].alias(c) for c in COLUMNS])
+    first = df.select(*(keep or []), *[plain.get(c, given(c)).alias(c) for c in COLUMNS])
+
+    def filled(name: str) -> Column:
+        c = F.col(name)
+        if fields.get(name) is None:
+            return c
+        return F.when(F.size(c) > 0, c) if name in ("references", "agreed_tools") else S.nonempty(c)
+
+    refined = {c: filled(c).alias(c) for c in ("remediation", "references", "tool_version", "agreed_tools")}
+    refined["message"] = F.coalesce(S.nonempty("message"), F.lit(V.EMPTY_MESSAGE)).alias("message")
+    return first.select(*(keep or []), *[refined.get(c, F.col(c)) for c in COLUMNS])
 
 
 def concat_findings(*parts: DataFrame) -> DataFrame:

@@ -123,11 +123,11 @@ def node_constraint(listing: DataFrame) -> DataFrame:
     first_line = S.nonempty(S.strip(F.substring_index(S.strip("content"), "\n", 1)))
     engine = S.nonempty(F.get_json_object("content", "$.engines.node"))
     value = F.when(F.col("path") == "package.json", engine).otherwise(first_line)
-    rank = S.case_map(F.col("path"), {".nvmrc": 0, ".node-version": 1, "package.json": 2})
+    rank = S.lookup(F.col("path"), {".nvmrc": 0, ".node-version": 1, "package.json": 2})
     rows = root.select("repo", rank.alias("rank"), value.alias("value")).filter(F.col("value").isNotNull())
     best = rows.groupBy("repo").agg(F.min(F.struct("rank", "value")).alias("b"))
     names = {0: ".nvmrc", 1: ".node-version", 2: "package.json engines.node"}
-    return best.select("repo", S.case_map(F.col("b.rank"), names).alias("source"), F.col("b.value").alias("value"))
+    return best.select("repo", S.lookup(F.col("b.rank"), names).alias("source"), F.col("b.value").alias("value"))
 
 
 def applicable_checks(profile: DataFrame) -> DataFrame:

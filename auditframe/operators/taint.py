@@ -187,12 +187,6 @@ def default_taint() -> dict[str, list[str]]:
     return {key: values for (scope, key), values in V.DEFAULT_CONFIG.items() if scope == "taint"}
 
 
-def _literal(words: list[str]) -> str:
-    """Alternation of words taken literally."""
-    special = "\\^$.|?*+()[]{}"
-    return "|".join("".join("\\" + c if c in special else c for c in w) for w in words)
-
-
 def _without_strings(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r'"[^"]*+"', '""'), r"'[^']*+'", "''")
 
@@ -309,7 +303,7 @@ def _calls(text: Column) -> Column:
 
 def _facts(s: Column, config: dict[str, list[str]]) -> Column:
     """Everything about a statement that does not depend on what is tainted."""
-    source = rf"(?:^|[^.\w$])(?:{_literal(config['sources'])})(?![\w$])"
+    source = rf"(?:^|[^.\w$])(?:{S.any_literal(config['sources'])})(?![\w$])"
     sink_last = sorted({x.rsplit(".", 1)[-1] for x in config["sinks"]})
     clean_last = sorted({x.rsplit(".", 1)[-1] for x in config["sanitizers"]})
     text = _without_strings(s["text"])

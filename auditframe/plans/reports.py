@@ -114,8 +114,8 @@ def sarif_documents(findings: DataFrame, part_rows: int = PART_ROWS) -> DataFram
     parts = _part_rows(findings, part_rows).withColumn(
         "ids", F.array_distinct(F.transform("rows", lambda r: r["f"]["rule_id"]))
     )
-    level = lambda f: S.case_map(f["severity"], V.SARIF_LEVEL, F.lit("warning"))
-    score = lambda f: S.case_map(f["severity"], V.SARIF_SCORE, F.lit("5.0"))
+    level = lambda f: S.lookup(f["severity"], V.SARIF_LEVEL, "warning")
+    score = lambda f: S.lookup(f["severity"], V.SARIF_SCORE, "5.0")
 
     def rule(rule_id: Column) -> Column:
         f = F.filter("rows", lambda r: r["f"]["rule_id"] == rule_id)[0]["f"]

@@ -72,8 +72,8 @@ FROM (SELECT doc_id, lower(concat({_PHRASE_SQL}, ' ', text)) AS t FROM documents
 )
 def infer_category(spark, sf_dir):
     docs = IN.load(spark, sf_dir, "documents")
-    text = F.concat(F.expr(_PHRASE_SQL), F.lit(" "), F.col("text"))
-    return docs.select("doc_id", S.infer_category(text).alias("category"))
+    text = F.lower(F.concat(F.expr(_PHRASE_SQL), F.lit(" "), F.col("text")))
+    return docs.select("doc_id", text.alias("lowered")).select("doc_id", S.infer_category("lowered").alias("category"))
 
 
 _REDACT = "CASE WHEN length({c}) = 0 THEN '[redacted]' WHEN length({c}) <= 6 THEN '******' ELSE concat(left({c}, 3), '…[redacted, ', length({c}), ' chars]') END"

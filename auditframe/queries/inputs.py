@@ -178,11 +178,26 @@ def checking_sql(name: str) -> str:
     return re.sub(r"@@(\w+)", r"\1", expand(_NAMED[name]))
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, read straight from its files.
+
+    A table of fewer splits than the session has cores is one small file; its
+    rows are dealt out first. With more splits the scan stays as it is.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input as a DataFrame; given tables are read straight from their files."""
+    """An input as a DataFrame."""
     if name not in _NAMED:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(re.sub(r"@@(\w+)", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", expand(_NAMED[name])))
+        return _table(spark, sf_dir, name)
+    sql = expand(_NAMED[name])
+    used = {t: _table(spark, sf_dir, t) for t in set(re.findall(r"@@(\w+)", sql))}
+    for table, df in used.items():
+        df.createOrReplaceTempView(f"given_{table}")
+    return spark.sql(re.sub(r"@@(\w+)", r"given_\1", sql))
 
 
 def findings(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:

@@ -21,14 +21,13 @@ def listed(
     name_pattern: str | None = None,
 ) -> Column:
     """Predicate: the file would be listed by a tree walk with these options."""
-    parts = S.segments(path)
-    dirs = F.slice(parts, 1, F.size(parts) - 1)
+    # Only folders count here: a name is followed by a separator.
     names = V.UNLISTED_DIRS + list(ignored_dirs or [])
-    keep = ~F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in names]))
+    keep = ~S.col_of(path).rlike(rf"(?:^|[/\\])(?:{S.any_literal(names)})[/\\]")
     if extensions is not None:
         keep = keep & S.extension(path).isin([e.lower() for e in extensions])
     if max_depth is not None:
-        keep = keep & (F.size(parts) - 1 <= max_depth)
+        keep = keep & (F.size(S.segments(path)) - 1 <= max_depth)
     if name_pattern is not None:
         keep = keep & S.basename(path).rlike(name_pattern)
     return keep

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import scalars as S
 from auditframe.operators.findings import concat_findings, make_findings
-from auditframe.sources.files import json_lines, listed
+from auditframe.sources.files import lines, listed
 
 ROTATE = "Revoke and replace this credential, then delete it from the files and the history; load it from a secret store."
 
@@ -63,7 +63,12 @@ def read_semgrep(reports: DataFrame, tag: str = "af") -> DataFrame:
         f" extra: struct<message: string, severity: string, fix: string, metadata: {meta}>>>"
     )
     rows = _items(_parsed(reports, "semgrep", schema), "doc.results").withColumns(
-        {"extra": F.col("item.extra"), "meta": F.col("item.extra.metadata"), "rule": F.col("item.check_id")}
+        {
+            "extra": F.col("item.extra"),
+            "meta": F.col("item.extra.metadata"),
+            "rule": F.col("item.check_id"),
+            "hint": F.lower(F.concat_ws(" ", "item.check_id", "item.extra.message")),
+        }
     )
 
     def m(name: str) -> Column:
@@ -83,11 +88,11 @@ def read_semgrep(reports: DataFrame, tag: str = "af") -> DataFrame:
         rule_id=F.coalesce(S.nonempty("rule"), F.lit("semgrep")),
         severity=F.when(
             S.nonempty(m(f"{tag}-severity")).isNotNull(), S.normalize_severity(m(f"{tag}-severity"))
-        ).otherwise(S.semgrep_severity(F.col("extra.severity"))),
+        ).otherwise(S.normalize_severity("extra.severity")),
         category=F.coalesce(
             valid(S.first_nonempty(m(f"{tag}-category"), m(f"{tag}_category"))),
             valid(m("category")),
-            S.infer_category(F.concat_ws(" ", F.col("rule"), message)),
+            S.infer_category("hint"),
         ),
         file="item.path",
         line="item.start.line",
@@ -145,6 +150,7 @@ def read_bandit(reports: DataFrame) -> DataFrame:
         " issue_cwe: struct<link: string>>>"
     )
     rows = _items(_parsed(reports, "bandit", schema), "doc.results")
+    rows = rows.withColumn("hint", F.lower(F.concat_ws(" ", "item.test_name", "item.issue_text")))
     test_id, name = S.nonempty("item.test_id"), S.nonempty("item.test_name")
     return make_findings(
         rows,
@@ -156,7 +162,7 @@ def read_bandit(reports: DataFrame) -> DataFrame:
         severity=S.normalize_severity("item.issue_severity"),
         category=F.coalesce(
             S.bandit_category("item.test_id"),
-            S.infer_category(F.concat_ws(" ", F.col("item.test_name"), F.col("item.issue_text"))),
+            S.infer_category("hint"),
         ),
         file="item.filename",
         line="item.line_number",
@@ -207,9 +213,11 @@ def read_trufflehog(reports: DataFrame) -> DataFrame:
         "DetectorName string, DetectorType string, Verified string, Raw string, RawV2 string, Redacted string,"
         f" SourceMetadata struct<Data: struct<Filesystem: {source}, Git: {source}, Directory: {source}>>"
     )
-    recs = json_lines(reports.filter(F.col("tool") == "trufflehog"), ["repo"]).withColumn(
-        "rec", F.from_json("record", schema)
-    )
+    # Broken lines parse to nothing but nulls and leave with the other lines
+    # that name neither detector nor source. Exploding keeps the parse in one place.
+    texts = lines(reports.filter((F.col("tool") == "trufflehog") & (F.col("payload") != "")), ["repo"], "payload")
+    texts = texts.filter(F.col("text").contains("{"))
+    recs = texts.select("repo", F.explode(F.array(F.from_json(S.strip("text"), schema))).alias("rec"))
     recs = recs.filter(S.nonempty("rec.DetectorName").isNotNull() | F.col("rec.SourceMetadata").isNotNull())
     data = F.col("rec.SourceMetadata.Data")
     recs = recs.withColumn("src", F.coalesce(data["Filesystem"], data["Git"], data["Directory"]))
@@ -543,7 +551,7 @@ def analyzer_status(reports: DataFrame, findings: DataFrame) -> DataFrame:
     runs = (
         report_status(reports)
         .groupBy("repo", "tool")
-        .agg(F.max(F.struct(S.case_map(F.col("status"), worst).alias("o"), F.col("status"), F.col("reason"))).alias("w"),
+        .agg(F.max(F.struct(S.lookup(F.col("status"), worst).alias("o"), F.col("status"), F.col("reason"))).alias("w"),
              F.count("*").alias("reports"))
         .select("repo", "tool", F.col("w.status").alias("status"), F.col("w.reason").alias("reason"), "reports")
     )
