@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
-from auditframe.operators.findings import make_findings
+from auditframe.operators.findings import concat_findings, make_findings
 from auditframe.operators.joins import salted_join
 from auditframe.operators.rules import COMMENT_LINE
-from auditframe.sources.files import LINE_BREAK, lines, listed
+from auditframe.session import durable
+from auditframe.sources.files import LINE_BREAK, listed
 
 # Patterns of the route recipe.
 JS_ROUTE = r"""\.(get|post|put|delete|patch|all|head|options)\(\s*['"]([^'"]*)['"]\s*(?:,\s*(.*))?$"""
@@ -36,32 +37,35 @@ def _guard_names(rest: Column) -> Column:
     return F.filter(names, lambda n: n.rlike(r"^[A-Za-z_$][\w$]*$"))
 
 
-def js_routes(files: DataFrame) -> DataFrame:
-    """(repo, file, line, framework, method, route, guards) of JS/TS files."""
-    js = files.filter(listed(extensions=V.JS_EXTENSIONS)).filter(F.col("content").rlike(
-        r"""\.(?:get|post|put|delete|patch|all|head|options)\(\s*['"]"""
-    ))
-    text = F.col("text")
-    rows = lines(js).filter(text.rlike(JS_ROUTE) & ~text.rlike(COMMENT_LINE))
-    return rows.select(
-        "repo",
-        F.col("path").alias("file"),
-        "line",
-        F.lit("express").alias("framework"),
-        F.upper(F.regexp_extract("text", JS_ROUTE, 1)).alias("method"),
-        F.regexp_extract("text", JS_ROUTE, 2).alias("route"),
-        _guard_names(F.regexp_extract("text", JS_ROUTE, 3)).alias("guards"),
+def _js_lines(content: Column) -> Column:
+    """array<struct<text, line>> of the lines that may hold a route or a ``use``."""
+    numbered = F.transform(
+        F.split(content, LINE_BREAK, -1), lambda t, i: F.struct(t.alias("text"), (i + 1).cast("int").alias("line"))
+    )
+    return F.filter(
+        numbered,
+        lambda x: (x["text"].contains(".use(") | x["text"].rlike(JS_ROUTE)) & ~x["text"].rlike(COMMENT_LINE),
     )
 
 
-def global_guards(files: DataFrame) -> DataFrame:
-    """Distinct (repo, guard) applied with ``use``."""
-    js = files.filter(listed(extensions=V.JS_EXTENSIONS) & F.col("content").contains(".use("))
-    text = F.col("text")
-    rows = lines(js).filter(text.contains(".use(") & ~text.rlike(COMMENT_LINE))
-    return rows.select(
-        "repo", F.explode(_guard_names(F.regexp_extract("text", JS_USE, 1))).alias("guard")
-    ).distinct()
+def _js_routes(kept: Column) -> Column:
+    return F.transform(
+        F.filter(kept, lambda x: x["text"].rlike(JS_ROUTE)),
+        lambda x: F.struct(
+            F.lit("express").alias("framework"),
+            F.upper(F.regexp_extract(x["text"], JS_ROUTE, 1)).alias("method"),
+            F.regexp_extract(x["text"], JS_ROUTE, 2).alias("path"),
+            x["line"].alias("line"),
+            _guard_names(F.regexp_extract(x["text"], JS_ROUTE, 3)).alias("guards"),
+        ),
+    )
+
+
+def _js_guards(kept: Column) -> Column:
+    used = F.filter(kept, lambda x: x["text"].contains(".use("))
+    return F.array_distinct(
+        F.flatten(F.transform(used, lambda x: _guard_names(F.regexp_extract(x["text"], JS_USE, 1))))
+    )
 
 
 def _decorated(content: Column) -> Column:
@@ -119,21 +123,53 @@ def _decorated(content: Column) -> Column:
     return F.aggregate(numbered, start, step)["found"]
 
 
-def py_routes(files: DataFrame) -> DataFrame:
-    """(repo, file, line, framework, method, route, guards) of Python files."""
-    py = files.filter(listed(extensions=V.PY_EXTENSIONS) & F.col("content").rlike(PY_DECORATED_ROUTE))
-    return py.select("repo", F.col("path").alias("file"), F.inline(_decorated(F.col("content")))).select(
+def route_facts(files: DataFrame) -> DataFrame:
+    """One small row per analysed file: routes, global guards and signals.
+
+    Source text is read once and does not go any further; routes, flags and
+    all three checks are derived from these rows.
+    """
+    content, is_py = F.col("content"), F.col("is_py")
+    rows = files.filter(listed(extensions=V.JS_EXTENSIONS + V.PY_EXTENSIONS)).withColumn(
+        "is_py", S.extension("path").isin(V.PY_EXTENSIONS)
+    )
+    no_lines = F.array().cast("array<struct<text:string,line:int>>")
+    rows = rows.withColumn(
+        "js_lines",
+        F.when(~is_py & content.rlike(r"\.(?:use|get|post|put|delete|patch|all|head|options)\("), _js_lines(content)).otherwise(no_lines),
+    )
+    py = F.when(content.rlike(PY_DECORATED_ROUTE), _decorated(content)).otherwise(F.array().cast(_ROUTE_TYPE))
+    return rows.select(
+        "repo",
+        F.col("path").alias("file"),
+        F.when(is_py, py).otherwise(_js_routes(F.col("js_lines"))).alias("routes"),
+        F.when(is_py, F.array().cast("array<string>")).otherwise(_js_guards(F.col("js_lines"))).alias("use_guards"),
+        *_signals(),
+    )
+
+
+def routes(facts: DataFrame) -> DataFrame:
+    """(repo, file, line, framework, method, route, guards)."""
+    return facts.select("repo", "file", F.inline("routes")).select(
         "repo", "file", "line", "framework", "method", F.col("path").alias("route"), "guards"
     )
 
 
-def routes(files: DataFrame) -> DataFrame:
-    return js_routes(files).unionByName(py_routes(files))
+def js_routes(facts: DataFrame) -> DataFrame:
+    return routes(facts).filter(F.col("framework") == "express")
 
 
-def file_signals(files: DataFrame) -> DataFrame:
-    """Per analysed file: helmet, csp, hsts, rate_limit, web_import."""
-    ext = S.extension("path")
+def py_routes(facts: DataFrame) -> DataFrame:
+    return routes(facts).filter(F.col("framework") == "flask")
+
+
+def global_guards(facts: DataFrame) -> DataFrame:
+    """Distinct (repo, guard) applied with ``use``."""
+    return facts.select("repo", F.explode("use_guards").alias("guard")).distinct()
+
+
+def _signals() -> list[Column]:
+    """helmet, csp, hsts, rate_limit, web_import of one file; needs ``content`` and ``is_py``."""
     content = F.col("content")
     code = F.regexp_replace(content, r"(?m)^[ \t]*//[^\n]*$", "")
     modules = F.concat(
@@ -156,10 +192,7 @@ def file_signals(files: DataFrame) -> DataFrame:
 
     headers_library = content.rlike(r"(?i)talisman|secure\b")
     is_py = F.col("is_py")
-    rows = files.filter(listed(extensions=V.JS_EXTENSIONS + V.PY_EXTENSIONS)).withColumn("is_py", ext == ".py")
-    return rows.select(
-        "repo",
-        "path",
+    return [
         F.when(is_py, headers_library)
         .otherwise(code.rlike(r"\bhelmet\s*\(|\.use\([^\n]*\bhelmet\b") | any_module(modules, "^helmet$"))
         .alias("helmet"),
@@ -175,7 +208,12 @@ def file_signals(files: DataFrame) -> DataFrame:
         F.when(is_py, any_module(py_modules, WEB_FRAMEWORK))
         .otherwise(any_module(modules, WEB_FRAMEWORK))
         .alias("web_import"),
-    )
+    ]
+
+
+def file_signals(facts: DataFrame) -> DataFrame:
+    """Per analysed file: helmet, csp, hsts, rate_limit, web_import."""
+    return facts.select("repo", F.col("file").alias("path"), "helmet", "csp", "hsts", "rate_limit", "web_import")
 
 
 def is_auth_guard(name: Column, names: list[str]) -> Column:
@@ -194,45 +232,26 @@ def is_sensitive(route: Column, method: Column, keywords: list[str]) -> Column:
     )
 
 
-def project_flags(files: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
+def project_flags(facts: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per repository: what any of its files, routes or global guards shows.
 
-    Three sources are reduced to booleans in one grouping, so the exchange
-    carries a few bytes per task and repository.
+    Booleans are formed per file, so the exchange carries a few bytes per task
+    and repository.
     """
     cfg = checks or default_checks()
     auth, limit = cfg["authMiddlewareNames"], cfg["rateLimitMiddlewareNames"]
-    no = F.lit(False)
-    names = ["helmet", "csp", "hsts", "rate_limit", "web_app", "global_auth"]
-
-    def flags(df: DataFrame, file: Column | None = None, **given: Column) -> DataFrame:
-        return df.select(
-            "repo",
-            *[given.get(n, no).alias(n) for n in names],
-            (F.lit(None).cast("string") if file is None else file).alias("route_file"),
-        )
-
-    signals = file_signals(files)
-    parts = flags(
-        signals,
-        helmet=F.col("helmet"), csp=F.col("csp"), hsts=F.col("hsts"),
-        rate_limit=F.col("rate_limit"), web_app=F.col("web_import"),
-    )
-    parts = parts.unionByName(
-        flags(
-            routes(files), F.col("file"), web_app=F.lit(True),
-            rate_limit=F.exists("guards", lambda g: is_limiter(g, limit)),
-        )
-    )
-    guard = F.col("guard")
-    parts = parts.unionByName(
-        flags(
-            global_guards(files), rate_limit=is_limiter(guard, limit),
-            global_auth=is_auth_guard(guard, auth), helmet=guard == "helmet",
-        )
+    limited = F.exists("use_guards", lambda g: is_limiter(g, limit)) | F.exists(
+        "routes", lambda r: F.exists(r["guards"], lambda g: is_limiter(g, limit))
     )
-    return parts.groupBy("repo").agg(
-        *[F.bool_or(n).alias(n) for n in names], F.min("route_file").alias("first_route_file")
+    routed = F.size("routes") > 0
+    return facts.groupBy("repo").agg(
+        F.bool_or(F.col("helmet") | F.array_contains("use_guards", "helmet")).alias("helmet"),
+        F.bool_or("csp").alias("csp"),
+        F.bool_or("hsts").alias("hsts"),
+        F.bool_or(F.col("rate_limit") | limited).alias("rate_limit"),
+        F.bool_or(F.col("web_import") | routed).alias("web_app"),
+        F.bool_or(F.exists("use_guards", lambda g: is_auth_guard(g, auth))).alias("global_auth"),
+        F.min(F.when(routed, F.col("file"))).alias("first_route_file"),
     )
 
 
@@ -240,16 +259,16 @@ def default_checks() -> dict[str, list[str]]:
     return {key: values for (scope, key), values in V.DEFAULT_CONFIG.items() if scope == "checkers"}
 
 
-def missing_auth(files: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
+def missing_auth(facts: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
     """Sensitive routes without an auth guard, unless one covers the whole repository."""
     cfg = checks or default_checks()
     names = cfg["authMiddlewareNames"]
-    open_routes = routes(files).filter(
+    open_routes = routes(facts).filter(
         is_sensitive(F.col("route"), F.col("method"), cfg["sensitivePathKeywords"])
         & ~F.exists("guards", lambda g: is_auth_guard(g, names))
     )
     covered = (
-        global_guards(files).filter(is_auth_guard(F.col("guard"), names)).select("repo").distinct()
+        global_guards(facts).filter(is_auth_guard(F.col("guard"), names)).select("repo").distinct()
     )
     left = salted_join(open_routes, covered, ["repo"], ["file", "line"], "left_anti")
     return make_findings(
@@ -272,13 +291,13 @@ def missing_auth(files: DataFrame, checks: dict[str, list[str]] | None = None) -
     )
 
 
-def missing_rate_limit(files: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
+def missing_rate_limit(facts: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
     """Login-like routes of repositories in which no limiter appears anywhere."""
     cfg = checks or default_checks()
-    hit = routes(files).filter(
+    hit = routes(facts).filter(
         S.contains_any(F.lower("route"), [p.lower() for p in cfg["sensitiveRoutePatterns"]])
     )
-    limited = project_flags(files, cfg).filter("rate_limit").select("repo")
+    limited = project_flags(facts, cfg).filter("rate_limit").select("repo")
     left = salted_join(hit, limited, ["repo"], ["file", "line"], "left_anti")
     return make_findings(
         left,
@@ -300,9 +319,9 @@ def missing_rate_limit(files: DataFrame, checks: dict[str, list[str]] | None = N
     )
 
 
-def missing_headers(files: DataFrame) -> DataFrame:
+def missing_headers(facts: DataFrame) -> DataFrame:
     """One finding per web app without a headers library and without both key headers."""
-    flags = project_flags(files).filter(
+    flags = project_flags(facts).filter(
         F.col("web_app") & ~F.col("helmet") & ~(F.col("csp") & F.col("hsts"))
     )
     missing = F.array_join(
@@ -328,3 +347,9 @@ def missing_headers(files: DataFrame) -> DataFrame:
         remediation=F.lit("Add helmet, flask-talisman or the like and set both headers; ignore this if a proxy sets them."),
         references=F.array(F.lit("https://owasp.org/www-project-secure-headers/")),
     )
+
+
+def check_findings(files: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
+    """Findings of the three route checks; the files are read once."""
+    facts = durable(route_facts(files))
+    return concat_findings(missing_auth(facts, checks), missing_rate_limit(facts, checks), missing_headers(facts))

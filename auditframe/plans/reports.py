@@ -9,6 +9,7 @@ text come as ordered lines, written with a range-partitioned sort.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditframe import vocabulary as V
@@ -181,12 +182,14 @@ def sarif_documents(findings: DataFrame, part_rows: int = PART_ROWS) -> DataFram
     return parts.select("repo", "part", document.alias("document"))
 
 
-def rule_first_use(findings: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(repo, part, rule_id, rule_index): the rule numbering of :func:`sarif_documents`."""
-    return _part_rows(findings, part_rows).select(
-        "repo", "part",
-        F.posexplode(F.array_distinct(F.transform("rows", lambda r: r["f"]["rule_id"]))).alias("rule_index", "rule_id"),
-    )
+def rule_first_use(findings: DataFrame) -> DataFrame:
+    """(repo, rule_id, rule_index): rules of a repository numbered by first use in report order.
+
+    Findings are reduced to one row per rule before they are ranked.
+    """
+    firsts = findings.groupBy("repo", "rule_id").agg(F.min(F.struct(*_order_struct())).alias("first"))
+    order = W.partitionBy("repo").orderBy("first")
+    return firsts.select("repo", "rule_id", (F.row_number().over(order) - 1).alias("rule_index"))
 
 
 # --- lines -----------------------------------------------------------------
@@ -284,9 +287,11 @@ def markdown_lines(findings: DataFrame, run_verdicts: DataFrame, statuses: DataF
         F.lit(""),
     )
     parts.append(_lines(groups, opening, section=F.lit(2), group="g", step=F.lit(0)))
-    fix = F.concat(F.lit("  - _fix:_ "), S.markdown_escape("remediation")) if "remediation" in findings.columns else F.lit(None)
-    texts = F.array_compact(F.array(markdown_finding(), F.when(S.nonempty("remediation").isNotNull(), fix))) if "remediation" in findings.columns else F.array(markdown_finding())
-    parts.append(_finding_lines(findings, texts))
+    bullets = [markdown_finding()]
+    if "remediation" in findings.columns:
+        fix = F.concat(F.lit("  - _fix:_ "), S.markdown_escape("remediation"))
+        bullets.append(F.when(S.nonempty("remediation").isNotNull(), fix))
+    parts.append(_finding_lines(findings, F.array_compact(F.array(*bullets))))
     parts.append(_lines(groups, F.array(F.lit(""), F.lit("</details>")), section=F.lit(2), group="g", step=F.lit(2)))
     if statuses is not None:
         table = F.array(F.lit("### Analyzers"), F.lit("| Analyzer | Status | Findings | Notes |"), F.lit("| --- | --- | --- | --- |"))

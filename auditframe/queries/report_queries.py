@@ -17,7 +17,7 @@ from auditframe.plans import scan as C
 from auditframe.queries import inputs as IN
 from auditframe.queries.finding_queries import _CHAIN, _CHAIN_USES, _COUNTS, _PRINT, _SHOWN, _chain
 from auditframe.queries.registry import _CONF, _SEV, query
-from auditframe.session import shared_dir
+from auditframe.session import durable, shared_dir
 from auditframe.streaming import jobs as J
 
 # --- reports ---------------------------------------------------------------
@@ -65,8 +65,8 @@ SELECT repo, rule_id, CAST(row_number() OVER (PARTITION BY repo ORDER BY pos) -
     _CHAIN_USES,
 )
 def sarif_rules(spark, sf_dir):
-    """Rule numbering in order of first use, as in documents of one part per repository."""
-    return R.rule_first_use(C.reported(_chain(spark, sf_dir)), part_rows=1 << 30).select("repo", "rule_id", "rule_index")
+    """Rule numbering of a repository in order of first use."""
+    return R.rule_first_use(C.reported(_chain(spark, sf_dir)))
 
 
 @query(
@@ -77,7 +77,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS pos F
 )
 def json_report(spark, sf_dir):
     """JSON documents parsed back: totals, verdict and the worst finding over all parts."""
-    rows = _chain(spark, sf_dir)
+    rows = durable(_chain(spark, sf_dir))
     documents = R.json_reports(C.reported(rows), C.verdicts(rows, "high"), fail_on="high")
     finding = "struct<severity: string, confidence: string, file: string, line: int, rule_id: string, category: string, tool: string, message: string, ai_relevant: boolean>"
     schema = f"failed boolean, findings array<{finding}>"
@@ -111,7 +111,7 @@ _LEVELS = f"levels AS (SELECT repo, severity, {_SEV} AS o, count(*) AS n FROM sh
 
 
 def _with_dropped(spark, sf_dir):
-    rows = _chain(spark, sf_dir)
+    rows = durable(_chain(spark, sf_dir))
     return C.reported(rows), C.verdicts(rows, "high")
 
 

@@ -9,6 +9,7 @@ from auditframe.operators import rules as R
 from auditframe.operators import taint as X
 from auditframe.queries import inputs as IN
 from auditframe.queries.registry import query
+from auditframe.session import durable
 
 # Lines of the code files, numbered from 1, for the checking SQL.
 _CODE_LINES = """code_lines AS (SELECT repo, path, unnest(string_split(content, chr(10))) AS t,
@@ -129,6 +130,12 @@ def secret_scan_code(spark, sf_dir):
 
 # --- routes ----------------------------------------------------------------
 
+
+def _facts(spark, sf_dir):
+    return durable(T.route_facts(IN.code_files(spark, sf_dir)))
+
+
+
 _ROUTE_RE = _quote(T.JS_ROUTE)
 _USE_RE = _quote(T.JS_USE)
 
@@ -153,12 +160,12 @@ global_guards AS (SELECT DISTINCT repo, unnest({_guards_sql(f"regexp_extract(t,
     ["code_files"],
 )
 def routes_js(spark, sf_dir):
-    return T.js_routes(IN.code_files(spark, sf_dir)).withColumn("guards", F.array_join("guards", ","))
+    return T.js_routes(T.route_facts(IN.code_files(spark, sf_dir))).withColumn("guards", F.array_join("guards", ","))
 
 
 @query(f"WITH {_JS_ROUTES} SELECT repo, guard FROM global_guards", ["code_files"])
 def guards_global(spark, sf_dir):
-    return T.global_guards(IN.code_files(spark, sf_dir))
+    return T.global_guards(T.route_facts(IN.code_files(spark, sf_dir)))
 
 
 # Gaps and islands: a line that is neither decorator, blank nor comment ends a run.
@@ -181,7 +188,7 @@ py_routes AS (SELECT f.repo, f.path AS file, f.line, 'flask' AS framework,
     ["code_files"],
 )
 def routes_py(spark, sf_dir):
-    return T.py_routes(IN.code_files(spark, sf_dir)).withColumn("guards", F.array_join("guards", ","))
+    return T.py_routes(T.route_facts(IN.code_files(spark, sf_dir))).withColumn("guards", F.array_join("guards", ","))
 
 
 # Line-wise signals, or-ed per file.
@@ -201,7 +208,7 @@ signals AS (SELECT repo, path,
 
 @query(f"WITH {_CODE_LINES}, {_SIGNALS} SELECT * FROM signals", ["code_files"])
 def file_signals(spark, sf_dir):
-    return T.file_signals(IN.code_files(spark, sf_dir))
+    return T.file_signals(T.route_facts(IN.code_files(spark, sf_dir)))
 
 
 _CFG = T.default_checks()
@@ -229,7 +236,7 @@ project AS (SELECT s.repo, s.helmet OR coalesce(g.helmet, false) AS helmet, csp,
 
 @query(f"WITH {_PROJECT} SELECT * FROM project", ["code_files"])
 def project_flags(spark, sf_dir):
-    return T.project_flags(IN.code_files(spark, sf_dir))
+    return T.project_flags(T.route_facts(IN.code_files(spark, sf_dir)))
 
 
 _FINDING = ["repo", "tool", "rule_id", "severity", "category", "file", "line", "message", "confidence"]
@@ -244,7 +251,7 @@ WHERE NOT global_auth AND len([g FOR g IN guards IF {_AUTH}]) = 0
     ["code_files"],
 )
 def missing_auth(spark, sf_dir):
-    return T.missing_auth(IN.code_files(spark, sf_dir)).select(*_FINDING)
+    return T.missing_auth(_facts(spark, sf_dir)).select(*_FINDING)
 
 
 @query(
@@ -254,7 +261,7 @@ FROM all_routes r JOIN project p USING (repo) WHERE NOT rate_limit AND {_in_any(
     ["code_files"],
 )
 def missing_rate_limit(spark, sf_dir):
-    return T.missing_rate_limit(IN.code_files(spark, sf_dir)).select(*_FINDING)
+    return T.missing_rate_limit(_facts(spark, sf_dir)).select(*_FINDING)
 
 
 @query(
@@ -265,7 +272,7 @@ FROM project WHERE web_app AND NOT helmet AND NOT (csp AND hsts)""",
     ["code_files"],
 )
 def missing_headers(spark, sf_dir):
-    return T.missing_headers(IN.code_files(spark, sf_dir)).select(*_FINDING)
+    return T.missing_headers(_facts(spark, sf_dir)).select(*_FINDING)
 
 
 # --- taint -----------------------------------------------------------------
