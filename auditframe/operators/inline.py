@@ -41,16 +41,14 @@ def directive_entries(content: str | Column = "content") -> Column:
 
 def file_directives(files: DataFrame) -> DataFrame:
     """Files that carry directives, one row each; built inside the row, without a shuffle."""
-    return (
-        files.filter(F.col("content").contains(V.DIRECTIVE))
-        .select("repo", "path", directive_entries().alias("directives"))
-        .filter(F.size("directives") > 0)
+    return files.filter(F.col("content").contains(V.DIRECTIVE)).select(
+        "repo", "path", directive_entries().alias("directives")
     )
 
 
 def merged_directives(files: DataFrame) -> DataFrame:
     """Directives per file and line: ids united, null (= all) absorbs every id."""
-    rows = file_directives(files).select("repo", "path", F.inline("directives"))
+    rows = file_directives(files).select("repo", "path", F.inline_outer("directives")).filter(F.col("line").isNotNull())
     return rows.groupBy("repo", "path", "line").agg(
         F.when(
             ~F.bool_or(F.col("ids").isNull()),

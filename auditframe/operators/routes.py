@@ -150,7 +150,7 @@ def route_facts(files: DataFrame) -> DataFrame:
 
 def routes(facts: DataFrame) -> DataFrame:
     """(repo, file, line, framework, method, route, guards)."""
-    return facts.select("repo", "file", F.inline("routes")).select(
+    return facts.select("repo", "file", F.inline_outer("routes")).filter(F.col("line").isNotNull()).select(
         "repo", "file", "line", "framework", "method", F.col("path").alias("route"), "guards"
     )
 
@@ -165,7 +165,7 @@ def py_routes(facts: DataFrame) -> DataFrame:
 
 def global_guards(facts: DataFrame) -> DataFrame:
     """Distinct (repo, guard) applied with ``use``."""
-    return facts.select("repo", F.explode("use_guards").alias("guard")).distinct()
+    return facts.select("repo", F.explode_outer("use_guards").alias("guard")).filter("guard IS NOT NULL").distinct()
 
 
 def _signals() -> list[Column]:

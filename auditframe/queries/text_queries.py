@@ -345,7 +345,7 @@ def taint_js(spark, sf_dir):
 FROM part WHERE p_partkey % 24 IN (8, 19, 21) AND {_CALLED}"""
 )
 def import_resolution(spark, sf_dir):
-    return X.resolve_imports(X.js_models(IN.code_files(spark, sf_dir)))
+    return X.resolve_imports(durable(X.js_models(IN.code_files(spark, sf_dir))))
 
 
 _EDGE = "concat('repo', CAST(p_partkey - p_partkey % 5 AS STRING)) AS repo, concat('src/m', CAST(p_partkey AS STRING), '.js') AS path, CAST(2 AS INTEGER) AS fn, CAST({line} AS INTEGER) AS line, '{callee}' AS callee, '{origin}' AS origin, concat('src/m', CAST(p_partkey - 1 AS STRING), '.js') AS target, CAST({target_fn} AS INTEGER) AS target_fn, '{param}' AS param"
@@ -359,7 +359,7 @@ _EDGE = "concat('repo', CAST(p_partkey - p_partkey % 5 AS STRING)) AS repo, conc
     )
 )
 def call_edges(spark, sf_dir):
-    return X.call_edges(X.js_models(IN.code_files(spark, sf_dir)))
+    return X.call_edges(durable(X.js_models(IN.code_files(spark, sf_dir))))
 
 
 @query(

@@ -41,7 +41,12 @@ def _list_or_field(reports: DataFrame, tool: str, item: str, field: str) -> Data
 
 
 def _items(df: DataFrame, array: str | Column, name: str = "item") -> DataFrame:
-    return df.withColumn(name, F.explode(array)).filter(F.col(name).isNotNull())
+    """One row per entry.
+
+    The outer form matters: from the inner one the optimiser derives a filter
+    on the array, which would parse every payload again below the projection.
+    """
+    return df.withColumn(name, F.explode_outer(array)).filter(F.col(name).isNotNull())
 
 
 # --- code scanners ---------------------------------------------------------
@@ -287,7 +292,8 @@ def read_npm_v7(reports: DataFrame, manifests: DataFrame | None = None) -> DataF
     advisory = "source string, title string, url string, severity string, range string"
     rows = (
         _parsed(reports, "npm-audit", schema)
-        .select("repo", F.explode("doc.vulnerabilities").alias("package", "vuln"))
+        .select("repo", F.explode_outer("doc.vulnerabilities").alias("package", "vuln"))
+        .filter(F.col("package").isNotNull())
         .withColumn("objects", F.filter("vuln.via", lambda v: v.startswith("{")))
         .withColumn("advisories", F.transform("objects", lambda v: F.from_json(v, advisory)))
         .withColumn(
@@ -338,11 +344,8 @@ def read_npm_v6(reports: DataFrame, manifests: DataFrame | None = None) -> DataF
         " severity: string, title: string, module_name: string, vulnerable_versions: string, url: string,"
         " recommendation: string>>"
     )
-    rows = (
-        _parsed(reports, "npm-audit", schema)
-        .filter(F.col("doc.vulnerabilities").isNull())
-        .select("repo", F.explode(F.map_values("doc.advisories")).alias("adv"))
-    )
+    advisories = F.when(F.col("doc.vulnerabilities").isNull(), F.map_values("doc.advisories"))
+    rows = _items(_parsed(reports, "npm-audit", schema), advisories, "adv")
     rows = _with_manifest(rows, manifests, "package.json")
     return make_findings(
         rows,
