@@ -25,7 +25,10 @@ _SPREAD = ["file", "line", "rule_id", "category", "tool", "message"]
 
 
 def with_parts(findings: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Add ``part``: a hash of the finding modulo the number of parts its repository needs."""
+    """Add ``part``: a hash of the finding modulo the number of parts its repository needs.
+
+    Findings are counted before they are dealt out, so hand in a stored table.
+    """
     sizes = findings.groupBy("repo").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     spread = F.pmod(F.xxhash64(*_SPREAD), F.col("parts")).cast("int")
     return salted_join(findings, sizes, ["repo"], _SPREAD, "inner").withColumn("part", spread).drop("parts")

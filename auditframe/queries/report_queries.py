@@ -35,7 +35,7 @@ FROM level""",
 )
 def sarif_results(spark, sf_dir):
     """SARIF documents parsed back: every result with the rule its index points at."""
-    documents = R.sarif_documents(C.reported(_chain(spark, sf_dir)))
+    documents = R.sarif_documents(C.reported(durable(_chain(spark, sf_dir))))
     place = "physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>"
     schema = (
         "runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>,"
