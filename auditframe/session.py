@@ -22,6 +22,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
         .config("spark.sql.session.timeZone", "UTC")
         # Methods above this size are not compiled by the JVM; run them in smaller pieces instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if shuffle_partitions:
@@ -32,12 +33,19 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one only where none is configured."""
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+
+    Where none is named, a local folder serves, but only if all tasks run in this
+    process; on a cluster each executor would write to a disk of its own.
+    """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

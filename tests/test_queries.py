@@ -7,9 +7,8 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from auditframe.queries import CHECKS, QUERIES
 
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
