@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import pii, sharding, url_rules
+from auditframe.llm import line_dedup, packing, pii, sharding, url_rules
 from auditframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,25 @@ def op4_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary()).drop("ids")
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 @query
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -75,3 +94,20 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
  ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+CHECKS["op10_line_dedup"] = f"""
+WITH split AS (
+ SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (
+ SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM split
+), keyed AS (
+ SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_AZ}) AS k FROM lines
+), common AS (
+ SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+ SELECT doc_id, i, line, coalesce(doc_id <> keeper, false) AS gone FROM keyed LEFT JOIN common USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
