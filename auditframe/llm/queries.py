@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import line_dedup, packing, pii, sharding, url_rules
+from auditframe.llm import decontaminate, line_dedup, packing, pii, quality, sharding, url_rules
 from auditframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,13 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", F.inline("matches"))
+
+
 @query
 def op4_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +65,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary()).drop("ids")
 
 
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.score_quality(docs, table(spark, sf_dir, "labels"), carry=["doc_id", "source", "lang"])
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
