@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import decontaminate, line_dedup, near_dup, packing, pii, quality, sharding, url_rules
+from auditframe.llm import decontaminate, line_dedup, near_dup, nearest, packing, pii, quality, sharding, url_rules
 from auditframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+@query
+def op6_collision_counting_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 
@@ -85,6 +91,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
