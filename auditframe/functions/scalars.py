@@ -207,8 +207,8 @@ def confidence_ord(c) -> Column:
 
 
 def meets_threshold(severity, threshold: str) -> Column:
-    """False for every severity when the threshold itself is unknown."""
-    level = V.SEVERITY_ORD.get(threshold)
+    """False for every severity when the threshold itself is unknown; its case does not matter."""
+    level = V.SEVERITY_ORD.get(threshold.lower())
     return F.lit(False) if level is None else severity_ord(severity) >= level
 
 

@@ -18,7 +18,6 @@ PYTHON_FILES = ["requirements.txt", "Pipfile", "pyproject.toml", "setup.py", "se
 COMPOSE_FILES = ["docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml"]
 JAVA_FILES = ["pom.xml", "build.gradle", "build.gradle.kts"]
 DOTNET_EXTENSIONS = [".csproj", ".vbproj", ".fsproj", ".sln"]
-MAX_DEPTH = 8
 
 # Which scanners a stack calls for.
 STACK_TOOLS = {
@@ -59,20 +58,23 @@ def stack_flags() -> dict[str, Column]:
     }
 
 
-def _visible(listing: DataFrame) -> DataFrame:
+def _visible(listing: DataFrame, max_depth: int | None) -> DataFrame:
     """Listed files; ``.git`` entries stay because they mark version control."""
-    return listing.filter(listed(max_depth=MAX_DEPTH) | _is_git())
+    return listing.filter(listed(max_depth=max_depth) | _is_git())
 
 
 def _is_git() -> Column:
     return (F.col("path") == ".git") | F.startswith(F.col("path"), F.lit(".git/"))
 
 
-def repo_profile(listing: DataFrame) -> DataFrame:
-    """One row per repository: eight stack booleans, languages, enabled tools, source flag, file count."""
-    seen, git = listed(max_depth=MAX_DEPTH), _is_git()
+def repo_profile(listing: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """One row per repository: eight stack booleans, languages, enabled tools, source flag, file count.
+
+    Files at any depth count unless ``max_depth`` says otherwise.
+    """
+    seen, git = listed(max_depth=max_depth), _is_git()
     ext = S.extension("path")
-    rows = _visible(listing)
+    rows = _visible(listing, max_depth)
     flags = {name: F.bool_or(seen & cond) for name, cond in stack_flags().items()}
     flags["git"] = F.bool_or(git)
     profile = rows.groupBy("repo").agg(
@@ -96,7 +98,7 @@ def repo_profile(listing: DataFrame) -> DataFrame:
     )
 
 
-def repo_markers(listing: DataFrame) -> DataFrame:
+def repo_markers(listing: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Distinct (repo, stack, marker): files, or a folder pattern for Python and Terraform sources."""
     flags = stack_flags()
     ext, base = S.extension("path"), S.basename("path")
@@ -111,7 +113,7 @@ def repo_markers(listing: DataFrame) -> DataFrame:
     entries.append(
         F.when(ext == ".py", F.struct(F.lit("python").alias("stack"), F.concat(F.lit("*.py"), folder).alias("marker")))
     )
-    seen = listing.filter(listed(max_depth=MAX_DEPTH))
+    seen = listing.filter(listed(max_depth=max_depth))
     rows = seen.select("repo", F.inline(F.array_compact(F.array(*entries))))
     git = listing.filter(_is_git()).select("repo", F.lit("git").alias("stack"), F.lit(".git").alias("marker"))
     return rows.unionByName(git).distinct()

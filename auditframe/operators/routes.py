@@ -16,7 +16,7 @@ from auditframe.operators.findings import concat_findings, make_findings
 from auditframe.operators.joins import salted_join
 from auditframe.operators.rules import COMMENT_LINE
 from auditframe.session import durable
-from auditframe.sources.files import LINE_BREAK, listed
+from auditframe.sources.files import LINE_BREAK, listed, logical_lines
 
 # Patterns of the route recipe.
 JS_ROUTE = r"""\.(get|post|put|delete|patch|all|head|options)\(\s*['"]([^'"]*)['"]\s*(?:,\s*(.*))?$"""
@@ -38,12 +38,9 @@ def _guard_names(rest: Column) -> Column:
 
 
 def _js_lines(content: Column) -> Column:
-    """array<struct<text, line>> of the lines that may hold a route or a ``use``."""
-    numbered = F.transform(
-        F.split(content, LINE_BREAK, -1), lambda t, i: F.struct(t.alias("text"), (i + 1).cast("int").alias("line"))
-    )
+    """array<struct<text, line>> of the logical lines that may hold a route or a ``use``."""
     return F.filter(
-        numbered,
+        logical_lines(content),
         lambda x: (x["text"].contains(".use(") | x["text"].rlike(JS_ROUTE)) & ~x["text"].rlike(COMMENT_LINE),
     )
 
@@ -171,7 +168,9 @@ def global_guards(facts: DataFrame) -> DataFrame:
 def _signals() -> list[Column]:
     """helmet, csp, hsts, rate_limit, web_import of one file; needs ``content`` and ``is_py``."""
     content = F.col("content")
-    code = F.regexp_replace(content, r"(?m)^[ \t]*//[^\n]*$", "")
+    bare = F.regexp_replace(content, r"(?m)^[ \t]*//[^\n]*$", "")
+    # Imports may list their names on lines of their own.
+    code = F.regexp_replace(bare, r"(?<=\b(?:import|require\()\s{0,2}\{)[^{}'\"]*+\}", " }")
     modules = F.concat(
         F.regexp_extract_all(code, F.lit(r"""\brequire\(\s*['"]([^'"]+)['"]"""), F.lit(1)),
         F.regexp_extract_all(code, F.lit(r"""(?m)^\s*import\b[^'"\n]*['"]([^'"]+)['"]"""), F.lit(1)),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
 from auditframe.operators.findings import make_findings
-from auditframe.sources.files import lines
+from auditframe.sources.files import lines, statement_lines
 
 
 class Rule(NamedTuple):
@@ -136,7 +136,7 @@ def scan_rules(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         _may_match(F.col("content"), F.col("language"), rules)
     )
     text = F.col("text")
-    rows = lines(candidates, ["repo", "path", "language"]).filter(
+    rows = statement_lines(candidates, ["repo", "path", "language"]).filter(
         _may_match(text, F.col("language"), rules) & ~text.rlike(COMMENT_LINE)
     )
     hits = F.array_compact(
@@ -158,7 +158,8 @@ def scan_handlers(files: DataFrame) -> DataFrame:
     rule = HANDLER_RULE
     # Group 1 is the text between the previous handler and this one, so line
     # numbers follow from counting breaks without searching for the block again.
-    split = f"(?s)(.*?)({rule.pattern})"
+    # Every search starts where the last block ended: what follows the last one is read once, not from each place.
+    split = rf"(?s)\G(.*?)({rule.pattern})"
     found = files.filter(S.extension("path").isin(V.JS_EXTENSIONS) & F.col("content").contains(".post(")).select(
         "repo",
         "path",

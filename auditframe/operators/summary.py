@@ -34,7 +34,7 @@ def gate(
     A run that records a baseline never fails.
     """
     keys = keys or ["repo"]
-    reached = F.lit(False) if updating_baseline else S.meets_threshold("severity", fail_on.lower())
+    reached = F.lit(False) if updating_baseline else S.meets_threshold("severity", fail_on)
     result = findings.groupBy(*keys).agg(F.bool_or(reached).alias("failed"))
     if everyone is None:
         return result

@@ -20,7 +20,9 @@ from auditframe.operators.findings import concat_findings, make_findings
 from auditframe.session import durable
 from auditframe.sources.files import LINE_BREAK, listed
 
-IDENT = r"[A-Za-z_$][\w$]*"
+IDENT = r"[A-Za-z_$][\w$]*+"
+# A dotted name from its beginning. Without the look-behind every suffix of a long name would be tried.
+DOTTED = rf"(?<![\w$])(?<![\w$]\.){IDENT}(?:\.{IDENT})*+"
 FIX_PY = "Check or clean the input first: bound query parameters, argument lists instead of a shell, shlex.quote, path allow-lists."
 FIX_JS = "Check or clean the input first: bound query parameters, argument arrays instead of a shell, normalised and allowed paths."
 REFERENCE = "https://owasp.org/Top10/A03_2021-Injection/"
@@ -172,7 +174,7 @@ JS_DESTRUCTURE = r"^[\s{}]*(?:const|let|var)\s*[\{\[]([^}\]]*)[}\]]\s*=\s*(.*)$"
 # Calls with up to two levels of nested parentheses. Possessive, so long lines
 # cost neither backtracking nor stack.
 _ARGS = r"((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)"
-JS_CALL = rf"({IDENT}(?:\.{IDENT})*)\s*\({_ARGS}"
+JS_CALL = rf"({DOTTED})\s*+\({_ARGS}"
 JS_KEYWORDS = [
     "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "require", "import", "super",
 ]
@@ -194,7 +196,7 @@ def _without_strings(text: Column) -> Column:
 def _without_calls(text: Column) -> Column:
     """Drop call results (they count as clean) and unwrap plain parentheses."""
     for _ in range(3):
-        text = F.regexp_replace(text, rf"{IDENT}(?:\.{IDENT})*\s*\([^()]*+\)", " ")
+        text = F.regexp_replace(text, rf"{DOTTED}\s*+\([^()]*+\)", " ")
         text = F.regexp_replace(text, r"\(([^()]*+)\)", " $1 ")
     return text
 
@@ -523,10 +525,17 @@ def _exports(content: Column) -> Column:
     )
 
 
-def js_models(files: DataFrame, config: dict[str, list[str]] | None = None) -> DataFrame:
-    """One small row per JS/TS file: functions, imports, exports, sink hits, call edges."""
+def js_models(
+    files: DataFrame, config: dict[str, list[str]] | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """One small row per JS/TS file: functions, imports, exports, sink hits, call edges.
+
+    Files of any size are read unless ``max_bytes`` is given.
+    """
     config = config or default_taint()
-    js = files.filter(listed(extensions=V.JS_EXTENSIONS) & (F.octet_length("content") <= V.JS_MAX_BYTES))
+    js = files.filter(listed(extensions=V.JS_EXTENSIONS))
+    if max_bytes is not None:
+        js = js.filter(F.octet_length("content") <= max_bytes)
     parsed = js.select(
         "repo",
         "path",

@@ -16,6 +16,7 @@ from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
 from auditframe.operators.joins import salted_join
 from auditframe.operators.summary import report_order
+from auditframe.session import durable
 
 PART_ROWS = 2000
 PRODUCT = "auditframe"
@@ -89,7 +90,10 @@ def json_reports(
 ) -> DataFrame:
     """(repo, part, document); ``run_verdicts`` is the output of ``verdicts``, one row per repository."""
     kept = [f for f in _FIELDS if verbose or f != "raw"]
-    parts = _part_rows(findings, part_rows).join(run_verdicts, "repo", "left")
+    # Every repository with a verdict gets a document, an empty one if nothing is reported.
+    parts = run_verdicts.join(_part_rows(findings, part_rows), "repo", "left").withColumns(
+        {"part": F.coalesce("part", F.lit(0)), "rows": F.coalesce("rows", F.array())}
+    )
     detection = None
     if profiles is not None:
         parts = parts.join(profiles.select("repo", "languages", "enabled_tools"), "repo", "left")
@@ -113,9 +117,19 @@ def json_reports(
 # --- SARIF -----------------------------------------------------------------
 
 
-def sarif_documents(findings: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(repo, part, document): SARIF 2.1.0 with rules in order of first use."""
-    parts = _part_rows(findings, part_rows).withColumn(
+def sarif_documents(
+    findings: DataFrame, part_rows: int = PART_ROWS, everyone: DataFrame | None = None
+) -> DataFrame:
+    """(repo, part, document): SARIF 2.1.0 with rules in order of first use.
+
+    Repositories of ``everyone`` without a finding get a document with an empty list, which closes alerts.
+    """
+    parts = _part_rows(findings, part_rows)
+    if everyone is not None:
+        parts = everyone.select("repo").distinct().join(parts, "repo", "left").withColumns(
+            {"part": F.coalesce("part", F.lit(0)), "rows": F.coalesce("rows", F.array())}
+        )
+    parts = parts.withColumn(
         "ids", F.array_distinct(F.transform("rows", lambda r: r["f"]["rule_id"]))
     )
     level = lambda f: S.lookup(f["severity"], V.SARIF_LEVEL, "warning")
@@ -356,7 +370,8 @@ def write_lines(line_table: DataFrame, path: str) -> None:
 
     Range partitioning spreads a very long report over several files.
     """
-    line_table.repartitionByRange(*LINE_ORDER).sortWithinPartitions(*LINE_ORDER).select("repo", "text").write.mode(
+    # Stored first: range partitioning samples its input.
+    durable(line_table).repartitionByRange(*LINE_ORDER).sortWithinPartitions(*LINE_ORDER).select("repo", "text").write.mode(
         "overwrite"
     ).partitionBy("repo").text(path)
 
@@ -374,7 +389,7 @@ def render_report(findings: DataFrame, run_verdicts: DataFrame, format: str = "t
     if format == "json":
         return json_reports(findings, run_verdicts, **options)
     if format == "sarif":
-        return sarif_documents(findings, **options)
+        return sarif_documents(findings, everyone=run_verdicts, **options)
     if format == "markdown":
         return markdown_lines(findings, run_verdicts, **options)
     return text_lines(findings, run_verdicts)

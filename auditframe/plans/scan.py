@@ -21,6 +21,7 @@ from auditframe.operators import filters as P
 from auditframe.operators import inline as I
 from auditframe.operators import suppress as U
 from auditframe.operators.summary import report_order
+from auditframe.session import durable
 
 STAGES = ["vendored", "ignored", "inline", "kept"]
 
@@ -113,23 +114,35 @@ def _counters():
     ]
 
 
-def verdicts(issue_rows: DataFrame, fail_on: str = "critical", updating_baseline: bool = False) -> DataFrame:
-    """One row per repository: totals per severity, drop counters, ``failed``."""
+def verdicts(
+    issue_rows: DataFrame,
+    fail_on: str = "critical",
+    updating_baseline: bool = False,
+    everyone: DataFrame | None = None,
+) -> DataFrame:
+    """One row per repository: totals per severity, drop counters, ``failed``.
+
+    ``everyone`` lists the repositories that were scanned; those without a finding get zeros and do not fail.
+    """
     shown = F.col("dropped_by").isNull()
     levels = [F.count_if(shown & (F.col("severity") == s)).alias(s) for s in reversed(V.SEVERITIES)]
-    reached = F.lit(False) if updating_baseline else S.meets_threshold("severity", fail_on.lower())
-    return issue_rows.groupBy("repo").agg(
+    reached = F.lit(False) if updating_baseline else S.meets_threshold("severity", fail_on)
+    found = issue_rows.groupBy("repo").agg(
         F.count_if(shown).alias("total"),
         *levels,
         F.count_if(shown & F.col("ai_relevant")).alias("ai_relevant"),
         *_counters(),
         F.bool_or(F.coalesce(shown & reached, F.lit(False))).alias("failed"),
     )
+    if everyone is None:
+        return found
+    return everyone.select("repo").distinct().join(found, "repo", "left").na.fill(0).na.fill(False)
 
 
 def write_findings(findings: DataFrame, path: str, run_date: str) -> None:
     """Append-safe findings table: one run date is one partition, ordered inside its files."""
-    out = findings.withColumn("run_date", F.lit(run_date))
+    # Stored first: range partitioning samples its input, which would compute the findings twice.
+    out = durable(findings.withColumn("run_date", F.lit(run_date)))
     ordered = out.repartitionByRange(F.col("repo"), *report_order()).sortWithinPartitions("repo", *report_order())
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
 

@@ -28,7 +28,7 @@ SELECT l_orderkey AS repo_key, CAST(l_linenumber AS INT) AS seq,
   WHEN 4 THEN 'cors-misconfig' ELSE 'not-a-category' END AS category_raw,
  CONCAT(CASE l_partkey % 7 WHEN 0 THEN CONCAT('.', chr(92), 'src', chr(92)) WHEN 1 THEN 'node_modules/pkg/' WHEN 2 THEN 'data/raw/'
    WHEN 3 THEN 'tests/' WHEN 4 THEN 'src/legacy/' WHEN 5 THEN '.venv/lib/' ELSE './src/' END,
-  'f', CAST(l_partkey % 4 AS STRING),
+  CASE l_partkey % 13 WHEN 5 THEN 'test_f' WHEN 6 THEN 'conf/deep/f' WHEN 7 THEN 'test_data/f' ELSE 'f' END, CAST(l_partkey % 4 AS STRING),
   CASE l_linenumber % 4 WHEN 0 THEN '.js' WHEN 1 THEN '.py' WHEN 2 THEN '.csv' ELSE '.test.ts' END) AS file_raw,
  CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE CAST(l_orderkey % 15 AS STRING) END AS line_raw,
  CASE (l_suppkey + l_partkey) % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'Medium' WHEN 2 THEN 'low' ELSE 'unset' END AS confidence_raw,
@@ -42,14 +42,14 @@ FROM @@lineitem
 _TEMPLATES = [
     ("src/", ".js", 'const express = require("express");~const app = express();~app.post("/admin/drop^", (req, res) => {~  res.send("x");~});~app.get("/health", (req, res) => { res.send("ok"); });'),
     ("src/", ".js", 'app.get("/admin/list^", requireAuth, handler);~app.post("/login", doLogin);'),
-    ("src/", ".py", 'from flask import Flask, request~import os~@app.route("/account/^")~@login_required~def acc():~    v = request.args["q"]~    os.system(v)~    return "ok"'),
+    ("src/", ".py", 'import subprocess~from flask import Blueprint, request~shop = Blueprint("shop", __name__)~@shop.route("/invoices/^")~@login_required~def invoice():~    number = request.args["number"]~    label = "print " + number~    subprocess.call(label)~    return "printed"'),
     ("src/", ".py", 'from flask import Flask~@app.post("/signup^")~def signup():~    return "ok"'),
     ("src/", ".js", 'const tls = { rejectUnauthorized: false };~// audit-disable-next-line~eval(req.body.x^);'),
-    ("src/", ".py", 'DEBUG = True~requests.get(u, verify=False)  # audit-disable-line insecure-transport~cmd = request.form["c"]~cmd = shlex.quote(cmd)~os.system(cmd)'),
+    ("src/", ".py", 'DEBUG = True~requests.get(feed, verify=False)  # audit-disable-line insecure-transport~paper = request.form["paper"]~paper = shlex.quote(paper)~subprocess.run("lpr " + paper)'),
     ("src/", ".js", 'const helmet = require("helmet");~app.use(helmet());~app.use(authGuard);~app.post("/orders/^", save);'),
     ("src/", ".js", 'const cp = require("child_process");~export function runCmd(input) {~  const text = "run " + input;~  cp.exec(text);~}~export const idle = (x) => {~  return x;~};'),
     ("src/", ".js", 'import { runCmd } from "./m#";~export function handle(req) {~  const cmd = req.query.cmd;~  runCmd(cmd);~  runCmd("fixed^");~}'),
-    ("src/", ".js", 'function safe(req) {~  const raw = req.query.name;~  const clean = escape(raw);~  db.query("SELECT " + clean);~  let id = parseInt(req.query.id, 10);~  db.query("SELECT " + id);~  id = req.params.id;~  id = "none";~  db.query("SELECT ^" + id);~}'),
+    ("src/", ".js", 'const stock = (req) => {~  const wanted = encodeURIComponent(req.query.item);~  db.query("SELECT amount FROM stock WHERE item = " + wanted);~  let shelf = req.query.shelf;~  shelf = Number(shelf);~  db.query("SELECT item FROM stock WHERE shelf = " + shelf);~  let page = req.body.page;~  page = ^;~  db.query("SELECT item FROM stock LIMIT " + page);~};'),
     ("src/", ".js", 'app.post("/webhook/stripe^", (req, res) => {~  save(req.body);~  res.sendStatus(200);~});'),
     ("src/", ".js", 'app.post("/webhook/github", (req, res) => {~  const sig = req.headers["x-hub-signature"];~  if (!check(sig)) { return; }~  save(req.body);~});~app.post("/callback^", async (req, res) => {~  save(req.body);~});'),
     ("src/", ".js", '// ruleid: af-insecure-cookie-httponly-false~res.cookie("sid", v, { httpOnly: false });~// ok: af-insecure-cookie-httponly-false~res.cookie("sid", v, { httpOnly: true });~// ruleid: af-jwt-hardcoded-secret, af-jwt-algorithm-none~jwt.sign(p, "k^", { algorithm: "none" });~// ok: af-jwt-missing-expiration~jwt.sign(p, key, { expiresIn: "1h" });~// ruleid: af-cors-wildcard-origin~res.header("Access-Control-Allow-Origin", "*");'),
@@ -115,7 +115,7 @@ FROM @@lineitem
 # File listings for profiles.
 REPO_LISTING = """
 SELECT CONCAT('repo', CAST(p_partkey - p_partkey % 7 AS STRING)) AS repo,
- CONCAT(CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'backend/' WHEN 2 THEN 'node_modules/a/' WHEN 3 THEN 'src/deep/er/' ELSE '' END,
+ CONCAT(CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'backend/' WHEN 2 THEN 'node_modules/a/' WHEN 3 THEN 'a/b/c/d/e/f/g/h/i/' ELSE '' END,
   CASE p_partkey % 17 WHEN 0 THEN 'package.json' WHEN 1 THEN 'package-lock.json' WHEN 2 THEN 'requirements.txt' WHEN 3 THEN 'app.py' WHEN 4 THEN 'Dockerfile' WHEN 5 THEN 'main.tf'
    WHEN 6 THEN 'deploy.yaml' WHEN 7 THEN 'config.yaml' WHEN 8 THEN 'pom.xml' WHEN 9 THEN 'app.csproj' WHEN 10 THEN 'index.TS' WHEN 11 THEN '.nvmrc'
    WHEN 12 THEN '.node-version' WHEN 13 THEN 'compose.yml' WHEN 14 THEN '.git/HEAD' WHEN 15 THEN 'dev.Dockerfile' ELSE 'notes.txt' END) AS path,
@@ -179,14 +179,8 @@ def checking_sql(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, read straight from its files.
-
-    A table of fewer splits than the session has cores is one small file; its
-    rows are dealt out first. With more splits the scan stays as it is.
-    """
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """A given table, read straight from its files."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

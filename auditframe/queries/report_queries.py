@@ -16,8 +16,9 @@ from auditframe.plans import reports as R
 from auditframe.plans import scan as C
 from auditframe.queries import inputs as IN
 from auditframe.queries.finding_queries import _CHAIN, _CHAIN_USES, _COUNTS, _PRINT, _SHOWN, _chain
-from auditframe.queries.registry import _CONF, _SEV, query
+from auditframe.queries.registry import _CONF, _SEV, CHECKS, query
 from auditframe.session import durable, shared_dir
+from auditframe.sources.config import read_baseline
 from auditframe.streaming import jobs as J
 
 # --- reports ---------------------------------------------------------------
@@ -106,7 +107,23 @@ _MD_LINE = (
     + _AGREED.format(", agreed: ", "/", "")
     + ", ')_', CASE WHEN ai_relevant THEN ' `ai-codegen`' ELSE '' END)"
 )
-_PER_REPO = f"per_repo AS (SELECT repo, {_COUNTS}, bool_or({_SEV} >= 3) AS failed FROM shown GROUP BY repo)"
+# One row per repository, those without a reported finding included.
+_VERDICTS = f"({CHECKS['fleet_scan']})"
+_REFS = """refs AS (SELECT repo, file, line, category, CASE WHEN line IS NULL THEN rule_id END AS issue_rule,
+ list_sort(list_distinct(list(concat('https://rules.test/', rule_id)))) AS links FROM kept GROUP BY ALL)"""
+_NOTES = "concat_ws(' · ', " + ", ".join(
+    f"CASE WHEN {c} > 0 THEN concat(CAST({c} AS STRING), '{text}') END"
+    for c, text in [
+        ("ai_relevant", " typical of generated code"), ("ignored", " suppressed by ignore lists"),
+        ("inline_suppressed", " suppressed in the source"), ("duplicates_removed", " duplicates merged"),
+    ]
+) + ")"
+_MD_HEAD = f"""[ '## Security scan',
+ CASE WHEN failed THEN '**Failed**: there are findings of severity `high` or above' ELSE '**Passed**: no finding of severity `high` or above' END,
+ concat('**Target:** `', repo, '`'), '### Summary', '| Severity | Count |', '| --- | --- |',
+ {", ".join(f"concat('| {s.capitalize()} | ', CAST({s} AS STRING), ' |')" for s in reversed(V.SEVERITIES))},
+ concat('| **Total** | **', CAST(total AS STRING), '** |'), CASE WHEN {_NOTES} <> '' THEN concat('_', {_NOTES}, '_') END,
+ '### Findings', CASE WHEN total = 0 THEN 'No findings.' END ]"""
 _LEVELS = f"levels AS (SELECT repo, severity, {_SEV} AS o, count(*) AS n FROM shown GROUP BY repo, severity)"
 
 
@@ -121,32 +138,33 @@ def _with_dropped(spark, sf_dir):
 SELECT repo, {_MD_LINE} AS text FROM shown
 UNION ALL SELECT repo, concat('<summary><strong>', upper(left(severity, 1)), substr(severity, 2), '</strong> (', CAST(n AS STRING), ')</summary>') FROM levels
 UNION ALL SELECT repo, CASE WHEN o >= 3 THEN '<details open>' ELSE '<details>' END FROM levels
-UNION ALL SELECT repo, '</details>' FROM levels UNION ALL SELECT repo, '' FROM levels UNION ALL SELECT repo, '' FROM levels""",
+UNION ALL SELECT repo, '</details>' FROM levels UNION ALL SELECT repo, '' FROM levels UNION ALL SELECT repo, '' FROM levels
+UNION ALL SELECT repo, text FROM (SELECT repo, unnest({_MD_HEAD}) AS text FROM {_VERDICTS} AS v) AS h WHERE text IS NOT NULL""",
     _CHAIN_USES,
 )
 def markdown_report(spark, sf_dir):
-    """Finding sections of the Markdown report, as lines."""
+    """The Markdown report, as lines: head, summary, notes and findings of every repository."""
     shown, verdicts = _with_dropped(spark, sf_dir)
-    lines = R.markdown_lines(shown.drop("remediation"), verdicts, fail_on="high")
-    return lines.filter(F.col("section") == 2).select("repo", "text")
+    return R.markdown_lines(shown, verdicts, fail_on="high").select("repo", "text")
 
 
 @query(
     _FINAL
-    + f""", {_LEVELS}, {_PER_REPO}
+    + f""", {_LEVELS}, {_REFS}, every_repo AS (SELECT * FROM {_VERDICTS} AS v)
 SELECT repo, concat(upper(severity), ' (', CAST(n AS STRING), ')') AS text FROM levels
 UNION ALL SELECT repo, concat('  ', upper(severity), ' ', category, '  ', file, coalesce(':' || CAST(line AS STRING), ''), CASE WHEN ai_relevant THEN ' [ai-codegen]' ELSE '' END) FROM shown
 UNION ALL SELECT repo, concat('     ', message) FROM shown
 UNION ALL SELECT repo, concat('     by ', tool, ', confidence: ', confidence, {_AGREED.format(" (agreed: ", ", ", ")")}) FROM shown
-UNION ALL SELECT repo, concat('  ', CAST(total AS STRING), ' findings, ', CAST(critical AS STRING), ' critical, ', CAST(high AS STRING), ' high, ', CAST(medium AS STRING), ' medium, ', CAST(low AS STRING), ' low') FROM per_repo
-UNION ALL SELECT repo, CASE WHEN failed THEN 'Failed' ELSE 'Passed' END FROM per_repo UNION ALL SELECT repo, 'Summary' FROM per_repo""",
+UNION ALL SELECT s.repo, concat('     see: ', array_to_string(links[1:3], ', ')) FROM shown s JOIN refs r ON r.repo = s.repo AND r.file = s.file
+ AND r.line IS NOT DISTINCT FROM s.line AND r.category = s.category AND issue_rule IS NOT DISTINCT FROM CASE WHEN s.line IS NULL THEN s.rule_id END
+UNION ALL SELECT repo, concat('  ', CAST(total AS STRING), ' findings, ', CAST(critical AS STRING), ' critical, ', CAST(high AS STRING), ' high, ', CAST(medium AS STRING), ' medium, ', CAST(low AS STRING), ' low') FROM every_repo
+UNION ALL SELECT repo, CASE WHEN failed THEN 'Failed' ELSE 'Passed' END FROM every_repo UNION ALL SELECT repo, 'Summary' FROM every_repo""",
     _CHAIN_USES,
 )
 def text_report(spark, sf_dir):
-    """The console listing, as lines, of repositories with something to show."""
+    """The console listing, as lines, references included, of every repository."""
     shown, verdicts = _with_dropped(spark, sf_dir)
-    lines = R.text_lines(shown.drop("remediation", "references"), verdicts.filter(F.col("total") > 0))
-    return lines.select("repo", "text")
+    return R.text_lines(shown, verdicts).select("repo", "text")
 
 
 # --- sinks -----------------------------------------------------------------
@@ -161,7 +179,7 @@ def baseline_file(spark, sf_dir):
     """Baseline written and read back."""
     path = _scratch(spark)
     C.write_baseline(IN.findings(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    return read_baseline(spark, path)
 
 
 @query("SELECT repo, file, line, category, tool, rule_id, severity, message FROM merged", ["merged"])

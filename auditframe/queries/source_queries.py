@@ -166,14 +166,14 @@ _VALID_CATEGORY = "category_raw IN ('injection','secrets','dependency-cve','inse
 @query(
     _expect(
         tool="'semgrep'", rule_id="rule_id",
-        severity=f"CASE WHEN seq % 3 = 0 THEN {_alias_sql('severity_raw', 'medium')} WHEN seq % 3 = 1 THEN 'high' ELSE 'low' END",
+        severity=f"CASE WHEN seq % 3 = 0 AND severity_raw IS NOT NULL THEN {_alias_sql('severity_raw', 'medium')} WHEN seq % 3 = 1 THEN 'high' ELSE 'low' END",
         category=f"CASE WHEN {_VALID_CATEGORY} THEN category_raw WHEN seq % 2 = 0 THEN 'ssrf' ELSE 'insecure-cookie-flags' END",
         file=_FILE, line=_LINE, message="concat('cookie', trim(message_raw))",
         confidence="CASE WHEN lower(confidence_raw) IN ('high','medium','low') THEN lower(confidence_raw) ELSE 'high' END",
         refs="concat('https://a.test|CWE-', CAST(seq AS STRING))",
         remediation="CASE WHEN seq % 2 = 0 THEN 'Proposed fix: safe()' END",
     )
-    + " FROM findings_raw WHERE severity_raw IS NOT NULL OR seq % 3 <> 0",
+    + " FROM findings_raw",
     ["findings_raw"],
 )
 def norm_semgrep(spark, sf_dir):
@@ -196,7 +196,7 @@ def norm_semgrep(spark, sf_dir):
             meta.alias("metadata"),
         ).alias("extra"),
     )
-    raw = IN.load(spark, sf_dir, "findings_raw").filter(F.col("severity_raw").isNotNull() | (third != 0))
+    raw = IN.load(spark, sf_dir, "findings_raw")
     reports = raw.select(
         F.expr(_ID).alias("repo"), F.lit("semgrep").alias("tool"),
         F.to_json(F.struct(F.lit("1.2").alias("version"), F.array(result).alias("results"))).alias("payload"),

@@ -20,6 +20,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # One row per issue is kept by hash; sorting starts only where a task has very many issues.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         # Methods above this size are not compiled by the JVM; run them in smaller pieces instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")

@@ -263,9 +263,9 @@ def manifest_paths(listing: DataFrame) -> DataFrame:
     )
 
 
-def requirement_paths(listing: DataFrame) -> DataFrame:
+def requirement_paths(listing: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Per repository the requirements file a pip-audit report is about."""
-    found = listing.filter(listed(max_depth=4, name_pattern=r"(?i)^requirements.*\.txt$"))
+    found = listing.filter(listed(max_depth=max_depth, name_pattern=r"(?i)^requirements.*\.txt$"))
     return found.groupBy("repo").agg(F.min("path").alias("manifest"))
 
 
