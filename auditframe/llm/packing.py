@@ -2,57 +2,120 @@
 
 from __future__ import annotations
 
+import json
+import os
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditframe.llm.common import stored
+from auditframe.llm.words import slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task remembers; it starts anew when there are more.
-REMEMBERED_WORDS = 500_000
+#: Words, and parts of words, whose ids a process remembers in each of two generations.
+REMEMBERED = 400_000
 _LONGEST_REMEMBERED = 64
 
 
+# Fixed value: the vocabulary's own rule for the parts of a word, each of which it encodes alone.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _Remembered:
+    """Two generations of a cache: what is asked for again survives when the young one is full."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        ids = self.young.get(key)
+        return self.old.get(key) if ids is None else ids
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.young.update((k, v) for k, v in found.items() if len(k) <= _LONGEST_REMEMBERED)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {"": b""}
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    names = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    for b in range(256):
+        names.setdefault(b, chr(256 + sum(x >= 256 for x in map(ord, names.values()))))
+    return names
+
+
 class WordIds:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
 
-    The vocabulary's rules never look across a space or a line end (white space is dropped, words end
-    themselves), so a text's ids are those of its words in turn, and each word is encoded once.
+    A vocabulary whose rules are those of ``_PARTS`` never looks across a space or a line end (white space is
+    dropped, words end themselves), so a text's ids are those of its words in turn. It does not look across the
+    parts of a word either: a printable Latin-1 word, which normalising only lower-cases, is put together from
+    parts seen before. All other words are encoded whole, so that special tokens and composed letters come out
+    right, and texts for other vocabularies are never split.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
+        rules = json.loads(own.to_str())
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = steps[0].get("pattern") == {"Regex": _PARTS} and rules["post_processor"] is None
         self.encode = getattr(own, "encode_batch_fast", own.encode_batch)  # without places in the text
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = own.model.tokenize
+        self.names = _byte_names()
+        self.words, self.parts = _Remembered(), _Remembered()
+        self.split = regex.compile(_PARTS).findall
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            spelled = part.encode().decode("latin-1").translate(self.names)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model(spelled)])
+        return ids
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        ids = self.encode(words, add_special_tokens=False)
-        return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, ids, strict=True)}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = self._learn(list({w for w in words if w not in known}))
-            ids = b"".join([known[w] if w in known else new[w] for w in words])
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-                known[""] = b""
-            known.update((w, i) for w, i in new.items() if len(w) <= _LONGEST_REMEMBERED)
-            return ids
+        out, whole, parts = {}, [], {}
+        for w in words:
+            if not (w.isprintable() and (w.isascii() or max(w) < "\u0100")) or "<|" in w:
+                whole.append(w)
+                continue
+            low = w.lower()
+            head = low.rstrip(string.punctuation)
+            own = [x for x in (head, low[len(head) :]) if x] if head.isalpha() or not head else self.split(low)
+            for p in own:
+                if p not in parts:
+                    parts[p] = self._part(p)
+            out[w] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
+        self.parts.add(parts)
+        return out | dict(zip(whole, self._whole(whole), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Of some megabytes of texts at a time: their distinct words are looked up once."""
+        if not self.by_word:
+            return self._whole(texts)
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        found = {w: self.words.get(w) for w in set().union(*split)}
+        new = self._learn([w for w, ids in found.items() if ids is None])
+        found.update(new)
+        self.words.add(found)
+        return [b"".join([found[w] for w in own]) for own in split]
 
 
 _OPEN: dict[str, WordIds] = {}
@@ -76,19 +139,18 @@ def _cut(path: str, capacity: int, end_id: int):
         seen = [0] * (capacity + 1)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((row, piece, at // 4, n, own, zlib.crc32(own), part, seen[n]))
-                    seen[n] += 1
-            for lo in range(0, len(rows), 512):
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 512], strict=True), schema, strict=True)]
-                out = pa.RecordBatch.from_arrays(columns, schema=schema)
+            for docs in slices(batch, batch.schema.names[1]):
+                rows: list[tuple] = []
+                for row, ids in enumerate(encode([t or "" for t in docs.column(1).to_pylist()])):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[at : at + 4 * capacity]
+                        n = len(own) // 4
+                        rows.append((row, piece, at // 4, n, own, zlib.crc32(own), part, seen[n]))
+                        seen[n] += 1
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(out.column(0)), *out.columns[1:]], [batch.schema.names[0], *schema.names[1:]]
+                    [docs.column(0).take(columns[0]), *columns[1:]], [batch.schema.names[0], *schema.names[1:]]
                 )
 
     return run

@@ -26,8 +26,8 @@ ODD = st.text(alphabet="aÉé́İΣσ 's't\n\t　\x0b12,.<|endoftext|>𝔘", max
 @given(st.lists(ODD, min_size=1, max_size=4))
 def test_words_alone_give_the_ids_of_the_text(texts):
     encode = packing.WordIds(VOCABULARY)
-    for text, ids in zip(texts, ids_of(texts), strict=True):
-        assert np.frombuffer(encode(text), "<u4").tolist() == ids[:-1]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [ids[:-1] for ids in ids_of(texts)]
 
 
 @settings(max_examples=200, deadline=None)
