@@ -21,7 +21,9 @@ from auditframe.operators import filters as P
 from auditframe.operators import inline as I
 from auditframe.operators import suppress as U
 from auditframe.operators.summary import report_order
+from auditframe.operators.joins import salted_join
 from auditframe.session import durable
+from auditframe.sources.config import repo_settings, with_config_ignores
 
 STAGES = ["vendored", "ignored", "inline", "kept"]
 
@@ -56,20 +58,38 @@ def issues(
     min_confidence: str | None = None,
     baseline: DataFrame | None = None,
     count_dropped: bool = True,
+    config: DataFrame | None = None,
 ) -> DataFrame:
     """One row per issue with everything later steps need.
 
+    ``config`` (from ``overlay_config``) sets the data-file policy and further ignore lines per repository;
+    repositories it does not know follow ``data_files``.
+
     ``dropped_by`` tells why a row is not reported (null: reported), ``n_*``
     count the raw rows per stage, ``known`` comes from the baseline. Without
     ``count_dropped`` vendored rows are filtered in the scan and never travel.
     """
     rows = findings if count_dropped else P.drop_vendored(findings)
+    if config is not None and ignore_lines is not None:
+        ignore_lines = with_config_ignores(ignore_lines, config)
     staged = stage_findings(rows, ignore_lines, files)
     if not count_dropped:
         staged = staged.filter(F.col("stage") == "kept")
     merged = D.merge_issues(staged, STAGES)
     hit = P.unsure_data_secret()
-    if data_files == "ignore":
+    if config is not None:
+        settings = repo_settings(config).select("repo", F.col("data_files").alias("__policy"))
+        merged = salted_join(merged, settings, ["repo"], ["file", "rule_id", "line", "message"])
+        policy, low = F.coalesce("__policy", F.lit(data_files)), F.lit("low")
+        merged = merged.withColumns({"data_ignored": hit & (policy == "ignore"), "__low": hit & ~policy.isin("ignore", "keep")})
+        merged = merged.withColumns(
+            {
+                "severity": F.when(F.col("__low"), low).otherwise(F.col("severity")),
+                "confidence": F.when(F.col("__low"), low).otherwise(F.col("confidence")),
+                "demoted_reason": F.when(F.col("__low"), F.lit("data-file")),
+            }
+        ).drop("__low", "__policy")
+    elif data_files == "ignore":
         merged = merged.withColumns({"data_ignored": hit, "demoted_reason": F.lit(None).cast("string")})
     else:
         merged = P.apply_data_file_policy(merged, data_files).withColumn("data_ignored", F.lit(False))
@@ -119,10 +139,12 @@ def verdicts(
     fail_on: str = "critical",
     updating_baseline: bool = False,
     everyone: DataFrame | None = None,
+    config: DataFrame | None = None,
 ) -> DataFrame:
     """One row per repository: totals per severity, drop counters, ``failed``.
 
     ``everyone`` lists the repositories that were scanned; those without a finding get zeros and do not fail.
+    ``config`` (from ``overlay_config``) sets the threshold per repository, else it is ``fail_on``.
     """
     shown = F.col("dropped_by").isNull()
     levels = [F.count_if(shown & (F.col("severity") == s)).alias(s) for s in reversed(V.SEVERITIES)]
@@ -134,6 +156,12 @@ def verdicts(
         *_counters(),
         F.bool_or(F.coalesce(shown & reached, F.lit(False))).alias("failed"),
     )
+    if config is not None:
+        settings = repo_settings(config).select("repo", "fail_on")
+        level = S.severity_ord(F.coalesce("fail_on", F.lit(fail_on.lower())))
+        worst = F.greatest(*[F.when(F.col(s) > 0, n).otherwise(0) for s, n in V.SEVERITY_ORD.items()])
+        failed = F.lit(False) if updating_baseline else (level > 0) & (worst >= level)
+        found = found.join(settings, "repo", "left").withColumn("failed", failed).drop("fail_on")
     if everyone is None:
         return found
     return everyone.select("repo").distinct().join(found, "repo", "left").na.fill(0).na.fill(False)

@@ -15,6 +15,7 @@ from auditframe.operators.findings import make_findings
 from auditframe.plans import scan as C
 from auditframe.queries import inputs as IN
 from auditframe.queries.registry import _SEV, conf, dedup_of, query, sev, vendored
+from auditframe.sources.config import overlay_config
 
 _CORE = ["repo", "tool", "rule_id", "severity", "category", "file", "line", "message", "confidence", "ai_relevant"]
 _CORE_SQL = ", ".join(_CORE)
@@ -388,9 +389,7 @@ def _chain(spark, sf_dir):
 _SHOWN = "dropped_by IS NULL"
 
 
-@query(
-    _CHAIN
-    + f""", dropped AS (SELECT repo, count(*) FILTER (stage = 'vendored') AS vendored, count(*) FILTER (stage = 'ignored') AS ignored,
+_VERDICT_SQL = f""", dropped AS (SELECT repo, count(*) FILTER (stage = 'vendored') AS vendored, count(*) FILTER (stage = 'ignored') AS ignored,
  count(*) FILTER (stage = 'inline') AS inline_suppressed FROM staged GROUP BY repo),
 shown AS (SELECT repo, count(*) FILTER ({_SHOWN}) AS total, count(*) FILTER ({_SHOWN} AND severity = 'critical') AS critical,
  count(*) FILTER ({_SHOWN} AND severity = 'high') AS high, count(*) FILTER ({_SHOWN} AND severity = 'medium') AS medium,
@@ -403,14 +402,53 @@ SELECT d.repo, coalesce(total, 0) AS total, coalesce(critical, 0) AS critical, c
  coalesce(duplicates_removed, 0) AS duplicates_removed, coalesce(demoted, 0) AS demoted, CAST(0 AS BIGINT) AS data_ignored,
  coalesce(test_asserts, 0) AS test_asserts, coalesce(below_confidence, 0) AS below_confidence, coalesce(known, 0) AS known,
  coalesce(failed, false) AS failed
-FROM dropped d LEFT JOIN shown s ON s.repo = d.repo""",
-    _CHAIN_USES,
-)
+FROM dropped d LEFT JOIN shown s ON s.repo = d.repo"""
+
+
+@query(_CHAIN + _VERDICT_SQL, _CHAIN_USES)
 def fleet_scan(spark, sf_dir):
     """Flagship: raw findings to one verdict per repository, through every step."""
     return C.verdicts(_chain(spark, sf_dir), "high")
 
 
+# The chain with the settings of every repository in place of one for all.
+_VALID = "NOT (scope = '' AND name = 'failOn' AND lower(val) NOT IN ('critical', 'high', 'medium', 'low'))"
+_DEMOTES = f"({_UNSURE} AND data_files NOT IN ('ignore', 'keep'))"
+_CONFIGURED = (
+    f"""WITH settings AS (SELECT repo, max(lower(val)) FILTER (scope = '' AND name = 'failOn') AS fail_on,
+  max(lower(val)) FILTER (scope = 'secrets' AND name = 'dataFiles') AS data_files FROM user_config WHERE {_VALID} GROUP BY repo),
+all_lines AS (SELECT repo, ord, line FROM ignore_lines UNION ALL
+ SELECT repo, CAST(1073741824 + i AS INTEGER), l FROM (SELECT repo, unnest(string_split(val, ',')) AS l, unnest(range(len(string_split(val, ',')))) AS i
+  FROM user_config WHERE scope = '' AND name = 'ignore') AS x), """
+    + _CHAIN.split("WITH", 1)[1].replace("ignore_lines", "all_lines").replace(_UNSURE, _DEMOTES)
+    .replace("FROM chain_merged)", """FROM (SELECT m.*, coalesce(x.data_files, 'demote') AS data_files, coalesce(x.fail_on, 'critical') AS fail_on
+  FROM chain_merged m LEFT JOIN settings x ON x.repo = m.repo) AS chain_set)""")
+    .replace(f"CASE WHEN {_ASSERT_NOISE}", f"CASE WHEN {_UNSURE} AND data_files = 'ignore' THEN 'data-file' WHEN {_ASSERT_NOISE}")
+)
+
+
+@query(
+    _CONFIGURED
+    + _VERDICT_SQL.replace("CAST(0 AS BIGINT) AS data_ignored", "coalesce(data_ignored, 0) AS data_ignored")
+    .replace(f"bool_or({_SHOWN} AND {_SEV} >= 3)", f"""count(*) FILTER (dropped_by = 'data-file') AS data_ignored,
+ bool_or({_SHOWN} AND {_SEV} >= CASE fail_on WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)"""),
+    [*_CHAIN_USES, "user_config"],
+)
+def fleet_scan_configured(spark, sf_dir):
+    """The whole chain with threshold, data-file policy and ignore lines of every repository's own."""
+    rows = IN.findings(spark, sf_dir, ["repo_key"])
+    baseline = D.build_baseline(rows.filter(F.col("repo_key") % 2 == 0))
+    user = IN.load(spark, sf_dir, "user_config").select(
+        "repo", "scope", F.col("name").alias("key"), F.split("val", ",").alias("value")
+    )
+    config = overlay_config(user, user.select("repo"))
+    found = C.issues(
+        rows.drop("repo_key"), IN.load(spark, sf_dir, "ignore_lines"), IN.load(spark, sf_dir, "directive_files"),
+        min_confidence="medium", baseline=baseline, config=config,
+    )
+    return C.verdicts(found, config=config)
+
+
 @query(_CHAIN + f"SELECT {_CORE_SQL}, agreed AS agreed_tools FROM final WHERE {_SHOWN}", _CHAIN_USES)
 def reported_findings(spark, sf_dir):
     """The findings a report shows after the whole chain."""

@@ -132,6 +132,7 @@ FROM @@supplier JOIN (VALUES
  (0,'','failOn','high'),(0,'taint','sinks','eval,run^'),(0,'taint','sink','eval'),
  (1,'','failOn','severe'),(1,'secrets','dataFiles','ignore'),(1,'','failon','low'),
  (2,'tools','disabled','trivy'),(2,'tools','enabled','bandit,made-up,semgrep'),(2,'checkers','sensitiveRoutePatterns','pin^'),(2,'trivy','mode','config'),(2,'','trivy','x'),
+ (2,'','ignore','rule:R2*,!src/f1.js'),(3,'secrets','dataFiles','keep'),
  (3,'','toolTimeoutMs','^000'),(3,'secrets','files','keep')
 ) AS t(k, scope, name, val) ON s_suppkey % 4 = t.k
 """

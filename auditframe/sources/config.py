@@ -47,6 +47,26 @@ def overlay_config(user: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
+def repo_settings(config: DataFrame) -> DataFrame:
+    """(repo, fail_on, data_files) from an overlaid configuration."""
+
+    def single(scope: str, key: str):
+        hit = (F.col("scope") == scope) & (F.col("key") == key)
+        return F.max(F.when(hit, F.lower(F.get("value", F.lit(0)))))
+
+    return config.groupBy("repo").agg(
+        single("", "failOn").alias("fail_on"), single("secrets", "dataFiles").alias("data_files")
+    )
+
+
+def with_config_ignores(ignore_lines: DataFrame, config: DataFrame) -> DataFrame:
+    """Ignore lists with the configuration's own ``ignore`` lines behind those of the file."""
+    own = config.filter((F.col("scope") == "") & (F.col("key") == "ignore"))
+    lines = own.select("repo", F.posexplode("value").alias("pos", "line"))
+    behind = lines.select("repo", (F.lit(1 << 30) + F.col("pos")).cast("int").alias("ord"), "line")
+    return ignore_lines.select("repo", "ord", "line").unionByName(behind)
+
+
 def unknown_keys(user: DataFrame) -> DataFrame:
     """Settings nobody reads, most likely typos."""
     known = F.lit(False)
