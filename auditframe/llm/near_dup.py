@@ -26,6 +26,8 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Coordinates that must agree in two bits each, of 54 expected at similarity 0.8 with a deviation of 2.9.
 BIT_MATCHES = 38
 SKETCH_CELLS = 1 << 20
+#: Hubs that a class is compared with before components are formed; a class has ``PREFIX`` lists, so that many at most.
+HUBS = 2
 #: Documents of one side that a task compares at a time.
 BLOCK = 512
 #: Keys that may be broadcast; more are joined by a shuffle.
@@ -155,14 +157,10 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
-            keep = [_linked(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), percent) for a, b in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _confirmed(a: str, b: str, percent: int) -> Column:
+    """The link condition on two full sets, inside the JVM: pairs of long documents never wait in a batch."""
+    shared = F.size(F.array_intersect(a, b))
+    return 100 * shared >= percent * (F.size(a) + F.size(b) - shared)
 
 
 class _Forest:
@@ -221,7 +219,9 @@ def _settle(percent: int):
     def run(table: pa.Table) -> pa.Table:
         rid, label, lo, hi, side = (np.asarray(table[c]) for c in ("rid", "label", "lo", "hi", "side"))
         lo, hi = lo.view(np.uint64), hi.view(np.uint64)
-        sets = [np.frombuffer(s, "<u8") for s in table["items"].to_pylist()]
+        items = table["items"].combine_chunks()
+        flat, ends = np.asarray(items.flatten()).view(np.uint64), np.asarray(items.offsets) - items.offsets[0].as_py()
+        sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         forest = _Forest(label)
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         for i in left.tolist():
@@ -280,14 +280,17 @@ class NearDuplicates:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in W.slices(batch, "text"):
-                    sets = [s.tobytes() for s in shingle_sets(piece.column("text"), k)]
+                    sets = [s.view(np.int64) for s in shingle_sets(piece.column("text"), k)]
                     rids = piece.column("rids").to_pylist()
                     flat = [(r, s) for own, s in zip(rids, sets, strict=True) for r in own]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r for r, _ in flat], pa.int64()), pa.array([s for _, s in flat], pa.binary())], ["rid", "items"]
+                        [pa.array([r for r, _ in flat], pa.int64()), pa.array([s for _, s in flat], pa.list_(pa.int64()))],
+                        ["rid", "items"],
                     )
 
-        return stored(found.select("rids", "text").mapInArrow(run, "rid long, items binary").dropDuplicates(["rid"]), "sets")
+        # Rows that repeat an id and text are alike; one of them is enough.
+        once = found.select("i", "h", "rids", "text").dropDuplicates(["i", "h"])
+        return stored(once.select("rids", "text").mapInArrow(run, "rid long, items array<bigint>"), "sets")
 
     def _stars(self) -> DataFrame:
         """Confirmed links between every document of a list and the list's most connected one."""
@@ -305,19 +308,22 @@ class NearDuplicates:
         self.shared = stored(
             postings.drop("weight")
             .join(lists, "token")
-            .select("token", "rid", "lo", "hi", "size", F.col("hub.rid").alias("b"), F.col("hub.lo").alias("blo"), F.col("hub.hi").alias("bhi")),
+            .select("token", "rid", "lo", "hi", "size", F.col("hub.weight").alias("hub"), F.col("hub.rid").alias("b"), F.col("hub.lo").alias("blo"), F.col("hub.hi").alias("bhi")),
             "lists",
         )
+        # Of the hubs whose bits agree with a class, the best connected ones; the others are left to _rest.
+        best = F.slice(F.sort_array(F.collect_set(F.struct("hub", "b")), asc=False), 1, HUBS)
         pairs = stored(
             self.shared.filter(F.col("rid") != F.col("b"))
             .filter(_agree("", "b") >= BIT_MATCHES)
-            .groupBy(F.col("rid").alias("a"), "b")
-            .agg(F.count("*").alias("shared")),
+            .groupBy(F.col("rid").alias("a"))
+            .agg(best.alias("best"))
+            .select("a", F.explode("best.b").alias("b")),
             "pairs",
         )
         sets = self._sets(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(self.percent), "a long, b long"), "links")
+        return stored(both.filter(_confirmed("set_a", "set_b", self.percent)).select("a", "b"), "links")
 
     def _rest(self, labels: DataFrame) -> DataFrame:
         """Confirmed links between components that no hub has found, enough to span them.
