@@ -13,7 +13,7 @@ from auditframe.llm import words as W
 from auditframe.llm.common import fresh, stored
 
 #: Labelled rows that the document classifier is fitted on, at most; those with the smallest hash of their id.
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 HASH_BITS = 18
 #: Sites that may be broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 500_000
@@ -67,26 +67,29 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids[order].astype(np.int32), np.searchsorted(rows[order], np.arange(n + 1))
 
 
-def fit(ids: list[np.ndarray], targets: np.ndarray, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on the binary features that tell the classes apart, by adaptive gradient steps.
+def telling(every: np.ndarray, hits: np.ndarray, n_rows: int, n_hits: int) -> np.ndarray:
+    """Features that at least ``_LEAST_ROWS`` rows have, and whose share of the class is further from that of all
+    rows than chance would have it (``_LEAST_Z`` deviations).
 
-    A feature takes part if at least ``_LEAST_ROWS`` rows have it and its share of either class is further
-    from that of all rows than chance would have it (``_LEAST_Z`` deviations), so the many words without
-    meaning for the question cannot add up in a long text. With one class only, there are no weights and the
-    intercept is the odds of its smoothed share.
+    The many words without meaning for the question cannot add up in a long text then.
+    """
+    share = (n_hits + 1) / (n_rows + 2)
+    z = (hits - every * share) / np.sqrt(np.maximum(every, 1) * share * (1 - share))
+    return (every >= _LEAST_ROWS) & (np.abs(z) >= _LEAST_Z)
+
+
+def fit(ids: list[np.ndarray], targets: np.ndarray, use: np.ndarray, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression on the binary features in ``use``, by adaptive gradient steps.
+
+    With one class only, there are no weights and the intercept is the odds of its smoothed share.
     """
     share = (targets.sum() + 1) / (len(targets) + 2)
     weights, bias = np.zeros(FEATURES), float(np.log(share / (1 - share)))
     if len(set(targets.tolist())) < 2:
         return weights, bias
-    flat = np.concatenate(ids).astype(np.int64)
-    row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    every = np.bincount(flat, minlength=FEATURES)
-    hits = np.bincount(flat, weights=targets[row], minlength=FEATURES)
-    z = (hits - every * share) / np.sqrt(np.maximum(every, 1) * share * (1 - share))
-    telling = (every >= _LEAST_ROWS) & (np.abs(z) >= _LEAST_Z)
-    some = telling[flat]
-    flat, row = flat[some], row[some]
+    kept = [own[use[own]] for own in ids]
+    flat = np.concatenate(kept)
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in kept])
     squares, bias_square = np.full(FEATURES, 1e-8), 1e-8
     for _ in range(_EPOCHS):
         odds = np.bincount(row, weights=weights[flat], minlength=len(ids)) + bias
@@ -110,6 +113,31 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per feature: rows, good rows, toxic rows of this task."""
+    counts = np.zeros((3, FEATURES), dtype=np.int64)
+    for batch in batches:
+        for quality, toxic, ids in zip(*(batch[c].to_pylist() for c in ("quality", "toxic", "ids")), strict=True):
+            own = np.frombuffer(ids, dtype=np.int32)
+            counts[0, own] += 1
+            counts[1, own] += quality
+            counts[2, own] += toxic
+    some = np.flatnonzero(counts[0])
+    for lo in range(0, len(some), 1 << 15):
+        at = some[lo : lo + (1 << 15)]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(c[at]) for c in counts)], ["feature", "n", "good", "toxic"])
+
+
+def _keep(use):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_ids = [np.frombuffer(x, dtype=np.int32) for x in batch["ids"].to_pylist()]
+            ids = [own[use.value[own]].tobytes() for own in all_ids]
+            yield pa.RecordBatch.from_arrays([batch["quality"], batch["toxic"], pa.array(ids, pa.binary())], ["quality", "toxic", "ids"])
+
+    return run
+
+
 def fit_classifiers(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS
 ) -> tuple[tuple[np.ndarray, float], tuple[np.ndarray, float]]:
@@ -125,17 +153,32 @@ def fit_classifiers(
         .limit(rows)
         .select(F.col("doc_id").alias("label_id"), "quality", "toxic")
     )
+    # A repeated id counts once, so that the sample is bounded by its labels.
     texts = docs.select(F.col(f"`{id}`").alias("own_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    got = (
+    rows_sql = "quality int, toxic int, ids binary"
+    sample = stored(
         texts.join(F.broadcast(chosen), F.col("own_id") == F.col("label_id"))  # at most ``rows`` rows
+        .dropDuplicates(["label_id"])
         .select("text", "quality", "toxic")
-        .mapInArrow(_extract, "quality int, toxic int, ids binary")
-        .limit(2 * rows)  # the same unless ids repeat
+        .mapInArrow(_extract, rows_sql),
+        "sample",
+    )
+    # Counts of all features are added up by the tasks; the driver sees the telling features of each row.
+    counts = (
+        sample.mapInArrow(_count, "feature int, n long, good long, toxic long")
+        .groupBy("feature")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
         .toArrow()
     )
-    ids = [np.frombuffer(x, dtype=np.int32) for x in got["ids"].to_pylist()]
-    good, toxic = (np.asarray(got[c].to_pylist(), dtype=float) for c in ("quality", "toxic"))
-    return fit(ids, good), fit(ids, toxic)
+    every = np.zeros((3, FEATURES))
+    every[:, np.asarray(counts["feature"])] = [np.asarray(counts[c]) for c in ("n", "good", "toxic")]
+    n, n_good, n_toxic = (x or 0 for x in sample.agg(F.count("*"), F.sum("quality"), F.sum("toxic")).first())
+    uses = [telling(every[0], hits, n, total) for hits, total in ((every[1], n_good), (every[2], n_toxic))]
+    use = docs.sparkSession.sparkContext.broadcast(uses[0] | uses[1])
+    got = sample.mapInArrow(_keep(use), rows_sql).toArrow()
+    good, toxic = (np.asarray(got[c], dtype=float) for c in ("quality", "toxic"))
+    ids = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got["ids"]]  # views, not copies
+    return fit(ids, good, uses[0]), fit(ids, toxic, uses[1])
 
 
 def _score(models, carried: list[str], text: str):
