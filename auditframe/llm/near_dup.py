@@ -163,6 +163,9 @@ def _confirmed(a: str, b: str, percent: int) -> Column:
     return 100 * shared >= percent * (F.size(a) + F.size(b) - shared)
 
 
+_LARGEST = (1 << 63) - 1
+
+
 class _Forest:
     """Union-find over row numbers; ``edges`` are those that joined two trees."""
 
@@ -208,7 +211,13 @@ def _contested(table: pa.Table) -> pa.Table:
                 near = those[(_bit_matches(lo, hi, i, those) >= BIT_MATCHES) & (label[those] != label[i])]
                 for j in near.tolist():
                     forest.join(i - a, j - a)
-        out.update((int(rid[a + i]), int(rid[a + j])) for i, j in forest.edges)
+        # Each tree as links to its smallest class, so that lists with the same members give the same links.
+        least: dict[int, int] = {}
+        joined = {i for edge in forest.edges for i in edge}
+        for i in joined:
+            root = forest.root(i)
+            least[root] = min(least.get(root, _LARGEST), int(rid[a + i]))
+        out.update((int(rid[a + i]), least[forest.root(i)]) for i in joined if int(rid[a + i]) != least[forest.root(i)])
     pairs = sorted(out)
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -264,7 +273,18 @@ class NearDuplicates:
         labels = components(edges)
         more = self._rest(labels)
         if not more.isEmpty():
-            labels = components(edges.union(more))
+            # The further links join whole components: components of the graph of components.
+            own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+            between = (
+                more.join(own("a"), "a", "left")
+                .join(own("b"), "b", "left")
+                .select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+            )
+            joined = components(between)
+            labels = (
+                labels.join(joined.toDF("label", "top"), "label", "full")
+                .select(F.coalesce("node", "label").alias("node"), F.coalesce("top", "label").alias("label"))
+            )
         self.labels = labels
 
     def _sets(self, rids: DataFrame) -> DataFrame:
