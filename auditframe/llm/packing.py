@@ -7,7 +7,7 @@ import os
 import string
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from auditframe.llm.words import slices
 CAPACITY = 4096
 END_ID = 1
 #: Words, and parts of words, whose ids a process remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _LONGEST_REMEMBERED = 64
 
 
@@ -38,14 +38,25 @@ class _Remembered:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def get(self, key: str) -> bytes | None:
-        ids = self.young.get(key)
-        return self.old.get(key) if ids is None else ids
+    def known(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What is remembered of the keys, and the keys that are not."""
+        found, new = {}, []
+        young, old = self.young, self.old
+        for key in keys:
+            ids = young.get(key)
+            if ids is None:
+                ids = old.get(key)
+                if ids is None:
+                    new.append(key)
+                    continue
+                young[key] = ids
+            found[key] = ids
+        return found, new
 
     def add(self, found: dict[str, bytes]) -> None:
-        self.young.update((k, v) for k, v in found.items() if len(k) <= _LONGEST_REMEMBERED)
-        if len(self.young) > REMEMBERED:
+        if len(self.young) + len(found) > REMEMBERED:
             self.old, self.young = self.young, {"": b""}
+        self.young.update(found)
 
 
 def _byte_names() -> dict[int, str]:
@@ -83,27 +94,30 @@ class WordIds:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            spelled = part.encode().decode("latin-1").translate(self.names)
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model(spelled)])
-        return ids
+    def _spell(self, part: str) -> bytes:
+        spelled = part.encode().decode("latin-1").translate(self.names)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model(spelled)])
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        out, whole, parts = {}, [], {}
+        plain, whole = {}, []
+        marks = string.punctuation
         for w in words:
             if not (w.isprintable() and (w.isascii() or max(w) < "\u0100")) or "<|" in w:
                 whole.append(w)
                 continue
             low = w.lower()
-            head = low.rstrip(string.punctuation)
-            own = [x for x in (head, low[len(head) :]) if x] if head.isalpha() or not head else self.split(low)
-            for p in own:
-                if p not in parts:
-                    parts[p] = self._part(p)
-            out[w] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
-        self.parts.add(parts)
+            head = low.rstrip(marks)
+            if not head.isalpha() and head:
+                plain[w] = self.split(low)
+            elif head == low:
+                plain[w] = (low,)
+            else:
+                plain[w] = (head, low[len(head) :])
+        parts, new = self.parts.known(set().union(*plain.values()))
+        spelled = {p: self._spell(p) for p in new}
+        self.parts.add({p: ids for p, ids in spelled.items() if len(p) <= _LONGEST_REMEMBERED})
+        parts |= spelled
+        out = {w: parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own]) for w, own in plain.items()}
         return out | dict(zip(whole, self._whole(whole), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -111,10 +125,10 @@ class WordIds:
         if not self.by_word:
             return self._whole(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = {w: self.words.get(w) for w in set().union(*split)}
-        new = self._learn([w for w, ids in found.items() if ids is None])
-        found.update(new)
-        self.words.add(found)
+        found, new = self.words.known(set().union(*split))
+        learned = self._learn(new)
+        self.words.add({w: ids for w, ids in learned.items() if len(w) <= _LONGEST_REMEMBERED})
+        found |= learned
         return [b"".join([found[w] for w in own]) for own in split]
 
 
