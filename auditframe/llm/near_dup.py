@@ -26,7 +26,7 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Coordinates that must agree in two bits each, of 54 expected at similarity 0.8 with a deviation of 2.9.
 BIT_MATCHES = 38
 SKETCH_CELLS = 1 << 20
-#: Hubs that a class is compared with before components are formed; a class has ``PREFIX`` lists, so that many at most.
+#: Hubs that a class is compared with before components are formed; the others, lists of two included, wait for them.
 HUBS = 2
 #: Documents of one side that a task compares at a time.
 BLOCK = 512
@@ -250,6 +250,11 @@ def _keyed(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(rid) of both sides, each once."""
+    return pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+
+
 class NearDuplicates:
     """Near-duplicate classes of the rows of ``df``; see ``near_duplicates``."""
 
@@ -333,7 +338,7 @@ class NearDuplicates:
         )
         # Of the hubs whose bits agree with a class, the best connected ones; the others are left to _rest.
         best = F.slice(F.sort_array(F.collect_set(F.struct("hub", "b")), asc=False), 1, HUBS)
-        pairs = stored(
+        self.pairs = stored(
             self.shared.filter(F.col("rid") != F.col("b"))
             .filter(_agree("", "b") >= BIT_MATCHES)
             .groupBy(F.col("rid").alias("a"))
@@ -341,19 +346,30 @@ class NearDuplicates:
             .select("a", F.explode("best.b").alias("b")),
             "pairs",
         )
-        sets = self._sets(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct())
+        return self._confirm(self.pairs, self._sets(_ends(self.pairs)))
+
+    def _confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         return stored(both.filter(_confirmed("set_a", "set_b", self.percent)).select("a", "b"), "links")
 
+    def _cut(self, known: DataFrame) -> DataFrame:
+        """Pairs of lists of two, of different components and with similar bits, that _stars left out."""
+        twos = self.shared.filter("size = 2").filter(F.col("rid") != F.col("b")).filter(_agree("", "b") >= BIT_MATCHES)
+        twos = twos.select(F.col("rid").alias("a"), "b").distinct().join(self.pairs, ["a", "b"], "left_anti")
+        own = lambda c: known.select(F.col("rid").alias(c), F.col("label").alias(f"label_{c}"))
+        named = twos.join(own("a"), "a", "left").join(own("b"), "b", "left")
+        return stored(named.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "cut")
+
     def _rest(self, labels: DataFrame) -> DataFrame:
         """Confirmed links between components that no hub has found, enough to span them.
 
-        Lists of two are done: their pair is that of the hub. In longer lists, pairs of different components
-        with similar bits make clusters, and in each cluster the documents outside its largest component are
+        The pair of a list of two is confirmed by itself if it was not among the best hubs. In longer lists,
+        pairs of different components with similar bits make clusters, and in each cluster the documents outside its largest component are
         compared with all others, block by block. Every pair of a list is looked at; the number of rows that
         leave a task is that of its documents at most.
         """
         known = labels.withColumnRenamed("node", "rid")
+        cut = self._cut(known)
         long = (
             self.shared.filter("size > 2").select("token", "rid", "lo", "hi", "size")
             .join(known, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
@@ -376,7 +392,7 @@ class NearDuplicates:
         ).drop("token").withColumnRenamed("key", "token")
         near = stored(dealt.groupBy("bucket").applyInArrow(_contested, "a long, b long").distinct(), "contested")
         if near.isEmpty():
-            return near
+            return near if cut.isEmpty() else self._confirm(cut, self._sets(_ends(cut)))
         members = components(near).toDF("rid", "cluster")
         facts = long.groupBy("rid").agg(F.first("label").alias("label"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
         docs = stored(members.join(facts, "rid"), "members")
@@ -404,10 +420,11 @@ class NearDuplicates:
         )
         columns = ["cluster", "i", "rid", "label", "lo", "hi", "side"]
         every = mains.select(*columns).union(against.select(*columns)).union(among.select(*columns))
-        sets = self._sets(docs.select("rid"))
-        return stored(
+        sets = self._sets(docs.select("rid").union(_ends(cut)).distinct())
+        settled = stored(
             every.join(sets, "rid").groupBy("cluster", "i").applyInArrow(_settle(self.percent), "a long, b long"), "links"
         )
+        return settled if cut.isEmpty() else settled.union(self._confirm(cut, sets))
 
     def result(self) -> DataFrame:
         """(id, text_hash, rid, n, component_id, keeper) per row."""

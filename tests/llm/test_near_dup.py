@@ -78,6 +78,21 @@ def test_blocks_agree(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 2)
 
 
+def test_near_copies_beside_two_heavier_hubs(spark):
+    """Copies share lists of two only; each shares a passage with each of two half-similar, better connected pages."""
+    rng = random.Random(5)
+    passage = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(30):
+        core, own, (p, q, r, s) = passage(195), passage(165), [passage(18) for _ in range(4)]
+        rows += [core + own + p + q, core + own + r + s, core + p + r, core + q + s, *(core + passage(60) for _ in range(4))]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows, 5)
+    assert sum(d != c for d, _, c in want) >= 30
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
 def test_one_row_of_each_component_stays(spark):
     rows = documents()
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, kept int")
