@@ -13,7 +13,7 @@ from auditframe.llm import words as W
 from auditframe.llm.common import fresh, stored
 
 #: Labelled rows that the document classifier is fitted on, at most; those with the smallest hash of their id.
-FIT_ROWS = 12_000
+FIT_ROWS = 20_000
 HASH_BITS = 18
 #: Sites that may be broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 500_000

@@ -35,6 +35,22 @@ def test_a_site_moves_its_documents_odds(spark):
     assert max(p[1000 + i] for i in range(3)) < min(p[1000 + i] for i in range(3, 6))
 
 
+def test_rare_toxic_words_late_in_the_sample_count(spark):
+    """The rows with a rare toxic word come after 12,000 others in the order of the sample."""
+    ids = spark.range(16_000).withColumnRenamed("id", "doc_id")
+    late = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc(), "doc_id").limit(60).collect()]
+    toxic = F.col("doc_id").isin(late)
+    docs = ids.select(
+        "doc_id", F.when(toxic, "some plain words and then blargh").otherwise("some plain words and then more").alias("text"),
+        F.lit("s").alias("source"), F.lit("en").alias("lang"),
+    )
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), toxic.cast("int").alias("toxic"))
+    weights, _ = quality.fit_classifiers(docs, labels)[1]
+    assert weights.any()
+    scored = quality.score_quality(docs, labels, carry=["doc_id"])
+    assert scored.filter(F.col("doc_id").isin(late) & F.col("kept")).count() == 0
+
+
 def test_odd_rows(spark):
     rows = [*_texts(20), (None, None, None, None), (20, "", None, "en"), (21, "x" * 100000, "s1", None), (3, _texts(4)[3][1], "s0", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("kept", F.lit(1)).withColumn("good", F.lit("g"))
