@@ -86,6 +86,8 @@ HANDLER_RULE = Rule(
     "webhook-missing-signature", "js", "medium", "missing-auth", "low", [".post("],
     r"""\.post\(\s*['"][^'"]*['"]\s*,\s*(?:async\s+)?(?:function\s*\([^)]*\)|\([^)]*\)\s*=>)\s*\{.*?\n\}\)""",
 )
+# The same block as Java's patterns can say it: it ends at a closing line that is indented like the line that opens it.
+HANDLER_BLOCK = HANDLER_RULE.pattern.removesuffix(r"\n\}\)") + r"\n\k<indent>\}\)"
 HANDLER_PATH = r"(?i)(webhook|/hook|stripe|github|payment|callback)"
 HANDLER_CHECKED = r"(?i)(signature|verif|hmac|createhmac|x-hub|stripe-signature|timingsafeequal|constant_?time)"
 COMMENT_LINE = r"^\s*(//|#)"
@@ -157,14 +159,15 @@ def scan_handlers(files: DataFrame) -> DataFrame:
     """Webhook handlers that never look at a signature; the line is where the handler starts."""
     rule = HANDLER_RULE
     # Group 1 is the text between the previous handler and this one, so line
-    # numbers follow from counting breaks without searching for the block again.
+    # numbers follow from counting breaks without searching for the block again;
+    # group 2 are the blanks that its line begins with, none behind a block on the same line.
     # Every search starts where the last block ended: what follows the last one is read once, not from each place.
-    split = rf"(?s)\G(.*?)({rule.pattern})"
+    split = rf"(?s)\G(.*?(?:(?<![^\n])|\G)(?<indent>[ \t]*+)[^\n]*?)({HANDLER_BLOCK})"
     found = files.filter(S.extension("path").isin(V.JS_EXTENSIONS) & F.col("content").contains(".post(")).select(
         "repo",
         "path",
         F.regexp_extract_all("content", F.lit(split), F.lit(1)).alias("gaps"),
-        F.regexp_extract_all("content", F.lit(split), F.lit(2)).alias("blocks"),
+        F.regexp_extract_all("content", F.lit(split), F.lit(3)).alias("blocks"),
     )
 
     def breaks(text: Column) -> Column:
