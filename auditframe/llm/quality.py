@@ -220,6 +220,7 @@ def score_quality(
     A logistic classifier fitted on a bounded sample of labelled documents gives each document's own odds.
     Their means over all documents give every host, and every path within a host, a rate: hosts are shrunk to
     the global rate and paths to their host's, by a prior whose weight follows from how much sites differ.
+    ``documents`` carries no URL, so ``source`` stands for the host and ``lang`` for the path unless named.
     A document's odds are then moved by its path's odds against the global ones. A document is kept if it is
     more likely good than not, and less likely toxic than not.
 
