@@ -28,8 +28,8 @@ BIT_MATCHES = 38
 SKETCH_CELLS = 1 << 20
 #: Hubs that a class is compared with before components are formed; the others, lists of two included, wait for them.
 HUBS = 2
-#: Documents of one side that a task compares at a time.
-BLOCK = 512
+#: Documents of one side that a task compares at a time, and those of a list's largest component on the other side.
+BLOCK, MAIN_BLOCK = 512, 16_384
 #: Keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 _SEEDS = W.mix(np.arange(COORDINATES, dtype=np.uint64), 211) | np.uint64(1)
@@ -375,21 +375,38 @@ class NearDuplicates:
             .join(known, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         )
         long = stored(long, "long")
-        open_ = long.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-        mixed = long.join(open_.select("token"), "token", "left_semi")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-        other = F.explode(F.sequence(F.lit(0), blocks - 1))
+        # Of each list, its largest component against the rest, and the rest among itself. Where the rest fits in a block,
+        # as nearly everywhere, every row is dealt once.
+        counts = long.groupBy("token", "label").agg(F.count("*").alias("n"))
+        lists = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).select(
+            "token", F.col("main.label").alias("main"),
+            F.ceil(F.col("main.n") / MAIN_BLOCK).cast("int").alias("inside"),
+            F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("outside"),
+            (F.col("main.n") * F.ceil((F.col("n") - F.col("main.n")) / BLOCK)).alias("copies"),
+        ).filter("outside > 0")
+        lists = stored(lists, "open")
         n_buckets = max(
             int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-            long.count() // 200_000 + 1,
+            (lists.agg(F.sum("copies")).first()[0] or 0) // 200_000 + 1,
         )
-        dealt = mixed.withColumn("own", own).withColumn("other", other).select(
-            "token", "rid", "label", "lo", "hi",
-            F.pmod(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")), F.lit(n_buckets)).alias("bucket"),
-            F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-        ).drop("token").withColumnRenamed("key", "token")
+        mixed = long.drop("size").join(lists.drop("copies"), "token")
+        block = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        pair = lambda kind, a, b: F.xxhash64("token", F.lit(kind), a, b)
+        mains = mixed.filter("label = main").withColumn("o", each("outside")).withColumns(
+            {"key": pair("main", F.col("o"), block("inside")), "side": F.lit(2)}
+        )
+        outs = mixed.filter("label <> main").withColumn("o", block("outside"))
+        against = outs.withColumn("x", each("inside")).withColumns({"key": pair("main", F.col("o"), F.col("x")), "side": F.lit(1)})
+        among = outs.withColumn("x", each("outside")).withColumns(
+            {
+                "key": pair("rest", F.least("o", "x"), F.greatest("o", "x")),
+                "side": F.when(F.col("o") == F.col("x"), 0).when(F.col("o") < F.col("x"), 1).otherwise(2),
+            }
+        )
+        columns = ["key", "rid", "label", "lo", "hi", "side"]
+        dealt = mains.select(*columns).union(against.select(*columns)).union(among.select(*columns))
+        dealt = dealt.withColumnRenamed("key", "token").withColumn("bucket", F.pmod("token", F.lit(n_buckets)))
         near = stored(dealt.groupBy("bucket").applyInArrow(_contested, "a long, b long").distinct(), "contested")
         if near.isEmpty():
             return near if cut.isEmpty() else self._confirm(cut, self._sets(_ends(cut)))
@@ -404,7 +421,6 @@ class NearDuplicates:
             F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int")).alias("outside"),
         )
         placed = docs.join(clusters, "cluster").withColumn("is_main", F.col("label") == F.col("main"))
-        block = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
         mains = placed.filter("is_main").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outside") - 1))).withColumns(
             {"i": F.concat_ws("/", F.col("o").cast("string"), F.lit("m"), block("inside").cast("string")), "side": F.lit(2)}
         )
