@@ -6,15 +6,18 @@ import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from auditframe.llm import words as W
-from auditframe.llm.common import fresh
+from auditframe.llm.common import fresh, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -23,7 +26,7 @@ BLOCKS = 16
 #: Differing bits within which every fingerprint is found. Windows at similarity 0.8 differ in 19 bits on
 #: average with a deviation of 4, unrelated ones in 64 with a deviation of 6.
 RADIUS = 40
-#: Items held by a task at a time; a larger benchmark is searched in several passes.
+#: Items that the driver and a task hold at a time; a larger benchmark is searched in several passes, one after the other.
 ITEMS_PER_PASS = 20_000
 
 
@@ -147,7 +150,7 @@ class _Finder:
                     for start in _starts(own, n, need).tolist():
                         if begin <= start and start + n + width - 1 <= end:
                             self._judge(hashes[start : start + n], start - begin, n + width - 1, size, out[row])
-        return [[(i, *m) for i, m in sorted(found.items(), key=lambda x: str(x[0]))] for found in out]
+        return [[(i, *m) for i, m in sorted(found.items())] for found in out]
 
     def _judge(self, window: np.ndarray, start: int, n_words: int, size: int, found: dict) -> None:
         own = None
@@ -161,13 +164,9 @@ class _Finder:
                         found[item] = (start, n_words, score)
 
 
-_MATCH = pa.list_(
-    pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64())])
-)
-_MATCH_SQL = "array<struct<item_id:bigint,start:bigint,words:bigint,similarity:double>>"
+def _search(index, similarity: float, text: str, carried: list[str], id_type: pa.DataType, only_found: bool = False):
+    match = pa.list_(pa.struct([("item_id", id_type), ("start", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64())]))
 
-
-def _search(index, similarity: float, text: str, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Finder(index.value, similarity)
         for batch in batches:
@@ -176,10 +175,8 @@ def _search(index, similarity: float, text: str, carried: list[str]):
                     [dict(zip(("item_id", "start", "words", "similarity"), m, strict=True)) for m in row]
                     for row in find(piece.column(text))
                 ]
-                if "__matches" in piece.schema.names:
-                    found = [a + b for a, b in zip(piece.column("__matches").to_pylist(), found, strict=True)]
-                columns = [piece.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _MATCH)], [*carried, "__matches"])
+                out = pa.RecordBatch.from_arrays([*(piece.column(c) for c in carried), pa.array(found, match)], [*carried, "__matches"])
+                yield out.filter(pa.array([bool(f) for f in found])) if only_found else out
 
     return run
 
@@ -202,16 +199,23 @@ def find_matches(
     and these are compared exactly. Windows that share fewer places with the items of their size than the
     similarity needs are not hashed, which loses none. A text shorter than an item is one window.
 
-    The benchmark is read in blocks of at most ``ITEMS_PER_PASS`` items; the texts pass once for each, and no
-    text moves between tasks. Null or empty texts and items match nothing; items with equal ids count as
-    one. A column already called ``matches`` is replaced. Empty tables give no matches.
+    The benchmark is searched in blocks of at most ``ITEMS_PER_PASS`` items, each in a pass of its own: a block's index is
+    built, sent out and dropped again before the next one, so the driver and a task hold one at a time. With several
+    blocks the texts are stored with a number first; a pass reads them and stores only the numbers and matches of texts that
+    hold something, and these are joined in the end. With one block no text moves between tasks.
+
+    Null or empty texts and items match nothing; items with equal ids count as one; ids may be of any atomic type (others
+    are compared as text). Repeated rows are judged each. A column already called ``matches`` is replaced. Empty tables
+    give no matches.
     """
     spark = df.sparkSession
     df = df.drop("matches")
     carry = [c for c in (carry if carry is not None else df.columns)]
-    items = benchmark.select(
-        F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")
-    ).filter("i IS NOT NULL AND t IS NOT NULL")
+    kind = benchmark.select(F.col(f"`{item_id}`")).schema[0].dataType
+    own = F.col(f"`{item_id}`").cast("string") if isinstance(kind, T.ArrayType | T.MapType | T.StructType) else F.col(f"`{item_id}`")
+    items = benchmark.select(own.alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    id_type, id_sql = to_arrow_type(items.schema["i"].dataType), items.schema["i"].dataType.simpleString()
+    matches_sql = f"array<struct<item_id:{id_sql},start:bigint,words:bigint,similarity:double>>"
     passes = max(1, -(-items.count() // ITEMS_PER_PASS))
     # Names of our own, so that any column may be called anything.
     names = [f"c{n}" for n in range(len(df.columns))]
@@ -219,13 +223,26 @@ def find_matches(
     kinds = {n: f.dataType.simpleString() for n, f in zip(names, df.schema.fields, strict=True)}
     work = df.toDF(*names)
     kept = [at[c] for c in carry]
-    for number in range(passes):
+
+    def index_of(number: int):
         block = items.filter(F.pmod(F.xxhash64("i"), F.lit(passes)) == number).dropDuplicates(["i", "t"])
-        index = spark.sparkContext.broadcast(ItemIndex().fill(sorted(tuple(r) for r in block.collect()), shingle))
-        carried = kept if number == passes - 1 else list(dict.fromkeys([*kept, at[text]]))
-        schema = ", ".join([*(f"{c} {kinds[c]}" for c in carried), f"__matches {_MATCH_SQL}"])
-        work = work.mapInArrow(_search(index, similarity, at[text], carried), schema)
-    return work.select(*kept, "__matches").toDF(*carry, "matches")
+        return spark.sparkContext.broadcast(ItemIndex().fill(sorted(tuple(r) for r in block.collect()), shingle))
+
+    if passes == 1:
+        schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), f"__matches {matches_sql}"])
+        found = work.mapInArrow(_search(index_of(0), similarity, at[text], kept, id_type), schema)
+    else:
+        work = stored(work.withColumn("__row", F.monotonically_increasing_id()), "texts")
+        parts = []
+        for number in range(passes):
+            index = index_of(number)
+            run = _search(index, similarity, at[text], ["__row"], id_type, only_found=True)
+            parts.append(stored(work.select("__row", at[text]).mapInArrow(run, f"__row long, __matches {matches_sql}"), "matches"))
+            index.destroy()
+        hits = reduce(DataFrame.union, parts).groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("__matches"))).alias("__matches"))
+        none = F.array().cast(matches_sql)
+        found = work.join(hits, "__row", "left").withColumn("__matches", F.coalesce("__matches", none))
+    return found.select(*kept, "__matches").toDF(*carry, "matches")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

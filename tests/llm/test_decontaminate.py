@@ -73,6 +73,18 @@ def test_passes_agree(spark, monkeypatch):
     assert got == one
 
 
+def test_ids_of_any_type_and_repeated_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("x", "a b c d e f g h")] * 2 + [(None, "k l m n o p q"), ("y", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([("it/7", "a b c d e f g"), ("it/8", "k l m n o p q")], "item_id string, text string")
+    for bound in (20_000, 1):
+        monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", bound)
+        rows = decontaminate.find_matches(df, bench).collect()
+        assert sorted((str(r.doc_id), [m.item_id for m in r.matches]) for r in rows) == [("None", ["it/8"]), ("x", ["it/7"]), ("x", ["it/7"]), ("y", [])]
+        assert [r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()] == ["y"]
+    pairs = bench.selectExpr("named_struct('a', item_id) AS item_id", "text")
+    assert decontaminate.find_matches(df, pairs).filter("size(matches) > 0").count() == 3
+
+
 def test_query_finds_planted_passages(spark, sf_dir):
     texts = {r.doc_id: " ".join(words(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r.item_id: " ".join(words(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
