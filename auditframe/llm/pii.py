@@ -231,8 +231,8 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     matches that fail the test and looser spellings. Four labelers (patterns, gazetteers, words in front,
     shape) vote on all candidates; expectation-maximisation over the vote patterns estimates how far each
     labeler is right, and its posteriors train a naive Bayes classifier on the spans' own features. A
-    further candidate is added if the mean of both log odds is positive and no base span or earlier
-    addition of its kind overlaps it.
+    further candidate is added if the mean of both log odds is positive and no base span and no addition of its kind
+    kept before it overlaps it.
 
     A null or empty text has no spans. Rows are judged alone, so repeated rows and ids get equal answers;
     existing columns of the two names are replaced. Only DataFrame functions run on the executors; the
@@ -276,15 +276,19 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     place = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     base = F.filter(F.col(cand), lambda c: c["base"])
     more = F.array_sort(F.transform(F.filter(F.col(cand), lambda c: ~c["base"] & (score(c) > 0)), place))
-    free = F.filter(
-        more,
-        lambda m, i: ~F.exists(F.col(post), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        & ((i == 0) | (F.element_at(F.col(adds), F.greatest(i, F.lit(1)))["end"] <= m["start"]) | (F.element_at(F.col(adds), F.greatest(i, F.lit(1)))["kind"] != m["kind"])),
-    )
+    free = F.filter(more, lambda m: ~F.exists(F.col(post), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+
+    def keep(kept: Column, m: Column) -> Column:
+        last = F.element_at(kept, -1)
+        clear = (F.size(kept) == 0) | (last["kind"] != m["kind"]) | (last["end"] <= m["start"])
+        return F.when(clear, F.array_append(kept, m)).otherwise(kept)
+
+    chosen = F.when(F.size(adds) < 2, F.col(adds)).otherwise(F.aggregate(adds, none, keep))
     return (
         judged.withColumn(post, F.array_sort(F.transform(base, place)))
-        .withColumn(adds, more)
-        .withColumn(cand, free)
+        .withColumn(adds, free)
+        .withColumn(cand, chosen)
         .select(*rest, F.col(post).alias("base_spans"), F.array_sort(F.concat(post, cand)).alias("pii_spans"))
     )
 
