@@ -30,8 +30,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_dup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays, judged by shingles of two words as in ``op5``."""
+    return near_dup.drop_near_duplicates(docs, shingle=2)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
