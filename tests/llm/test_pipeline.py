@@ -1,7 +1,6 @@
 """The pipeline: every stage works on what the one before kept, and its decisions take effect."""
 
 import corpus_pipeline
-from auditframe.llm import near_dup
 from auditframe.llm.common import stored, table
 from tests.llm.test_decontaminate import words
 from tests.llm.test_line_dedup import brute as plain_lines
@@ -30,7 +29,7 @@ def test_stages(spark, sf_dir):
     assert got == sorted(((i, t) for i, _, _, t in plain_lines(texts["line_dedup"])), key=str)
 
     left = {r.doc_id for r in after["near_dedup"].collect()}
-    assert left == {d for d, n, c in plain_groups(texts["near_dedup"], near_dup.SHINGLE) if d == c or not n}
+    assert left == {d for d, n, c in plain_groups(texts["near_dedup"], 2) if d == c or not n}
 
     items = [" ".join(words(r.text)) for r in table(spark, sf_dir, "benchmark").collect()]
     holds = {d for d, t in texts["decontamination"] if any(f" {i} " in f" {' '.join(words(t))} " for i in items)}
@@ -44,3 +43,22 @@ def test_run_gives_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 0
+
+
+def test_odd_documents_pass_every_stage(spark, sf_dir):
+    """Nulls, empty and very long texts, ties and repeated rows go through all stages, and so does an empty table."""
+    shared = "a passage that many of these documents have in common with each other and with nobody else"
+    odd = [(i, None, None, None, None) for i in (1, 1, None)] + [(2, "", "en", "web", 0), (3, " \n\t\n", "en", None, 4)]
+    odd += [(4, "word " * 60_000, None, "web", 300_000), (5, "x" * 200_000, "de", "web", None)]
+    odd += [(10 + i, f"{shared}\nline number {i} of its own, which is long enough to be told apart\n{shared}", "en", "web", 200) for i in range(6)]
+    odd += [(20, "one text that is there again and again, word for word and to the very last letter", "en", "web", 80)] * 4
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for rows in (docs, docs.limit(0)):
+        left = rows
+        for name, stage in corpus_pipeline.STAGES:
+            before = left
+            left = stored(stage(spark, before, sf_dir), "test")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert left.columns == docs.columns and left.count() <= before.count()
+        out = left.collect()
+    assert out == []
