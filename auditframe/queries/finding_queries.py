@@ -163,7 +163,12 @@ def datafile_policy_ignore(spark, sf_dir):
     return P.apply_data_file_policy(IN.findings(spark, sf_dir), "ignore").select(*_CORE)
 
 
-_ASSERT_NOISE = "(rule_id LIKE 'B101%' AND (file LIKE 'tests/%' OR file LIKE '%.test.ts'))"
+# Folders and file names of tests, as paths in lower case.
+_TEST_FOLDERS = "'test', 'tests', '__tests__', 'spec', 'specs'"
+_TEST_NAMES = r"^test_.+\.py$|_test\.py$|^conftest\.py$|\.(test|spec)\.[cm]?[jt]sx?$"
+_PATH = "string_split(lower(replace(coalesce(file, ''), chr(92), '/')), '/')"
+_IN_TEST = f"(list_has_any({_PATH}, [{_TEST_FOLDERS}]) OR regexp_matches({_PATH}[-1], '{_TEST_NAMES}'))"
+_ASSERT_NOISE = rf"((regexp_matches(rule_id, 'assert_used', 'i') OR regexp_matches(rule_id, '\bB101\b')) AND {_IN_TEST})"
 
 
 @query(f"SELECT {_CORE_SQL} FROM norm WHERE NOT {_ASSERT_NOISE}", ["norm"])
