@@ -1,8 +1,8 @@
 """Web routes, guards and security signals of source files, and the checks built on them.
 
-Extraction works line by line on literal patterns (a call spread over several
-lines is missed). Only routes and one row of flags per repository are ever
-shuffled, never file contents.
+JavaScript routes are the calls that the scanner finds, with their arguments;
+Python routes come from runs of decorator lines. Only routes and one row of flags
+per repository are ever shuffled, never file contents.
 """
 
 from __future__ import annotations
@@ -14,55 +14,51 @@ from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
 from auditframe.operators.findings import concat_findings, make_findings
 from auditframe.operators.joins import salted_join
-from auditframe.operators.rules import COMMENT_LINE
 from auditframe.session import durable
-from auditframe.sources.files import LINE_BREAK, listed, logical_lines
+from auditframe.sources.files import LINE_BREAK, listed
+from auditframe.sources.scanner import scanned
 
-# Patterns of the route recipe.
-JS_ROUTE = r"""\.(get|post|put|delete|patch|all|head|options)\(\s*['"]([^'"]*)['"]\s*(?:,\s*(.*))?$"""
-JS_USE = r"""\.use\(\s*(?:['"][^'"]*['"]\s*,\s*)?(.*)$"""
-JS_INLINE_HANDLER = r"(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|\w+\s*=>).*$"
+# Methods and patterns of the route recipe.
+JS_METHODS = ["get", "post", "put", "delete", "patch", "all", "head", "options"]
+#: A name, a member or a call as an argument, whose last name counts; arguments come without what their brackets hold.
+JS_GUARD = r"^(?:[A-Za-z_$][\w$]*(?:\(\)|\[\])*\s*\??\.\s*)*([A-Za-z_$][\w$]*)(?:\(\))*$"
 PY_DECORATED_ROUTE = r"@\s*[\w.]+\.(route|get|post|put|delete|patch)\s*\("
 PY_DEF = r"^(async\s+)?def\s+"
 WEB_FRAMEWORK = r"(?i)^(express|fastify|koa|flask|django|@hapi)"
 _ROUTE_TYPE = "array<struct<framework:string,method:string,path:string,line:int,guards:array<string>>>"
 
 
-def _guard_names(rest: Column) -> Column:
-    """Names left in an argument list once inline handlers and call arguments are removed."""
-    text = F.regexp_replace(rest, JS_INLINE_HANDLER, "")
-    text = F.regexp_replace(text, r"\([^()]*\)", "")
-    text = F.regexp_replace(text, r"\)\s*;?\s*$", "")
-    names = F.transform(F.split(text, ",", -1), lambda a: S.last_segment(S.strip(a)))
-    return F.filter(names, lambda n: n.rlike(r"^[A-Za-z_$][\w$]*$"))
+def _guard_names(args: Column) -> Column:
+    """Names that arguments stand for; functions and other expressions have none."""
+    names = F.transform(
+        args, lambda a: F.when(a.rlike(V.STRING_VALUE) & ~a.startswith("`"), F.substr(a, F.lit(2), F.length(a) - 2)).otherwise(F.regexp_extract(a, JS_GUARD, 1))
+    )
+    return F.filter(names, lambda n: (n != "") & ~n.isin("function", "async"))
 
 
-def _js_lines(content: Column) -> Column:
-    """array<struct<text, line>> of the logical lines that may hold a route or a ``use``."""
-    return F.filter(
-        logical_lines(content),
-        lambda x: (x["text"].contains(".use(") | x["text"].rlike(JS_ROUTE)) & ~x["text"].rlike(COMMENT_LINE),
-    )
+def _rest(args: Column) -> Column:
+    return F.slice(args, 2, F.greatest(F.size(args), F.lit(1)))
 
 
-def _js_routes(kept: Column) -> Column:
+def _js_routes(calls: Column) -> Column:
+    routed = F.filter(calls, lambda c: (c["name"] != "use") & F.get(c["args"], F.lit(0)).rlike(V.STRING_VALUE))
     return F.transform(
-        F.filter(kept, lambda x: x["text"].rlike(JS_ROUTE)),
-        lambda x: F.struct(
+        routed,
+        lambda c: F.struct(
             F.lit("express").alias("framework"),
-            F.upper(F.regexp_extract(x["text"], JS_ROUTE, 1)).alias("method"),
-            F.regexp_extract(x["text"], JS_ROUTE, 2).alias("path"),
-            x["line"].alias("line"),
-            _guard_names(F.regexp_extract(x["text"], JS_ROUTE, 3)).alias("guards"),
+            F.upper(c["name"]).alias("method"),
+            F.substr(c["args"][0], F.lit(2), F.length(c["args"][0]) - 2).alias("path"),
+            c["line"].alias("line"),
+            _guard_names(_rest(c["args"])).alias("guards"),
         ),
     )
 
 
-def _js_guards(kept: Column) -> Column:
-    used = F.filter(kept, lambda x: x["text"].contains(".use("))
-    return F.array_distinct(
-        F.flatten(F.transform(used, lambda x: _guard_names(F.regexp_extract(x["text"], JS_USE, 1))))
-    )
+def _js_guards(calls: Column) -> Column:
+    used = F.filter(calls, lambda c: c["name"] == "use")
+    mounted = lambda c: F.coalesce(F.get(c["args"], F.lit(0)).rlike(V.STRING_VALUE), F.lit(False))
+    named = F.transform(used, lambda c: _guard_names(F.when(mounted(c), _rest(c["args"])).otherwise(c["args"])))
+    return F.array_distinct(F.flatten(named))
 
 
 def _decorated(content: Column) -> Column:
@@ -130,17 +126,13 @@ def route_facts(files: DataFrame) -> DataFrame:
     rows = files.filter(listed(extensions=V.JS_EXTENSIONS + V.PY_EXTENSIONS)).withColumn(
         "is_py", S.extension("path").isin(V.PY_EXTENSIONS)
     )
-    no_lines = F.array().cast("array<struct<text:string,line:int>>")
-    rows = rows.withColumn(
-        "js_lines",
-        F.when(~is_py & content.rlike(r"\.(?:use|get|post|put|delete|patch|all|head|options)\("), _js_lines(content)).otherwise(no_lines),
-    )
+    rows = rows.withColumn("js", scanned(F.when(~is_py, content), "js", (*JS_METHODS, "use")))
     py = F.when(content.rlike(PY_DECORATED_ROUTE), _decorated(content)).otherwise(F.array().cast(_ROUTE_TYPE))
     return rows.select(
         "repo",
         F.col("path").alias("file"),
-        F.when(is_py, py).otherwise(_js_routes(F.col("js_lines"))).alias("routes"),
-        F.when(is_py, F.array().cast("array<string>")).otherwise(_js_guards(F.col("js_lines"))).alias("use_guards"),
+        F.when(is_py, py).otherwise(_js_routes(F.col("js.calls"))).alias("routes"),
+        _js_guards(F.col("js.calls")).alias("use_guards"),
         *_signals(),
     )
 
@@ -166,11 +158,9 @@ def global_guards(facts: DataFrame) -> DataFrame:
 
 
 def _signals() -> list[Column]:
-    """helmet, csp, hsts, rate_limit, web_import of one file; needs ``content`` and ``is_py``."""
+    """helmet, csp, hsts, rate_limit, web_import of one file; needs ``content``, ``js`` and ``is_py``."""
     content = F.col("content")
-    bare = F.regexp_replace(content, r"(?m)^[ \t]*//[^\n]*$", "")
-    # Imports may list their names on lines of their own.
-    code = F.regexp_replace(bare, r"(?<=\b(?:import|require\()\s{0,2}\{)[^{}'\"]*+\}", " }")
+    code = F.array_join(F.transform("js.statements", lambda x: x["text"]), "\n")
     modules = F.concat(
         F.regexp_extract_all(code, F.lit(r"""\brequire\(\s*['"]([^'"]+)['"]"""), F.lit(1)),
         F.regexp_extract_all(code, F.lit(r"""(?m)^\s*import\b[^'"\n]*['"]([^'"]+)['"]"""), F.lit(1)),

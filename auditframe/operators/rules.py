@@ -1,12 +1,15 @@
 """Line rules, the handler rule, secret detection and rule evaluation over source text.
 
 Rule patterns are literals, so each is compiled once; a cheap substring test
-runs before every pattern and, for whole files, before the text is split into
-lines at all. No step shuffles.
+runs before every pattern and, for whole files, before the text is scanned at
+all. Statements come from the scanner, so comments take no part and calls may
+span lines. No step shuffles.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +19,7 @@ from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
 from auditframe.operators.findings import make_findings
 from auditframe.sources.files import lines, statement_lines
+from auditframe.sources.scanner import scanned
 
 
 class Rule(NamedTuple):
@@ -82,15 +86,11 @@ LINE_RULES = [
     Rule("weak-password-hash-python", "py", "high", "insecure-crypto", "medium", ["hashlib."],
          r"\bhashlib\.(?:md5|sha1|sha256)\([^)]*(?i:pass|pwd|secret|credential)[^)]*\)"),
 ]
-HANDLER_RULE = Rule(
-    "webhook-missing-signature", "js", "medium", "missing-auth", "low", [".post("],
-    r"""\.post\(\s*['"][^'"]*['"]\s*,\s*(?:async\s+)?(?:function\s*\([^)]*\)|\([^)]*\)\s*=>)\s*\{.*?\n\}\)""",
-)
-# The same block as Java's patterns can say it: it ends at a closing line that is indented like the line that opens it.
-HANDLER_BLOCK = HANDLER_RULE.pattern.removesuffix(r"\n\}\)") + r"\n\k<indent>\}\)"
+# A function or arrow given to a call, as the scanner shows arguments: without what stands in their own brackets.
+HANDLER = r"^(?:async\s*)?(?:function\s*\(\)|\(\)\s*=>)\s*\{\}$"
+HANDLER_RULE = Rule("webhook-missing-signature", "js", "medium", "missing-auth", "low", [".post("], HANDLER)
 HANDLER_PATH = r"(?i)(webhook|/hook|stripe|github|payment|callback)"
 HANDLER_CHECKED = r"(?i)(signature|verif|hmac|createhmac|x-hub|stripe-signature|timingsafeequal|constant_?time)"
-COMMENT_LINE = r"^\s*(//|#)"
 RULES = [*LINE_RULES, HANDLER_RULE]
 LANGUAGE_EXTENSIONS = {"js": V.JS_EXTENSIONS, "py": V.PY_EXTENSIONS}
 
@@ -112,16 +112,6 @@ def language_of(path: str | Column = "path") -> Column:
     return out
 
 
-def _may_match(text: Column, language: Column, rules: list[Rule]) -> Column:
-    """Some rule of the file's language finds one of its needles in the text."""
-    out = F.lit(False)
-    for lang in LANGUAGE_EXTENSIONS:
-        words = sorted({n for r in rules if r.language == lang for n in r.needles})
-        if words:
-            out = out | ((language == lang) & S.contains_any(text, words))
-    return out
-
-
 def _rule_struct(rule: Rule) -> Column:
     return F.struct(
         F.lit(rule.rule_id).alias("rule_id"),
@@ -131,66 +121,132 @@ def _rule_struct(rule: Rule) -> Column:
     )
 
 
+def _rule_hit(text: Column, rule: Rule) -> Column:
+    found = S.contains_any(text, rule.needles) & text.rlike(rule.pattern)
+    return found & _outside_strings(text, F.array(*[F.lit(n) for n in rule.needles]))
+
+
+def _outside_strings(text: Column, needles: Column) -> Column:
+    """Some needle is there; one that can only be code, such as the beginning of a call, not just in a string."""
+    bare = F.regexp_replace(text, V.STRINGS, '""')
+    return F.exists(needles, lambda n: F.contains(text, n) & (~n.rlike(r"[.(]") | F.contains(bare, n)))
+
+
 def scan_rules(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(repo, path, line, rule_id, severity, category, confidence) per matching line and rule."""
+    """(repo, path, line, rule_id, severity, category, confidence) per matching statement and rule.
+
+    Only files that hold what a rule of their language looks for are scanned; comments take no part, and calls over
+    several lines are one statement.
+    """
     rules = rules or LINE_RULES
-    candidates = files.withColumn("language", language_of()).filter(
-        _may_match(F.col("content"), F.col("language"), rules)
-    )
-    text = F.col("text")
-    rows = statement_lines(candidates, ["repo", "path", "language"]).filter(
-        _may_match(text, F.col("language"), rules) & ~text.rlike(COMMENT_LINE)
-    )
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    (F.col("language") == r.language) & S.contains_any(text, r.needles) & text.rlike(r.pattern),
-                    _rule_struct(r),
-                )
-                for r in rules
-            ]
+    out = None
+    for language in sorted({r.language for r in rules}):
+        mine = [r for r in rules if r.language == language]
+        words = sorted({n for r in mine for n in r.needles})
+        candidates = files.filter(language_of() == language).filter(S.contains_any(F.col("content"), words))
+        text = F.col("text")
+        rows = statement_lines(candidates, language).filter(S.contains_any(text, words))
+        hits = F.array_compact(
+            F.array(*[F.when(_rule_hit(text, r), _rule_struct(r)) for r in mine])
         )
-    )
-    return rows.select("repo", "path", "line", F.inline(hits))
+        found = rows.select("repo", "path", "line", F.inline(hits))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def scan_handlers(files: DataFrame) -> DataFrame:
-    """Webhook handlers that never look at a signature; the line is where the handler starts."""
-    rule = HANDLER_RULE
-    # Group 1 is the text between the previous handler and this one, so line
-    # numbers follow from counting breaks without searching for the block again;
-    # group 2 are the blanks that its line begins with, none behind a block on the same line.
-    # Every search starts where the last block ended: what follows the last one is read once, not from each place.
-    split = rf"(?s)\G(.*?(?:(?<![^\n])|\G)(?<indent>[ \t]*+)[^\n]*?)({HANDLER_BLOCK})"
-    found = files.filter(S.extension("path").isin(V.JS_EXTENSIONS) & F.col("content").contains(".post(")).select(
-        "repo",
-        "path",
-        F.regexp_extract_all("content", F.lit(split), F.lit(1)).alias("gaps"),
-        F.regexp_extract_all("content", F.lit(split), F.lit(3)).alias("blocks"),
-    )
+#: Rules searched for in one pass: their index goes with the plan, so it is bounded whatever the table holds.
+RULES_PER_PASS = 5_000
+_WORDS = "[^A-Za-z0-9_$]+"
 
-    def breaks(text: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
-    start = F.struct(
-        F.lit(1).alias("line"), F.array().cast("array<struct<line:int,block:string>>").alias("found")
-    )
+def whole_words(needle: str, pattern: str) -> list[str]:
+    """Words that stand whole wherever the pattern finds the needle: those inside it, and those the pattern bounds itself."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9_$]+", needle)]
+    bounded = lambda word: rf"\b{word}\b" in pattern or (rf"\b{word}" in pattern and not needle.endswith(word))
+    return [w for a, b, w in words if (a > 0 and b < len(needle)) or bounded(w)]
 
-    def step(acc: Column, pair: Column) -> Column:
-        line = acc["line"] + breaks(pair["gaps"])
-        return F.struct(
-            (line + breaks(pair["blocks"])).alias("line"),
-            F.array_append(acc["found"], F.struct(line.alias("line"), pair["blocks"].alias("block"))).alias("found"),
-        )
 
-    numbered = found.select(
-        "repo", "path", F.inline(F.aggregate(F.arrays_zip("gaps", "blocks"), start, step)["found"])
-    )
-    route = F.regexp_extract("block", r"""\.post\(\s*['"]([^'"]*)['"]""", 1)
-    return numbered.filter(route.rlike(HANDLER_PATH) & ~F.col("block").rlike(HANDLER_CHECKED)).select(
-        "repo", "path", "line", F.inline(F.array(_rule_struct(rule)))
+def table_of_rules(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
+    """Rules as rows: what ``scan_rule_table`` reads. ``needles`` are alternatives, each with its whole words in ``words``."""
+    rows = [
+        (r.rule_id, r.language, r.severity, r.category, r.confidence, r.pattern, r.needles, [whole_words(n, r.pattern) for n in r.needles])
+        for r in rules or LINE_RULES
+    ]
+    return spark.createDataFrame(rows, _RULE_ROW)
+
+
+_RULE_ROW = (
+    "rule_id string, language string, severity string, category string, confidence string, pattern string,"
+    " needles array<string>, words array<array<string>>"
+)
+
+
+def scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hits of the rules of a table (columns of ``table_of_rules``) of any length, as ``scan_rules`` gives them.
+
+    Words of the rules make an inverted index: each alternative of a rule is listed under the rarest of its words, counted over
+    the files. A file's own words fetch the rules to try, so what a file costs grows with the rules that may match,
+    not with the table. An alternative without a whole word is tried on every file of its language. Files are read once to
+    count and once per ``RULES_PER_PASS`` rules to scan.
+    """
+    out = None
+    numbered = rules.select(*[F.col(c) for c in ("rule_id", "language", "severity", "category", "confidence", "pattern", "needles", "words")])
+    passes = max(1, -(-rules.count() // RULES_PER_PASS))
+    for number in range(passes):
+        held = numbered.filter(F.pmod(F.xxhash64("rule_id", "language", "pattern"), F.lit(passes)) == number)
+        block = sorted((r.asDict() for r in held.collect()), key=lambda r: (r["rule_id"], r["language"], r["pattern"]))
+        for language in sorted({r["language"] for r in block}):
+            mine = [r for r in block if r["language"] == language]
+            hits = _scan_block(files.filter(language_of() == language), language, mine)
+            out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else files.limit(0).select("repo", "path", F.lit(0).alias("line"), F.inline(F.array(_rule_struct(LINE_RULES[0]))))
+
+
+def _scan_block(files: DataFrame, language: str, rules: list[dict]) -> DataFrame:
+    words = sorted({w for r in rules for alternative in r["words"] for w in alternative})
+    own = F.array_distinct(F.split("content", _WORDS))
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    common: dict[str, int] = {}
+    if any(len(a) > 1 for r in rules for a in r["words"]):  # with one word each there is nothing to choose
+        found = files.select(F.explode(F.array_intersect(own, constant(words, "array<string>"))).alias("word"))
+        common = {r["word"]: r["count"] for r in found.groupBy("word").count().collect()}  # at most one row a word
+    index: dict[str, list[int]] = {}
+    for n, r in enumerate(rules):
+        for alternative in r["words"]:
+            key = min(alternative, key=lambda w: (common.get(w, 0), w)) if alternative else ""
+            index.setdefault(key, []).append(n)
+    listed_under = constant(index, "map<string,array<int>>")
+    keys = F.array_union(F.array_intersect(own, constant(sorted(index), "array<string>")), F.array(F.lit("")))
+    tried = F.array_distinct(F.flatten(F.transform(keys, lambda w: F.coalesce(F.try_element_at(listed_under, w), F.array().cast("array<int>")))))
+    fields = ["rule_id", "severity", "category", "confidence", "pattern", "needles"]
+    known = constant([{f: r[f] for f in fields} for r in rules], "array<struct<" + ",".join(f"{f}:{'array<string>' if f == 'needles' else 'string'}" for f in fields) + ">>")
+    rows = files.select("repo", "path", "content", tried.alias("tried")).filter(F.size("tried") > 0)
+    rows = rows.select("repo", "path", "tried", F.inline(scanned(F.col("content"), language)["statements"]))
+    rows = rows.select("repo", "path", "line", "text", F.explode("tried").alias("n")).withColumn("rule", F.get(known, F.col("n")))
+    text = F.col("text")
+    found = F.exists("rule.needles", lambda needle: F.contains(text, needle)) & F.rlike(text, F.col("rule.pattern"))
+    hit = found & _outside_strings(text, F.col("rule.needles"))
+    return rows.filter(hit).select("repo", "path", "line", *[F.col(f"rule.{f}") for f in fields[:4]])
+
+
+def scan_handlers(files: DataFrame) -> DataFrame:
+    """Webhook handlers that never look at a signature; the line is where the call starts.
+
+    A handler is the second and last argument of a ``post`` call, from its opening bracket to the matching one;
+    one that is never closed is not judged.
+    """
+    js = files.filter(S.extension("path").isin(V.JS_EXTENSIONS)).filter(F.col("content").rlike(r"\.\s*post\s*\("))
+    calls = scanned(F.col("content"), "js", ("post",), HANDLER_CHECKED)["calls"]
+    found = js.select("repo", "path", calls.alias("calls")).select("repo", "path", F.inline("calls"))
+    args = F.filter("args", lambda a: a != "")  # a comma may stand behind the last
+    judged = found.withColumn("args", args).filter(
+        (F.size("args") == 2)
+        & F.col("args")[0].rlike(V.STRING_VALUE)
+        & F.col("args")[0].rlike(HANDLER_PATH)
+        & F.col("args")[1].rlike(HANDLER)
+        & ~F.col("marked")
     )
+    return judged.select("repo", "path", "line", F.inline(F.array(_rule_struct(HANDLER_RULE))))
 
 
 def rule_findings(files: DataFrame) -> DataFrame:

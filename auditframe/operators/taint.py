@@ -5,8 +5,10 @@ are never shuffled. What leaves a file is small: sink hits, call edges and
 function headers. Only those are joined, and the call graph is walked by a
 frontier that visits each node once.
 
-Files are read as lines and statements, not as syntax trees: block comments,
-calls spread over lines and braces inside strings are approximations.
+Python files are read as lines. JavaScript files are read as the scanner's
+statements, not as syntax trees: comments are gone, calls and values may go on
+over several lines, and blocks and the heads of loops and conditions are
+statements of their own. Names live in their function, not in their block.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from auditframe.functions import scalars as S
 from auditframe.operators.findings import concat_findings, make_findings
 from auditframe.session import durable
 from auditframe.sources.files import LINE_BREAK, listed
+from auditframe.sources.scanner import scanned
 
 IDENT = r"[A-Za-z_$][\w$]*+"
 # A dotted name from its beginning. Without the look-behind every suffix of a long name would be tried.
@@ -169,8 +172,12 @@ JS_METHOD = (
     rf"({IDENT})\s*\(([^()]*)\)\s*(\{{.*)$"
 )
 JS_NAME_BEFORE = rf"(?:^|[\s,{{])({IDENT})\s*[=:]\s*(?:async\s*)?$"
-JS_ASSIGN = rf"^[\s{{}}]*(?:export\s+)?(?:(?:const|let|var)\s+)?({IDENT})\s*(?::\s*[\w<>\[\].]+\s*)?(\+?=)(?![=>])\s*(.*)$"
-JS_DESTRUCTURE = r"^[\s{}]*(?:const|let|var)\s*[\{\[]([^}\]]*)[}\]]\s*=\s*(.*)$"
+_LEAD = r"^[\s{}]*+(?:(?:else|do|try|finally|default\s*:|case\s[^:]*+:)[\s{]*+)*+"
+JS_ASSIGN = rf"{_LEAD}(?:export\s+)?(?:(?:const|let|var)\s+)?({IDENT})\s*(?::\s*[\w<>\[\].]+\s*)?(\+?=)(?![=>])\s*(.*)$"
+JS_DESTRUCTURE = _LEAD + r"(?:(?:const|let|var)\s*|\(\s*)?[\{\[]([^}\]]*)[}\]]\s*=(?![=>])\s*(.*)$"
+# Heads of loops: what each turn binds, and the first value of a counter.
+JS_EACH = rf"{_LEAD}for\s*(?:await\s*)?\(\s*(?:(?:const|let|var)\s+)?(?:({IDENT})|[\{{\[]([^}}\]]*)[}}\]])\s+(?:of|in)\s+(.*)\)$"
+JS_COUNTER = rf"{_LEAD}for\s*\(\s*(?:const|let|var)\s+({IDENT})\s*=(?!=)\s*([^;]*+);.*$"
 # Calls with up to two levels of nested parentheses. Possessive, so long lines
 # cost neither backtracking nor stack.
 _ARGS = r"((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)"
@@ -222,60 +229,42 @@ def _names(text: Column, keep_positions: bool) -> Column:
     return F.filter(named, lambda p: p.rlike(f"^{IDENT}$"))
 
 
-def _statements(content: Column) -> Column:
-    """array<struct<line, text, header, name, params>>: lines cut at function headers and semicolons."""
+def _statements(found: Column) -> Column:
+    """array<struct<line, text, header, name, params>>: the scanner's statements, cut before and behind function headers."""
     part = "struct<line:int,text:string,header:boolean,name:string,params:array<string>>"
 
-    def plain(text: Column, line: Column, drop_first: bool = False) -> Column:
-        pieces = F.split(text, ";", -1)
-        if drop_first:
-            pieces = F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)))
-        return F.transform(
-            pieces,
-            lambda s: F.struct(
-                line.alias("line"), s.alias("text"), F.lit(False).alias("header"),
-                F.lit("").alias("name"), _no("string").alias("params"),
-            ),
-        )
-
-    def opening(text: Column, line: Column, name: Column, params: Column) -> Column:
-        return F.array(
-            F.struct(
-                line.alias("line"), F.substring_index(text, ";", 1).alias("text"), F.lit(True).alias("header"),
-                name.alias("name"), params.alias("params"),
-            )
-        )
+    def piece(text: Column, line: Column, name: Column | None = None, params: Column | None = None) -> Column:
+        return F.struct(
+            line.alias("line"), text.alias("text"), F.lit(name is not None).alias("header"),
+            (F.lit("") if name is None else name).alias("name"), (_no("string") if params is None else params).alias("params"),
+        )
 
-    def of_line(text: Column, i: Column) -> Column:
-        line = (i + 1).cast("int")
+    def cut(s: Column) -> Column:
+        text, line = s["text"], s["line"]
         pre = F.regexp_extract(text, JS_HEADER, 1)
         name = F.coalesce(
             S.nonempty(F.regexp_extract(text, JS_HEADER, 2)), F.regexp_extract(pre, JS_NAME_BEFORE, 1)
         )
         params = F.concat(*[F.regexp_extract(text, JS_HEADER, g) for g in (3, 4, 5)])
-        post = F.regexp_extract(text, JS_HEADER, 6)
-        method_post = F.regexp_extract(text, JS_METHOD, 3)
         return (
-            F.when(text.rlike(r"^\s*(//|\*|/\*)"), _no(part))
-            .when(
+            F.when(
                 text.rlike(JS_HEADER),
-                F.concat(plain(pre, line), opening(post, line, name, _names(params, True)), plain(post, line, True)),
+                F.array(piece(pre, line), piece(F.regexp_extract(text, JS_HEADER, 6), line, name, _names(params, True))),
             )
             .when(
                 text.rlike(JS_METHOD),
-                F.concat(
-                    opening(
-                        method_post, line, F.regexp_extract(text, JS_METHOD, 1),
+                F.array(
+                    piece(
+                        F.regexp_extract(text, JS_METHOD, 3), line, F.regexp_extract(text, JS_METHOD, 1),
                         _names(F.regexp_extract(text, JS_METHOD, 2), True),
-                    ),
-                    plain(method_post, line, True),
+                    )
                 ),
             )
-            .otherwise(plain(text, line))
+            .otherwise(F.array(piece(text, line)))
         )
 
-    rows = F.flatten(F.transform(F.split(content, LINE_BREAK, -1), of_line))
-    return F.filter(rows, lambda s: s["header"] | (S.strip(s["text"]) != ""))
+    rows = F.flatten(F.transform(found, cut))
+    return F.filter(F.coalesce(rows, _no(part)), lambda s: s["header"] | (S.strip(s["text"]) != ""))
 
 
 def _calls(text: Column) -> Column:
@@ -329,8 +318,15 @@ def _facts(s: Column, config: dict[str, list[str]]) -> Column:
         ),
         lambda c: c["sink"] | c["local"],
     )
-    destructured = text.rlike(JS_DESTRUCTURE)
-    rhs = F.when(destructured, F.regexp_extract(text, JS_DESTRUCTURE, 2)).otherwise(F.regexp_extract(text, JS_ASSIGN, 3))
+    destructured, each, counter = text.rlike(JS_DESTRUCTURE), text.rlike(JS_EACH), text.rlike(JS_COUNTER)
+    unpacked = F.when(each, F.regexp_extract(text, JS_EACH, 2)).otherwise(F.regexp_extract(text, JS_DESTRUCTURE, 1))
+    named = F.when(each, F.regexp_extract(text, JS_EACH, 1)).otherwise(F.regexp_extract(text, JS_COUNTER, 1))
+    rhs = (
+        F.when(each, F.regexp_extract(text, JS_EACH, 3))
+        .when(counter, F.regexp_extract(text, JS_COUNTER, 2))
+        .when(destructured, F.regexp_extract(text, JS_DESTRUCTURE, 2))
+        .otherwise(F.regexp_extract(text, JS_ASSIGN, 3))
+    )
 
     def count(ch: str) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
@@ -340,11 +336,12 @@ def _facts(s: Column, config: dict[str, list[str]]) -> Column:
         s["header"].alias("header"),
         s["params"].alias("params"),
         (count("{") - count("}")).alias("braces"),
-        F.when(destructured, _names(F.regexp_extract(text, JS_DESTRUCTURE, 1), False))
+        F.when((each | counter) & (named != ""), F.array(named))
+        .when(each | (destructured & ~counter), _names(unpacked, False))
         .when(text.rlike(JS_ASSIGN), F.array(F.regexp_extract(text, JS_ASSIGN, 1)))
         .otherwise(_no("string"))
         .alias("vars"),
-        (~destructured & (F.regexp_extract(text, JS_ASSIGN, 2) == "=")).alias("replaces"),
+        (((each | counter) & (named != "")) | (~each & ~destructured & (F.regexp_extract(text, JS_ASSIGN, 2) == "="))).alias("replaces"),
         _value(_without_calls(rhs), source).alias("value"),
         calls.alias("calls"),
     )
@@ -539,10 +536,10 @@ def js_models(
     parsed = js.select(
         "repo",
         "path",
-        _statements(F.col("content")).alias("statements"),
+        scanned(F.col("content"), "js", split=True)["statements"].alias("found"),
         _imports(F.col("content")).alias("imports"),
         _exports(F.col("content")).alias("exports"),
-    )
+    ).withColumn("statements", _statements(F.col("found")))
     return parsed.select(
         "repo",
         "path",
@@ -648,20 +645,21 @@ EDGE_SALTS = 8
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reachable from ``seeds(node)`` over ``edges(src, dst)``, seeds included.
 
-    Each round joins only the newest nodes with the edges and keeps those not
-    seen before, so cycles end and no path is listed twice. A node with very
-    many edges is spread over salts. Rounds are checkpointed: the plan stays
-    flat and a lost executor costs no earlier round.
+    Edges are dealt out once by (src, salt) and the nodes seen by node, and both keep that partitioning through their
+    checkpoints: a round moves only the newest nodes and what they lead to. Nodes not seen before go on, so cycles end and
+    no path is listed twice. A node with very many edges is spread over salts. Rounds are checkpointed: the plan
+    stays flat and a lost executor costs no earlier round.
     """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("dst"), F.lit(EDGE_SALTS)).cast("int")
-    table = durable(edges.select("src", "dst").distinct().withColumn("salt", salt))
+    table = durable(edges.select("src", "dst").distinct().withColumn("salt", salt).repartition(n, "src", "salt"))
     salts = F.explode(F.array(*[F.lit(i) for i in range(EDGE_SALTS)]))
-    frontier = durable(seeds.select("node").distinct())
+    frontier = durable(seeds.select("node").distinct().repartition(n, "node"))
     visited = frontier
     while not frontier.isEmpty():
         starts = frontier.select(F.col("node").alias("src"), salts.alias("salt"))
         found = table.join(starts, ["src", "salt"]).select(F.col("dst").alias("node")).distinct()
-        frontier = durable(found.join(visited, "node", "left_anti"))
+        frontier = durable(found.repartition(n, "node").join(visited, "node", "left_anti"))
         visited = visited.unionByName(frontier)
     return visited
 

@@ -79,6 +79,27 @@ FROM @@part JOIN (VALUES
     + "\n) AS t(k, dir, ext, body) ON p_partkey % 24 = t.k\n"
 )
 
+# Forms that only a scanner tells apart: comments that look like code, calls and values over lines, several calls on a
+# line, broken brackets. ~ is a line break, ^ a digit, § a dollar sign (before a brace it would name a variable of the SQL).
+_FORMS = [
+    (".js", '// call it later,~res.cookie("sid", v, { // note~  httpOnly: false,~});~/* jwt.sign(p, "k") ( */ x = "// jwt.sign(p, \'k\')";'),
+    (".py", '# call it once (~requests.get(u^, verify=False)~page = requests.get(~    u,  # verify=False)~    verify=False,~)'),
+    (".js", '// routes,~app.post(`/admin/x^`, handler); app.get("/a", h).put("/b", guard("k"), h)~app.get(`/§{y}`, h)'),
+    (".js", '/* app.get("/hidden", h)~*/ app.get(~  "/shown",~  requireAuth,~  (req, res) => { res.send(1); }~);~app.delete("/one")~app.use("/in", users.check, (q) => { next(); });'),
+    (".js", 'const f = (req) => {~  for (const name of req.body.names) {~    cp.exec(~      name~    );~  }~  let q;~  if (req.ok) q = req.query.q;~  db.query("SELECT a; " + q); // eval(q)~  const late =~    req.params.id;~  eval(late);~  for (const k in req.query) eval(k);~};'),
+    (".js", 'function hooks(app) {~  app.post("/webhook/a", (req, res) => { save(req.body); });~  app.post("/webhook/b", async (req, res) => {~    app.post("/stripe/in", function (q, r) { verify(q); });~  });~  app.post("/github", (q) => {~    go(q);~}'),
+]
+
+CODE_FORMS = (
+    """
+SELECT CONCAT('repo', CAST(p_partkey - p_partkey % 5 AS STRING)) AS repo, CONCAT('src/f', CAST(p_partkey AS STRING), t.ext) AS path,
+ REPLACE(REPLACE(REPLACE(t.body, '~', chr(10)), '^', CAST(p_partkey % 7 AS STRING)), '§', chr(36)) AS content
+FROM @@part JOIN (VALUES
+"""
+    + ",\n".join(f" ({i},'{e}','{b.replace(chr(39), chr(39) * 2)}')" for i, (e, b) in enumerate(_FORMS))
+    + "\n) AS t(k, ext, body) ON p_partkey % 6 = t.k\n"
+)
+
 # Files the raw findings are about, some with directives.
 DIRECTIVE_FILES = """
 SELECT repo, path, REPLACE(CASE v
@@ -159,6 +180,7 @@ FROM @@part
 _NAMED = {
     "findings_raw": FINDINGS_RAW,
     "code_files": CODE_FILES,
+    "code_forms": CODE_FORMS,
     "directive_files": DIRECTIVE_FILES,
     "ignore_lines": IGNORE_LINES,
     "edges": EDGES,

@@ -8,7 +8,7 @@ from auditframe.operators import routes as T
 from auditframe.operators import rules as R
 from auditframe.operators import taint as X
 from auditframe.queries import inputs as IN
-from auditframe.queries.registry import query
+from auditframe.queries.registry import CHECKS, query
 from auditframe.session import durable
 
 # Lines of the code files, numbered from 1, for the checking SQL.
@@ -34,7 +34,7 @@ _RULE_HITS = f"""{_CODE_LINES},
 rules AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS r(rule_id, language, severity, category, confidence, pattern)),
 hits AS (SELECT repo, path, line, rule_id, severity, category, confidence FROM code_lines l JOIN rules r
  ON (CASE WHEN {_JS} THEN 'js' WHEN {_PY} THEN 'py' END) = r.language AND regexp_matches(l.t, r.pattern)
- WHERE NOT regexp_matches(l.t, '{R.COMMENT_LINE}'))"""
+ WHERE NOT regexp_matches(l.t, '^\\s*(//|#)'))"""
 
 
 @query(f"WITH {_RULE_HITS} SELECT * FROM hits", ["code_files"])
@@ -42,14 +42,42 @@ def rule_scan(spark, sf_dir):
     return R.scan_rules(IN.code_files(spark, sf_dir))
 
 
-_HANDLER = R.HANDLER_RULE.pattern.replace("'", "''")
+@query(
+    f"""WITH {_RULE_HITS} SELECT * FROM hits
+UNION ALL SELECT repo, path, line, concat('imports-m', CAST(s_suppkey AS STRING)), 'low', 'other', 'high' FROM code_lines JOIN supplier
+ ON contains(t, concat('/m', CAST(s_suppkey AS STRING), '"')) WHERE {_JS}""",
+    ["code_files"],
+)
+def rule_table_scan(spark, sf_dir):
+    """Rules from a table: the fixed ones and one for each supplier, about modules that a file imports."""
+    name = F.concat(F.lit("m"), F.col("s_suppkey").cast("string"))
+    more = IN.load(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("imports-"), name).alias("rule_id"), F.lit("js").alias("language"), F.lit("low").alias("severity"),
+        F.lit("other").alias("category"), F.lit("high").alias("confidence"), F.concat(F.lit("/"), name, F.lit('"')).alias("pattern"),
+        F.array(F.concat(F.lit("/"), name, F.lit('"'))).alias("needles"), F.array(F.array(name)).alias("words"),
+    )
+    return R.scan_rule_table(IN.code_files(spark, sf_dir), R.table_of_rules(spark).union(more))
+
+
+# Comments, heads of handlers, strings and brackets as tokens; a running depth says where each call ends.
+_HEAD = r"""\.post\(\s*(?:"[^"]*"|'[^']*')\s*,\s*(?:async\s*)?(?:function\s*\([^()]*\)|\([^()]*\)\s*=>)\s*\{"""
+_PIECES = rf"""(?s)//[^\n]*|/\*.*?\*/|{_HEAD}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[()\[\]{{}}]|[^()\[\]{{}}"'`/.]+|.""".replace("'", "''")
+_HEAD = _HEAD.replace("'", "''")
 
 
 @query(
-    f"""WITH blocks AS (SELECT repo, path, content, unnest(regexp_extract_all(content, '(?s){_HANDLER}')) AS block FROM code_files WHERE {_JS})
-SELECT repo, path, CAST(length(split_part(content, block, 1)) - length(replace(split_part(content, block, 1), chr(10), '')) + 1 AS INTEGER) AS line,
- 'af-webhook-missing-signature' AS rule_id, 'medium' AS severity, 'missing-auth' AS category, 'low' AS confidence
-FROM blocks WHERE regexp_matches(regexp_extract(block, '"([^"]*)"', 1), '{R.HANDLER_PATH}') AND NOT regexp_matches(block, '{R.HANDLER_CHECKED}')""",
+    f"""WITH listed AS (SELECT repo, path, regexp_extract_all(content, '{_PIECES}') AS p FROM code_files WHERE {_JS}),
+tokens AS (SELECT repo, path, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS i FROM listed),
+placed AS (SELECT *, CASE WHEN regexp_matches(t, '^(?:{_HEAD})$') THEN 2 WHEN t IN ('(', '[', '{{') THEN 1 WHEN t IN (')', ']', '}}') THEN -1 ELSE 0 END AS d FROM tokens),
+deep AS (SELECT *, sum(d) OVER (PARTITION BY repo, path ORDER BY i) AS depth,
+ coalesce(sum(length(t) - length(replace(t, chr(10), ''))) OVER (PARTITION BY repo, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS line FROM placed),
+heads AS (SELECT * FROM deep WHERE d = 2),
+ends AS (SELECT h.repo, h.path, h.i, min(e.i) FILTER (e.depth < h.depth) AS block, min(e.i) FILTER (e.depth < h.depth - 1) AS whole
+ FROM heads h JOIN deep e ON e.repo = h.repo AND e.path = h.path AND e.i > h.i GROUP BY 1, 2, 3),
+bodies AS (SELECT h.repo, h.path, h.line, h.t AS head, string_agg(e.t, '' ORDER BY e.i) AS body, coalesce(string_agg(e.t, '' ORDER BY e.i) FILTER (e.i > n.block AND e.i < n.whole), '') AS behind
+ FROM heads h JOIN ends n ON n.repo = h.repo AND n.path = h.path AND n.i = h.i JOIN deep e ON e.repo = h.repo AND e.path = h.path AND e.i BETWEEN h.i AND n.whole GROUP BY 1, 2, 3, 4)
+SELECT repo, path, CAST(line AS INTEGER) AS line, 'af-webhook-missing-signature' AS rule_id, 'medium' AS severity, 'missing-auth' AS category, 'low' AS confidence
+FROM bodies WHERE regexp_matches(regexp_extract(head, '["'']([^"'']*)["'']', 1), '{R.HANDLER_PATH}') AND NOT regexp_matches(body, '{R.HANDLER_CHECKED}') AND trim(behind) IN ('', ',')""",
     ["code_files"],
 )
 def handler_rule(spark, sf_dir):
@@ -136,12 +164,14 @@ def _facts(spark, sf_dir):
 
 
 
-_ROUTE_RE = _quote(T.JS_ROUTE)
-_USE_RE = _quote(T.JS_USE)
+# Calls on one line, as all of the code files have them.
+_ROUTE_RE = _quote(r"""\.(get|post|put|delete|patch|all|head|options)\(\s*['"]([^'"]*)['"]\s*(?:,\s*(.*))?$""")
+_USE_RE = _quote(r"""\.use\(\s*(?:['"][^'"]*['"]\s*,\s*)?(.*)$""")
+_INLINE_HANDLER = r"(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|\w+\s*=>).*$"
 
 
 def _guards_sql(rest: str) -> str:
-    text = f"regexp_replace({rest}, {_quote(T.JS_INLINE_HANDLER)}, '')"
+    text = f"regexp_replace({rest}, {_quote(_INLINE_HANDLER)}, '')"
     text = f"regexp_replace({text}, '\\([^()]*\\)', '', 'g')"
     text = f"regexp_replace({text}, '\\)\\s*;?\\s*$', '')"
     return f"[g FOR g IN [regexp_extract(trim(a), '([^.]*)$', 1) FOR a IN string_split({text}, ',')] IF regexp_matches(g, '^[A-Za-z_$][\\w$]*$')]"
@@ -373,3 +403,74 @@ def taint_reach(spark, sf_dir):
     edges = IN.load(spark, sf_dir, "edges").filter(~F.col("sanitized"))
     seeds = edges.select(F.col("src").alias("node")).filter(F.col("node").isin("L0_1", "L0_2"))
     return X.reach(edges, seeds).withColumn("sink", F.startswith(F.col("node"), F.lit("L6_")))
+
+
+# --- forms of code ---------------------------------------------------------
+
+# Known answers per template of the code forms.
+_FORM = "SELECT concat('repo', CAST(p_partkey - p_partkey % 5 AS STRING)) AS repo, concat('src/f', CAST(p_partkey AS STRING), '{ext}') AS {path}, {rest} FROM part WHERE p_partkey % 6 = {k}"
+
+
+def _forms(path: str, rows: list[tuple[int, str]]) -> str:
+    return " UNION ALL ".join(_FORM.format(ext=".py" if k == 1 else ".js", path=path, rest=rest, k=k) for k, rest in rows)
+
+
+@query(
+    _forms(
+        "path",
+        [
+            (k, f"CAST({line} AS INTEGER) AS line, 'af-{rule}' AS rule_id")
+            for k, line, rule in [(0, 2, "insecure-cookie-httponly-false"), (1, 2, "requests-verify-false"), (1, 3, "requests-verify-false"),
+                                  (5, 2, "webhook-missing-signature")]
+        ],
+    )
+)
+def forms_rules(spark, sf_dir):
+    files = IN.load(spark, sf_dir, "code_forms")
+    return R.scan_rules(files).unionByName(R.scan_handlers(files)).select("repo", "path", "line", "rule_id")
+
+
+@query(
+    _forms(
+        "file",
+        [
+            (k, f"CAST({line} AS INTEGER) AS line, '{method}' AS method, {route} AS route, '{guards}' AS guards")
+            for k, line, method, route, guards in [
+                (2, 2, "POST", "concat('/admin/x', CAST(p_partkey % 7 AS STRING))", "handler"), (2, 2, "GET", "'/a'", "h"), (2, 2, "PUT", "'/b'", "guard,h"),
+                (3, 2, "GET", "'/shown'", "requireAuth"), (3, 7, "DELETE", "'/one'", ""), (5, 2, "POST", "'/webhook/a'", ""), (5, 3, "POST", "'/webhook/b'", ""),
+                (5, 4, "POST", "'/stripe/in'", ""), (5, 6, "POST", "'/github'", ""),
+            ]
+        ],
+    )
+)
+def forms_routes(spark, sf_dir):
+    facts = T.route_facts(IN.load(spark, sf_dir, "code_forms"))
+    return T.js_routes(facts).select("repo", "file", "line", "method", "route", F.array_join("guards", ",").alias("guards"))
+
+
+@query(_forms("file", [(3, "'check' AS guard")]))
+def forms_guards(spark, sf_dir):
+    facts = T.route_facts(IN.load(spark, sf_dir, "code_forms"))
+    return facts.select("repo", "file", F.explode("use_guards").alias("guard"))
+
+
+@query(
+    _forms(
+        "file",
+        [
+            (4, f"CAST({line} AS INTEGER) AS line, '{callee}' AS callee, '{confidence}' AS confidence, '{via}' AS via")
+            for line, callee, confidence, via in [(3, "cp.exec", "low", "name"), (9, "db.query", "low", "q"), (12, "eval", "medium", "late"), (13, "eval", "medium", "k")]
+        ],
+    )
+)
+def forms_taint(spark, sf_dir):
+    return X.js_taint(IN.load(spark, sf_dir, "code_forms")).select("repo", "file", "line", "callee", "confidence", "via")
+
+
+@query(
+    f"""WITH hits AS ({CHECKS["taint_js"]}) SELECT repo, file, line, CASE WHEN callee LIKE '%writeFile' THEN 'path-traversal' ELSE 'injection' END AS category,
+ CASE WHEN callee LIKE '%writeFile' THEN 'af-taint.path-traversal' ELSE 'af-taint.injection' END AS rule_id, confidence FROM hits"""
+)
+def js_taint_categories(spark, sf_dir):
+    """Flows as findings: the category follows from what the sink does."""
+    return X.js_taint_findings(IN.code_files(spark, sf_dir)).select("repo", "file", "line", "category", "rule_id", "confidence")

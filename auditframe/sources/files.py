@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
+from auditframe.sources.scanner import scanned
 
 LINE_BREAK = r"\r?\n"
 
@@ -75,35 +76,11 @@ def lines(files: DataFrame, keys: list[str] | None = None, text: str = "content"
     )
 
 
-# A line goes on if it ends inside a call, a list or the names of an import, or if the next one only closes them.
-_GOES_ON = (
-    r"(?:(?<=[(,\[])|(?<=[(,]\s{0,2}\{)|(?<=\b(?:import|export|const|let|var)\s{1,2}\{))[ \t]*+\n"
-    "|\n(?=[0-9]+\x02[ \t]*+(?:[)\\]]|\\}[ \t]*+(?:\\)|from\\b)))"
-)
-
-
-def logical_lines(content: str | Column = "content") -> Column:
-    """array<struct<text, line>>: lines with those that continue them, numbered by the first.
-
-    Numbers travel inside the text while lines are put together, so the time is linear in its length.
-    """
-    numbered = F.transform(
-        F.split(S.col_of(content), LINE_BREAK, -1), lambda t, i: F.concat((i + 1).cast("string"), F.lit("\x02"), t)
-    )
-    folded = F.regexp_replace(F.array_join(numbered, "\n"), _GOES_ON, "\x01")
-    return F.transform(
-        F.split(folded, "\n", -1),
-        lambda s: F.struct(
-            F.regexp_replace(F.regexp_replace(s, "^[0-9]+\x02", ""), "\x01[0-9]+\x02[ \t]*+", " ").alias("text"),
-            F.substring_index(s, "\x02", 1).cast("int").alias("line"),
-        ),
-    )
-
-
-def statement_lines(files: DataFrame, keys: list[str] | None = None, text: str = "content") -> DataFrame:
-    """One row per logical line; the number is that of its first line."""
+def statement_lines(files: DataFrame, language: str, keys: list[str] | None = None, text: str = "content") -> DataFrame:
+    """One row per statement of files in one language; the number is that of its first line, comments are gone."""
     keys = keys or ["repo", "path"]
-    return files.select(*keys, F.explode(logical_lines(text)).alias("s")).select(*keys, "s.line", "s.text")
+    found = files.select(*keys, scanned(F.col(text), language)["statements"].alias("statements"))
+    return found.select(*keys, F.inline("statements"))
 
 
 def json_lines(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
