@@ -21,7 +21,7 @@ from auditframe.operators.rules import rule_findings, secret_findings
 from auditframe.operators.summary import gate, select_analyzers, sort_findings, summarize, top_findings
 from auditframe.operators.suppress import mark_suppressed, parse_ignore_lines
 from auditframe.operators.taint import reach, taint_findings
-from auditframe.plans.reports import FORMATS, render_report, write_documents, write_lines
+from auditframe.plans.reports import FORMATS, render_report, write_lines
 from auditframe.plans.scan import drop_counters, issues, reported, verdicts, write_baseline, write_findings
 from auditframe.session import build_session
 from auditframe.sources.config import overlay_config, read_baseline, unknown_keys
@@ -38,5 +38,5 @@ __all__ = [
     "read_baseline", "read_reports", "redact", "render_report", "repo_markers", "repo_profile", "report_status",
     "reported", "rule_findings", "secret_findings", "select_analyzers", "sort_findings", "summarize",
     "taint_findings", "top_findings", "unknown_keys", "verdicts", "windowed_gate", "write_baseline",
-    "write_documents", "write_findings", "write_lines",
+    "write_findings", "write_lines",
 ]

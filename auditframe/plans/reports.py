@@ -1,9 +1,9 @@
 """Reports per repository: JSON, SARIF 2.1.0, Markdown and plain text.
 
 A repository may hold a large part of all findings, so no report is built from
-a whole repository at once. JSON and SARIF come as complete documents of
-bounded size (``part`` 0, 1, ...; small repositories have one). Markdown and
-text come as ordered lines, written with a range-partitioned sort.
+a whole repository at once. Every report is a table of ordered lines, written with
+a range-partitioned sort; the lines of a repository, one after the other, are one
+complete document in report order.
 """
 
 from __future__ import annotations
@@ -15,25 +15,13 @@ from pyspark.sql import functions as F
 from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
 from auditframe.operators.joins import salted_join
+from auditframe.operators.profile import STACKS
 from auditframe.operators.summary import report_order
 from auditframe.session import durable
 
-PART_ROWS = 2000
 PRODUCT = "auditframe"
 VERSION = "0.1.0"
 
-_SPREAD = ["file", "line", "rule_id", "category", "tool", "message"]
-
-
-def with_parts(findings: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Add ``part``: a hash of the finding modulo the number of parts its repository needs.
-
-    Findings are counted before they are dealt out, so hand in a stored table.
-    """
-    sizes = findings.groupBy("repo").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
-    spread = F.pmod(F.xxhash64(*_SPREAD), F.col("parts")).cast("int")
-    return salted_join(findings, sizes, ["repo"], _SPREAD, "inner").withColumn("part", spread).drop("parts")
-
 
 def _order_struct() -> list[Column]:
     return [
@@ -53,168 +41,175 @@ _FIELDS = [
     "confidence", "ai_relevant", "remediation", "references", "tool_version", "agreed_tools",
     "demoted_reason", "raw",
 ]
+_OPTIONAL = {
+    "demoted_reason": "string", "raw": "string", "tool_version": "string", "remediation": "string",
+    "references": "array<string>", "agreed_tools": "array<string>", "end_line": "int", "column": "int",
+}
 
 
-def _part_rows(findings: DataFrame, part_rows: int) -> DataFrame:
-    """(repo, part, rows): each part's findings in report order."""
-    missing = {
-        "demoted_reason": "string", "raw": "string", "tool_version": "string", "remediation": "string",
-        "references": "array<string>", "agreed_tools": "array<string>", "end_line": "int", "column": "int",
-    }
-    for name, kind in missing.items():
-        if name not in findings.columns:
-            findings = findings.withColumn(name, F.lit(None).cast(kind))
-    packed = F.struct(*_order_struct(), F.struct(*_FIELDS).alias("f"), S.fingerprint().alias("print"))
-    return (
-        with_parts(findings, part_rows)
-        .groupBy("repo", "part")
-        .agg(F.array_sort(F.collect_list(packed)).alias("rows"))
-    )
+def _complete(findings: DataFrame) -> DataFrame:
+    """With every field that a document may show."""
+    absent = {n: F.lit(None).cast(k) for n, k in _OPTIONAL.items() if n not in findings.columns}
+    return findings.withColumns(absent) if absent else findings
 
 
-def _totals(rows: str = "rows") -> dict[str, Column]:
-    def count(cond) -> Column:
-        return F.size(F.filter(rows, cond))
+def with_positions(findings: DataFrame, name: str = "position") -> DataFrame:
+    """Add each finding's place in its repository's report, from 0.
 
-    out = {s: count(lambda r, s=s: r["f"]["severity"] == s) for s in reversed(V.SEVERITIES)}
-    out["ai_relevant"] = count(lambda r: r["f"]["ai_relevant"])
-    return out
+    The table is sorted by ranges and stored; a finding's place is its number in its partition plus what earlier
+    partitions hold of its repository. So a repository of any size is spread over tasks, and only one row for each
+    repository and partition meets in a window.
+    """
+    placed = durable(findings.orderBy("repo", F.struct(*_order_struct())).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    held = placed.groupBy("repo", part.alias("__part")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    earlier = W.partitionBy("repo").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = held.select("repo", "__part", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__start"))
+    numbered = placed.withColumn("__part", part).join(starts, ["repo", "__part"])
+    return numbered.withColumn(name, F.col("__at") + F.col("__start")).drop("__at", "__part", "__start")
 
 
 # --- JSON ------------------------------------------------------------------
 
 
-def json_reports(
-    findings: DataFrame, run_verdicts: DataFrame, profiles: DataFrame | None = None,
-    *, fail_on: str = "critical", verbose: bool = False, part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """(repo, part, document); ``run_verdicts`` is the output of ``verdicts``, one row per repository."""
+def _listed(rows: DataFrame, text: Column, section: int, position: str) -> DataFrame:
+    """Entries of a JSON array, one a line: all but the first begin with the comma between them."""
+    comma = F.when(F.col(position) > 0, F.lit(",")).otherwise(F.lit(""))
+    return _lines(rows, F.array(F.concat(comma, text)), section=F.lit(section), place=position)
+
+
+def _count_by(findings: DataFrame, column: str, name: str) -> DataFrame:
+    """(repo, map of counts): one entry for each value of a small vocabulary."""
+    counts = findings.groupBy("repo", column).agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct(column, "n")))
+    return counts.groupBy("repo").agg(F.map_from_entries(entries).alias(name))
+
+
+def json_lines(
+    findings: DataFrame, run_verdicts: DataFrame, profiles: DataFrame | None = None, statuses: DataFrame | None = None,
+    constraints: DataFrame | None = None, *, fail_on: str = "critical", min_confidence: str | None = None,
+    baseline: bool = False, verbose: bool = False,
+) -> DataFrame:
+    """One JSON document per repository with a verdict, as ordered lines (repo, sort keys, text).
+
+    ``profiles`` (``repo_profile``), ``constraints`` (``node_constraint``) and ``statuses`` (``analyzer_status``) fill what the
+    document says about stacks, the runtime asked for and the analyzers; ``baseline`` says that one was compared.
+    """
     kept = [f for f in _FIELDS if verbose or f != "raw"]
-    # Every repository with a verdict gets a document, an empty one if nothing is reported.
-    parts = run_verdicts.join(_part_rows(findings, part_rows), "repo", "left").withColumns(
-        {"part": F.coalesce("part", F.lit(0)), "rows": F.coalesce("rows", F.array())}
-    )
-    detection = None
+    rows = run_verdicts.join(_count_by(findings, "category", "by_category"), "repo", "left")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    rows = rows.withColumn("by_category", F.coalesce("by_category", none))
+    detection = []
     if profiles is not None:
-        parts = parts.join(profiles.select("repo", "languages", "enabled_tools"), "repo", "left")
-        detection = F.struct("languages", F.col("enabled_tools").alias("tools")).alias("detection")
-    summary = F.struct("total", *reversed(V.SEVERITIES), "ai_relevant").alias("summary")
-    dropped = F.struct(
-        "vendored", "ignored", "inline_suppressed", "duplicates_removed", "demoted", "test_asserts",
-        "below_confidence", "known",
-    ).alias("dropped")
-    items = F.transform("rows", lambda r: F.struct(*[r["f"][c].alias(c) for c in kept]))
-    document = F.to_json(
-        F.struct(
-            F.lit(PRODUCT).alias("tool"), F.lit(VERSION).alias("version"), F.lit(1).alias("schema_version"),
-            F.col("repo").alias("target"), F.col("part"), F.lit(fail_on).alias("fail_on"), F.col("failed"),
-            *([detection] if detection is not None else []), summary, dropped, items.alias("findings"),
-        )
+        stacks = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in STACKS]))
+        known = profiles.select("repo", stacks.alias("stacks"), "languages", F.col("enabled_tools").alias("expected_tools"))
+        rows = rows.join(known, "repo", "left")
+        detection = ["stacks", "languages", "expected_tools"]
+    if constraints is not None:
+        rows = rows.join(constraints.select("repo", F.concat("value", F.lit(" ("), "source", F.lit(")")).alias("node_constraint")), "repo", "left")
+        detection.append("node_constraint")
+    tools = []
+    if statuses is not None:
+        shown = [c for c in ("tool", "status", "findings", "reason", "version", "duration_ms") if c in statuses.columns]
+        ran = statuses.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(*shown))).alias("analyzers"))
+        rows = rows.join(ran, "repo", "left")
+        tools = ["analyzers"]
+    by_severity = F.struct(*reversed(V.SEVERITIES)).alias("by_severity")
+    head = F.struct(
+        F.lit(PRODUCT).alias("tool"), F.lit(VERSION).alias("version"), F.lit(1).alias("schema_version"),
+        F.col("repo").alias("target"), F.lit(fail_on).alias("fail_on"), F.col("failed"),
+        *([F.struct(*detection).alias("detection")] if detection else []),
+        F.struct("total", by_severity, "by_category", "ai_relevant").alias("summary"),
+        F.struct("vendored", "ignored", "inline_suppressed", "duplicates_removed", "demoted", "test_asserts").alias("dropped"),
+        *([F.lit(min_confidence).alias("min_confidence"), F.col("below_confidence").alias("min_confidence_filtered")] if min_confidence else []),
+        *([F.struct(F.col("total").alias("new"), "known").alias("baseline")] if baseline else []),
+        *tools,
+    )
+    # The head's closing brace makes room for the list.
+    opening = F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"findings":['))
+    numbered = with_positions(_complete(findings))
+    return (
+        _lines(rows, F.array(opening), section=F.lit(0))
+        .unionByName(_listed(numbered, F.to_json(F.struct(*kept)), 2, "position"))
+        .unionByName(_lines(run_verdicts, F.array(F.lit("]}")), section=F.lit(5)))
     )
-    return parts.select("repo", "part", document.alias("document"))
 
 
 # --- SARIF -----------------------------------------------------------------
 
 
-def sarif_documents(
-    findings: DataFrame, part_rows: int = PART_ROWS, everyone: DataFrame | None = None
-) -> DataFrame:
-    """(repo, part, document): SARIF 2.1.0 with rules in order of first use.
+def rule_first_use(findings: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(repo, rule_id, rule_index, fields): rules of a repository numbered by first use in report order.
 
-    Repositories of ``everyone`` without a finding get a document with an empty list, which closes alerts.
+    Findings are reduced to one row per rule before they are ranked; ``fields`` are those of the first.
     """
-    parts = _part_rows(findings, part_rows)
-    if everyone is not None:
-        parts = everyone.select("repo").distinct().join(parts, "repo", "left").withColumns(
-            {"part": F.coalesce("part", F.lit(0)), "rows": F.coalesce("rows", F.array())}
-        )
-    parts = parts.withColumn(
-        "ids", F.array_distinct(F.transform("rows", lambda r: r["f"]["rule_id"]))
+    fields = fields or []
+    first = F.struct(*_order_struct(), *[F.col(f).alias(f"f_{f}") for f in fields])
+    firsts = findings.groupBy("repo", "rule_id").agg(F.min(first).alias("first"))
+    order = W.partitionBy("repo").orderBy("first")
+    return firsts.select(
+        "repo", "rule_id", (F.row_number().over(order) - 1).alias("rule_index"), *[F.col(f"first.f_{f}").alias(f) for f in fields]
     )
-    level = lambda f: S.lookup(f["severity"], V.SARIF_LEVEL, "warning")
-    score = lambda f: S.lookup(f["severity"], V.SARIF_SCORE, "5.0")
-
-    def rule(rule_id: Column) -> Column:
-        f = F.filter("rows", lambda r: r["f"]["rule_id"] == rule_id)[0]["f"]
-        tags = F.concat(
-            F.array(F.lit("security"), f["category"]),
-            F.when(f["ai_relevant"], F.array(F.lit("ai-codegen"))).otherwise(F.array().cast("array<string>")),
-        )
-        return F.struct(
-            rule_id.alias("id"), rule_id.alias("name"),
-            F.struct(F.concat(f["category"], F.lit(" ("), f["tool"], F.lit(")")).alias("text")).alias("shortDescription"),
-            F.get(f["references"], F.lit(0)).alias("helpUri"),
-            F.struct(
-                tags.alias("tags"), score(f).alias("security-severity"),
-                f["category"].alias("category"), f["tool"].alias("producer"),
-            ).alias("properties"),
-        )
 
-    def result(r: Column) -> Column:
-        f = r["f"]
-        region = F.when(
-            f["line"].isNotNull(),
-            F.struct(
-                f["line"].alias("startLine"), f["end_line"].alias("endLine"),
-                F.when(f["column"] > 0, f["column"]).alias("startColumn"),
-            ),
-        )
-        place = F.struct(
-            F.struct(
-                F.struct(F.coalesce(S.nonempty(f["file"]), F.lit(".")).alias("uri")).alias("artifactLocation"),
-                region.alias("region"),
-            ).alias("physicalLocation")
-        )
-        fix = F.coalesce(F.concat(F.lit("\n\nRemediation: "), S.nonempty(f["remediation"])), F.lit(""))
-        return F.struct(
-            f["rule_id"].alias("ruleId"),
-            (F.array_position("ids", f["rule_id"]) - 1).cast("int").alias("ruleIndex"),
-            level(f).alias("level"),
-            F.struct(F.concat(f["message"], fix).alias("text")).alias("message"),
-            F.array(place).alias("locations"),
-            F.struct(r["print"].alias(PRODUCT + "/v1")).alias("partialFingerprints"),
-            F.struct(
-                *[f[c].alias(c) for c in ("severity", "confidence", "category", "tool")],
-                f["ai_relevant"].alias("aiRelevant"), f["agreed_tools"].alias("agreedTools"),
-            ).alias("properties"),
-        )
 
-    run = F.struct(
-        F.struct(
-            F.struct(
-                F.lit(PRODUCT).alias("name"), F.lit(VERSION).alias("version"),
-                F.transform("ids", rule).alias("rules"),
-            ).alias("driver")
-        ).alias("tool"),
-        F.transform("rows", result).alias("results"),
+def sarif_lines(findings: DataFrame, everyone: DataFrame | None = None) -> DataFrame:
+    """One SARIF 2.1.0 document per repository, as ordered lines; its rules come in order of first use.
+
+    Repositories of ``everyone`` without a finding get a document with an empty list, which closes alerts.
+    """
+    numbered = with_positions(_complete(findings))
+    rules = durable(rule_first_use(numbered, ["category", "tool", "severity", "ai_relevant", "references"]))
+    level = S.lookup(F.col("severity"), V.SARIF_LEVEL, "warning")
+    score = S.lookup(F.col("severity"), V.SARIF_SCORE, "5.0")
+    tags = F.concat(
+        F.array(F.lit("security"), F.col("category")),
+        F.when(F.col("ai_relevant"), F.array(F.lit("ai-codegen"))).otherwise(F.array().cast("array<string>")),
     )
-    document = F.to_json(
+    rule = F.struct(
+        F.col("rule_id").alias("id"), F.col("rule_id").alias("name"),
+        F.struct(F.concat("category", F.lit(" ("), "tool", F.lit(")")).alias("text")).alias("shortDescription"),
+        F.get("references", F.lit(0)).alias("helpUri"),
+        F.struct(tags.alias("tags"), score.alias("security-severity"), "category", F.col("tool").alias("producer")).alias("properties"),
+    )
+    region = F.when(
+        F.col("line").isNotNull(),
+        F.struct(F.col("line").alias("startLine"), F.col("end_line").alias("endLine"), F.when(F.col("column") > 0, F.col("column")).alias("startColumn")),
+    )
+    uri = F.struct(F.coalesce(S.nonempty("file"), F.lit(".")).alias("uri"))
+    place = F.struct(F.struct(uri.alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    fix = F.coalesce(F.concat(F.lit("\n\nRemediation: "), S.nonempty("remediation")), F.lit(""))
+    result = F.struct(
+        F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"),
+        F.struct(F.concat("message", fix).alias("text")).alias("message"),
+        F.array(place).alias("locations"),
+        F.struct(S.fingerprint().alias(PRODUCT + "/v1")).alias("partialFingerprints"),
         F.struct(
-            F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"),
-            F.lit("2.1.0").alias("version"),
-            F.array(run).alias("runs"),
-        )
+            "severity", "confidence", "category", "tool",
+            F.col("ai_relevant").alias("aiRelevant"), F.col("agreed_tools").alias("agreedTools"),
+        ).alias("properties"),
+    )
+    indexed = salted_join(numbered, rules.select("repo", "rule_id", "rule_index"), ["repo", "rule_id"], ["position"], "inner")
+    repos = (rules if everyone is None else everyone).select("repo").distinct()
+    driver = F.to_json(F.struct(F.lit(PRODUCT).alias("name"), F.lit(VERSION).alias("version")))
+    head = F.concat(
+        F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'),
+        F.regexp_replace(driver, r"\}$", ""), F.lit(',"rules":['),
+    )
+    return (
+        _lines(repos, F.array(head), section=F.lit(0))
+        .unionByName(_listed(rules, F.to_json(rule), 1, "rule_index"))
+        .unionByName(_lines(repos, F.array(F.lit(']}},"results":[')), section=F.lit(2)))
+        .unionByName(_listed(indexed, F.to_json(result), 3, "position"))
+        .unionByName(_lines(repos, F.array(F.lit("]}]}")), section=F.lit(5)))
     )
-    return parts.select("repo", "part", document.alias("document"))
-
-
-def rule_first_use(findings: DataFrame) -> DataFrame:
-    """(repo, rule_id, rule_index): rules of a repository numbered by first use in report order.
-
-    Findings are reduced to one row per rule before they are ranked.
-    """
-    firsts = findings.groupBy("repo", "rule_id").agg(F.min(F.struct(*_order_struct())).alias("first"))
-    order = W.partitionBy("repo").orderBy("first")
-    return firsts.select("repo", "rule_id", (F.row_number().over(order) - 1).alias("rule_index"))
 
 
 # --- lines -----------------------------------------------------------------
 
 # Sort columns of a line table; nulls of unused ones keep their place.
-LINE_ORDER = ["repo", "section", "group", "step", "conf", "file", "line", "tool", "rule_id", "message", "seq"]
+LINE_ORDER = ["repo", "section", "place", "group", "step", "conf", "file", "line", "tool", "rule_id", "message", "seq"]
 _TYPES = {
-    "section": "int", "group": "int", "step": "int", "conf": "int", "file": "string", "line": "int",
+    "section": "int", "place": "bigint", "group": "int", "step": "int", "conf": "int", "file": "string", "line": "int",
     "tool": "string", "rule_id": "string", "message": "string", "seq": "int",
 }
 
@@ -376,20 +371,15 @@ def write_lines(line_table: DataFrame, path: str) -> None:
     ).partitionBy("repo").text(path)
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One line per document, one folder per repository."""
-    documents.select("repo", "document").write.mode("overwrite").partitionBy("repo").text(path)
-
-
 FORMATS = ["json", "sarif", "markdown", "text"]
 
 
 def render_report(findings: DataFrame, run_verdicts: DataFrame, format: str = "text", **options) -> DataFrame:
     """Report rows in one of ``FORMATS``; an unknown format means ``text``."""
     if format == "json":
-        return json_reports(findings, run_verdicts, **options)
+        return json_lines(findings, run_verdicts, **options)
     if format == "sarif":
-        return sarif_documents(findings, everyone=run_verdicts, **options)
+        return sarif_lines(findings, everyone=run_verdicts, **options)
     if format == "markdown":
         return markdown_lines(findings, run_verdicts, **options)
     return text_lines(findings, run_verdicts)

@@ -36,19 +36,19 @@ FROM level""",
 )
 def sarif_results(spark, sf_dir):
     """SARIF documents parsed back: every result with the rule its index points at."""
-    documents = R.sarif_documents(C.reported(durable(_chain(spark, sf_dir))))
+    lines = durable(R.sarif_lines(C.reported(durable(_chain(spark, sf_dir)))))
+    entry = lambda section: lines.filter(F.col("section") == section).select("repo", "place", F.ltrim(F.col("text"), F.lit(",")).alias("text"))
     place = "physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>"
     schema = (
-        "runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>,"
-        f" results: array<struct<ruleIndex: int, level: string, message: struct<text: string>, locations: array<struct<{place}>>,"
-        " partialFingerprints: map<string, string>, properties: struct<agreedTools: array<string>>>>>>"
+        f"ruleIndex int, level string, message struct<text: string>, locations array<struct<{place}>>,"
+        " partialFingerprints map<string, string>, properties struct<agreedTools: array<string>>"
     )
-    run = documents.select("repo", F.from_json("document", schema)["runs"][0].alias("run"))
-    rows = run.select("repo", F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
+    rules = entry(1).select("repo", F.col("place").alias("i"), F.from_json("text", "id string")["id"].alias("rule_id"))
+    rows = entry(3).select("repo", F.from_json("text", schema).alias("r"))
     where = F.col("r.locations")[0]["physicalLocation"]
-    return rows.select(
+    return rows.join(rules.withColumnRenamed("repo", "of"), (F.col("repo") == F.col("of")) & (F.col("r.ruleIndex") == F.col("i")), "left").select(
         "repo",
-        F.get("rules", F.col("r.ruleIndex"))["id"].alias("rule_id"),
+        "rule_id",
         F.col("r.level").alias("level"),
         where["artifactLocation"]["uri"].alias("uri"),
         where["region"]["startLine"].alias("start_line"),
@@ -77,28 +77,57 @@ FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS pos F
     _CHAIN_USES,
 )
 def json_report(spark, sf_dir):
-    """JSON documents parsed back: totals, verdict and the worst finding over all parts."""
+    """JSON documents parsed back: totals, verdict and the first finding in the order of the lines."""
     rows = durable(_chain(spark, sf_dir))
-    documents = R.json_reports(C.reported(rows), C.verdicts(rows, "high"), fail_on="high")
-    finding = "struct<severity: string, confidence: string, file: string, line: int, rule_id: string, category: string, tool: string, message: string, ai_relevant: boolean>"
-    schema = f"failed boolean, findings array<{finding}>"
-    parsed = documents.select("repo", F.from_json("document", schema).alias("d"))
-    items = parsed.select("repo", F.col("d.failed").alias("failed"), F.inline("d.findings"))
-    order = F.struct(
-        -S.severity_ord("severity"), -S.confidence_ord("confidence"), "file", F.coalesce("line", F.lit(0)),
-        "tool", "rule_id", "category", "message",
-    )
+    lines = durable(R.json_lines(C.reported(rows), C.verdicts(rows, "high"), fail_on="high"))
+    finding = "severity string, file string, line int, rule_id string, category string, ai_relevant boolean"
+    entries = lines.filter("section = 2").select("repo", "place", F.from_json(F.ltrim(F.col("text"), F.lit(",")), finding).alias("f")).select("repo", "place", "f.*")
+    heads = lines.filter("section = 0").select("repo", F.get_json_object(F.concat("text", F.lit("]}")), "$.failed").cast("boolean").alias("failed"))
     label = F.concat(
         F.col("file"), F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("")), F.lit(" "), F.col("rule_id"),
         F.lit(" "), F.col("category"),
     )
-    return items.groupBy("repo").agg(
+    totals = entries.groupBy("repo").agg(
         F.count("*").alias("total"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in reversed(V.SEVERITIES)],
         F.count_if("ai_relevant").alias("ai_relevant"),
-        F.bool_or("failed").alias("failed"),
-        F.min_by(label, order).alias("worst"),
+        F.min_by(label, "place").alias("worst"),
+    )
+    return totals.join(heads, "repo")
+
+
+@query(
+    _FINAL
+    + f"""SELECT repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) - 1 AS BIGINT) AS position, severity, confidence, file, line, tool, rule_id, category, message FROM shown""",
+    _CHAIN_USES,
+)
+def report_positions(spark, sf_dir):
+    """Every reported finding with its place in its repository's report."""
+    shown = R.with_positions(C.reported(durable(_chain(spark, sf_dir))))
+    return shown.select("repo", "position", "severity", "confidence", "file", "line", "tool", "rule_id", "category", "message")
+
+
+@query(
+    _FINAL
+    + f""", every_repo AS (SELECT * FROM ({CHECKS['fleet_scan']}) AS v), per_category AS (SELECT repo, category, count(*) AS n FROM shown GROUP BY 1, 2)
+SELECT e.repo, coalesce(category, '') AS category, coalesce(n, 0) AS n, total, ignored, duplicates_removed, failed FROM every_repo e LEFT JOIN per_category c USING (repo)""",
+    _CHAIN_USES,
+)
+def json_heads(spark, sf_dir):
+    """Heads of the JSON documents: every repository's counts per category, of dropped findings and its verdict."""
+    shown, verdicts = _with_dropped(spark, sf_dir)
+    lines = R.json_lines(shown, verdicts, fail_on="high").filter("section = 0")
+    schema = (
+        "failed boolean, summary struct<total: bigint, by_category: map<string, bigint>>,"
+        " dropped struct<ignored: bigint, duplicates_removed: bigint>"
     )
+    heads = lines.select("repo", F.from_json(F.concat("text", F.lit("]}")), schema).alias("h"))
+    rows = heads.select("repo", "h", F.explode_outer("h.summary.by_category").alias("category", "n"))
+    return rows.select(
+        "repo", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("n", F.lit(0)).alias("n"),
+        F.col("h.summary.total").alias("total"), F.col("h.dropped.ignored").alias("ignored"),
+        F.col("h.dropped.duplicates_removed").alias("duplicates_removed"), F.col("h.failed").alias("failed"),
+    )
 
 
 _AGREED = "CASE WHEN agreed IS NOT NULL AND contains(agreed, ',') THEN concat('{0}', replace(agreed, ',', '{1}'), '{2}') ELSE '' END"
@@ -199,13 +228,17 @@ _EVENT_SEV = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN
 _EVENT_REPO = "concat('repo', CAST(user_id % 7 AS STRING))"
 
 
-def _event_findings(spark, sf_dir, streaming: bool = True) -> DataFrame:
-    """Events as findings with a time; read as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    if streaming:
-        events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    else:
-        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The events as a stream of files, be the table one file or a folder of them."""
+    path = f"{sf_dir}/events.parquet"
+    given = spark.read.parquet(path)
+    stream = spark.readStream.schema(given.schema)
+    if os.path.basename(os.path.dirname(given.inputFiles()[0])) == "events.parquet":
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _as_findings(events: DataFrame) -> DataFrame:
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return make_findings(
         rows, ["ts"], repo=F.expr(_EVENT_REPO), tool=F.lit("bandit"), rule_id=F.expr(_EVENT_RULE),
@@ -214,12 +247,20 @@ def _event_findings(spark, sf_dir, streaming: bool = True) -> DataFrame:
     )
 
 
-def _run(spark, stream: DataFrame) -> DataFrame:
-    out, state = _scratch(spark), _scratch(spark)
-    job = J.run_to_files(stream, out, state)
+def _event_findings(spark, sf_dir, streaming: bool = True) -> DataFrame:
+    """Events as findings with a time; read as a stream of files."""
+    return _as_findings(_event_stream(spark, sf_dir) if streaming else spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _finish(job) -> None:
     job.awaitTermination()
     if job.exception() is not None:
         raise job.exception()
+
+
+def _run(spark, stream: DataFrame) -> DataFrame:
+    out, state = _scratch(spark), _scratch(spark)
+    _finish(J.run_to_files(stream, out, state))
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -257,21 +298,90 @@ def stream_gate(spark, sf_dir):
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+_TOOLS = ["semgrep", "eslint", "bandit", "gitleaks", "trufflehog", "npm-audit", "pip-audit", "trivy"]
+#: What each tool's payload below says, in the order of ``_TOOLS``: rule, severity, category, message.
+_SAID = [
+    ("concat('rule.', event_type)", "high", "injection", "event_type"),
+    ("'security/detect-eval-with-expression'", "high", "injection", "event_type"),
+    ("concat('B102 (', event_type, ')')", "high", "injection", "event_type"),
+    ("event_type", "high", "secrets", "concat(event_type, '.')"),
+    ("concat('trufflehog.', event_type)", "critical", "secrets", "concat('Confirmed ', event_type, ' secret (***).')"),
+    ("concat('npm-audit.', event_type)", "low", "dependency-cve", "concat('Package \"', event_type, '\" is vulnerable.')"),
+    ("'PYSEC-1'", "medium", "dependency-cve", "concat('PYSEC-1 affects \"', event_type, '\" 1.')"),
+    ("'DS002'", "medium", "iac-misconfig", "concat(event_type, ': m')"),
+]
+
+
 @query(
-    """SELECT concat('repo', CAST(user_id AS STRING)) AS repo, 'bandit' AS tool, concat('B102 (', event_type, ')') AS rule_id,
- 'high' AS severity, 'injection' AS category, event_type AS message FROM events"""
+    " UNION ALL ".join(
+        f"SELECT concat('repo', CAST(user_id AS STRING)) AS repo, '{tool}' AS tool, {rule} AS rule_id, '{severity}' AS severity,"
+        f" '{category}' AS category, {message} AS message FROM events WHERE event_id % 8 = {n}"
+        for n, (tool, (rule, severity, category, message)) in enumerate(zip(_TOOLS, _SAID, strict=True))
+    )
 )
 def stream_reports(spark, sf_dir):
-    """A stream of report payloads through the batch readers."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    result = F.struct(
-        F.lit("B102").alias("test_id"), F.col("event_type").alias("test_name"), F.col("event_type").alias("issue_text"),
-        F.lit("HIGH").alias("issue_severity"),
-    )
-    reports = events.select(
-        F.concat(F.lit("repo"), F.col("user_id")).alias("repo"), F.lit("bandit").alias("tool"),
-        F.to_json(F.struct(F.array(result).alias("results"))).alias("payload"),
-    )
-    found = J.findings_from(reports, ["bandit"])
-    return _run(spark, found.select("repo", "tool", "rule_id", "severity", "category", "message"))
+    """A stream of report payloads of all eight tools through the batch readers, one source for all of them."""
+    t = F.col("event_type")
+    lit = lambda **texts: F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in texts.items()])
+    extra = F.struct(t.alias("message"), F.lit("ERROR").alias("severity"), lit(category="injection").alias("metadata"))
+    payloads = [
+        F.struct(F.array(lit(check_id=F.concat(F.lit("rule."), t), path="a.py", extra=extra)).alias("results")),
+        F.array(lit(filePath="a.js", messages=F.array(lit(ruleId="security/detect-eval-with-expression", message=t)))),
+        F.struct(F.array(lit(test_id="B102", test_name=t, issue_text=t, issue_severity="HIGH")).alias("results")),
+        F.array(lit(RuleID=t, File="a.env", Description=t)),
+        lit(DetectorName=t, Verified="true", Redacted="***"),
+        F.struct(F.create_map(t, F.struct(F.lit("low").alias("severity"), F.array().cast("array<string>").alias("via"))).alias("vulnerabilities")),
+        F.struct(F.array(lit(name=t, version="1", vulns=F.array(lit(id="PYSEC-1", severity="medium")))).alias("dependencies")),
+        F.struct(F.array(lit(Target="x", Misconfigurations=F.array(lit(ID="DS002", Severity="MEDIUM", Title=t, Message="m")))).alias("Results")),
+    ]
+    kind = F.col("event_id") % 8
+    payload, tool = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, made in enumerate(payloads):
+        payload, tool = F.when(kind == n, F.to_json(made)).otherwise(payload), F.when(kind == n, F.lit(_TOOLS[n])).otherwise(tool)
+    events = _event_stream(spark, sf_dir)
+    reports = events.select(F.concat(F.lit("repo"), F.col("user_id")).alias("repo"), tool.alias("tool"), payload.alias("payload"))
+    out = _scratch(spark)
+    _finish(J.reports_to_files(reports, out, _scratch(spark)))
+    return spark.read.parquet(out).select("repo", "tool", "rule_id", "severity", "category", "message")
+
+
+def _parts(spark, sf_dir) -> list[DataFrame]:
+    """The events in four parts by time, so that a stream of them has several triggers."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    part = F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(4))
+    return [events.filter(part == n) for n in range(4)]
+
+
+@query(
+    f"""SELECT repo, issue, list_value('low', 'medium', 'high', 'critical')[max(o)] AS severity FROM (
+ SELECT {_EVENT_REPO} AS repo, CASE WHEN event_id % 3 = 0 THEN concat({_EVENT_FILE}, '::*::injection::', {_EVENT_RULE})
+  ELSE concat({_EVENT_FILE}, '::', CAST(event_id % 3 AS STRING), '::injection') END AS issue,
+  CASE {_EVENT_SEV} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS o FROM events) AS e GROUP BY 1, 2"""
+)
+def stream_escalations(spark, sf_dir):
+    """The standing of every issue after four triggers: the severity of its last row, which is that of the batch."""
+    folder = _scratch(spark)
+    for part in _parts(spark, sf_dir):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = J.escalations(_as_findings(stream), delay="60 days")
+    out = _run(spark, rows)
+    worst = F.max(S.severity_ord("severity"))
+    return out.groupBy("repo", "issue").agg(S.severity_name(worst).alias("severity"))
+
+
+@query(
+    f"""SELECT repo, count(DISTINCT fingerprint) AS new_findings, bool_or(event_type = 'error') AS failed FROM (
+ SELECT {_EVENT_REPO} AS repo, {_EVENT_PRINT} AS fingerprint, event_type FROM events) AS e GROUP BY repo"""
+)
+def stream_baseline(spark, sf_dir):
+    """A baseline fed by four triggers, restarted after two; all gates together."""
+    folder, out, state = _scratch(spark), _scratch(spark), _scratch(spark)
+    parts = _parts(spark, sf_dir)
+    for some in (parts[:2], parts[2:]):
+        for part in some:
+            part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        _finish(J.feed_baseline(_as_findings(stream), out, state))
+    gates = J.batch_gates(spark.read.parquet(out))
+    return gates.groupBy("repo").agg(F.sum("new_findings").alias("new_findings"), F.bool_or("failed").alias("failed"))

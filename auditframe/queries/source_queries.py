@@ -484,6 +484,8 @@ def _mixed_reports(spark, sf_dir) -> DataFrame:
         F.when(F.col("seq") == 1, F.lit(2)).otherwise(F.lit(0)).alias("exit_code"),
         (F.col("rule_id") == "R9").alias("timed_out"),
         (F.col("rule_id") == "R8").alias("not_found"),
+        F.concat(F.lit("1."), F.col("seq").cast("string")).alias("version"),
+        (F.col("seq") * 10).alias("duration_ms"),
     )
 
 
@@ -494,12 +496,12 @@ _STATUS = (
 
 
 @query(
-    f"""WITH runs AS (SELECT repo, {_TOOL_CASE} AS tool, {_STATUS} AS status,
+    f"""WITH runs AS (SELECT repo, {_TOOL_CASE} AS tool, {_STATUS} AS status, seq,
  CASE WHEN seq <= 2 THEN 0 WHEN repo_key % 4 = 1 THEN 2 ELSE 1 END AS n FROM findings_raw),
 ranked AS (SELECT repo, tool, max(CASE status WHEN 'ok' THEN 0 WHEN 'skipped' THEN 1 WHEN 'timeout' THEN 2 ELSE 3 END) AS worst,
- count(*) AS reports, CAST(sum(n) AS BIGINT) AS findings FROM runs GROUP BY 1, 2)
+ count(*) AS reports, CAST(sum(n) AS BIGINT) AS findings, max(concat('1.', CAST(seq AS STRING))) AS version, CAST(sum(seq * 10) AS BIGINT) AS duration_ms FROM runs GROUP BY 1, 2)
 SELECT repo, tool, list_value('ok', 'skipped', 'timeout', 'error')[worst + 1] AS status,
- list_value(NULL, 'not installed', 'timed out', 'exit code 2, unreadable output')[worst + 1] AS reason, reports, findings FROM ranked""",
+ list_value(NULL, 'not installed', 'timed out', 'exit code 2, unreadable output')[worst + 1] AS reason, reports, findings, version, duration_ms FROM ranked""",
     ["findings_raw"],
 )
 def analyzer_status(spark, sf_dir):

@@ -546,17 +546,23 @@ def report_status(reports: DataFrame) -> DataFrame:
 
 
 def analyzer_status(reports: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per repository and tool: worst status, reports and raw findings.
+    """Per repository and tool: worst status, reports and raw findings, version and milliseconds taken.
 
-    Both sides are counted before they meet, so the join sees one row per key.
+    ``reports`` may have the columns ``version`` and ``duration_ms``; without the first, the version is what a payload says of
+    itself. Both sides are counted before they meet, so the join sees one row per key.
     """
+    have = reports.columns
+    said = F.when(F.col("tool") == "semgrep", S.nonempty(F.get_json_object("payload", "$.version")))
+    version = F.coalesce(F.col("version"), said) if "version" in have else said
+    duration = F.col("duration_ms").cast("long") if "duration_ms" in have else F.lit(None).cast("long")
     worst = {"ok": 0, "skipped": 1, "timeout": 2, "error": 3}
     runs = (
         report_status(reports)
+        .withColumns({"__version": version, "__took": duration})
         .groupBy("repo", "tool")
         .agg(F.max(F.struct(S.lookup(F.col("status"), worst).alias("o"), F.col("status"), F.col("reason"))).alias("w"),
-             F.count("*").alias("reports"))
-        .select("repo", "tool", F.col("w.status").alias("status"), F.col("w.reason").alias("reason"), "reports")
+             F.count("*").alias("reports"), F.max("__version").alias("version"), F.sum("__took").alias("duration_ms"))
+        .select("repo", "tool", F.col("w.status").alias("status"), F.col("w.reason").alias("reason"), "reports", "version", "duration_ms")
     )
     found = findings.groupBy("repo", "tool").agg(F.count("*").alias("findings"))
     return runs.join(found, ["repo", "tool"], "left").withColumn("findings", F.coalesce("findings", F.lit(0)))

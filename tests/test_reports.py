@@ -4,6 +4,7 @@ import glob
 import json
 
 from auditframe.operators import dedup as D
+from auditframe.operators import profile as P
 from auditframe.plans import reports as R
 from auditframe.plans import scan as C
 from auditframe.sources import reports as X
@@ -57,30 +58,76 @@ def _issues(spark):
     return C.issues(make(spark, findings))
 
 
-def test_sarif_parts_are_complete_documents(spark):
-    shown = C.reported(_issues(spark))
-    one = [json.loads(r.document) for r in R.sarif_documents(shown).collect()]
-    many = [json.loads(r.document) for r in R.sarif_documents(shown, part_rows=5).collect()]
-    assert len(one) == 1 and len(many) > 2
-    for documents in (one, many):
-        assert sum(len(d["runs"][0]["results"]) for d in documents) == 21
-        for d in documents:
-            run = d["runs"][0]
-            ids = [r["id"] for r in run["tool"]["driver"]["rules"]]
-            assert len(ids) == len(set(ids)) and d["version"] == "2.1.0"
-            for result in run["results"]:
-                assert ids[result["ruleIndex"]] == result["ruleId"]
-                assert "auditframe/v1" in result["partialFingerprints"]
-    first = one[0]["runs"][0]["results"][0]
+def whole(lines):
+    """Lines of a report put together, one document per repository."""
+    texts = {}
+    for r in lines.orderBy(*R.LINE_ORDER).collect():
+        texts.setdefault(r.repo, []).append(r.text)
+    return {repo: json.loads("\n".join(t)) for repo, t in texts.items()}
+
+
+def _many_issues(spark):
+    """A third of all findings in one repository, in more partitions than one, and a repository without any."""
+    rows = [(f"r{i % 40 if i % 3 else 'hot'}", "semgrep", f"R{i % 7}", ("high", "low", "critical")[i % 5 % 3], "injection", f"f{i % 11}.py", str(i), f"m{i}", "high") for i in range(900)]
+    return make(spark, rows).repartition(5)
+
+
+def test_positions_over_partitions(spark):
+    shown = C.reported(C.issues(_many_issues(spark)))
+    rows = R.with_positions(shown).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.repo, []).append(r)
+    assert len(rows) == 900 and max(len(x) for x in by.values()) == 300
+    for mine in by.values():
+        mine.sort(key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(len(mine)))
+        keys = [(-S_ORD[r.severity], r.file, r.line or 0) for r in mine]
+        assert keys == sorted(keys)
+
+
+S_ORD = {"critical": 4, "high": 3, "medium": 2, "low": 1}
+
+
+def test_sarif_is_one_document_per_repository(spark):
+    shown = C.reported(C.issues(_many_issues(spark)))
+    everyone = shown.select("repo").union(spark.createDataFrame([("quiet",)], "repo string"))
+    documents = whole(R.sarif_lines(shown, everyone))
+    assert documents["quiet"]["runs"][0]["results"] == [] and sum(len(d["runs"][0]["results"]) for d in documents.values()) == 900
+    for d in documents.values():
+        run = d["runs"][0]
+        ids = [r["id"] for r in run["tool"]["driver"]["rules"]]
+        used = [r["ruleId"] for r in run["results"]]
+        assert ids == list(dict.fromkeys(used)) and d["version"] == "2.1.0"  # in order of first use
+        for result in run["results"]:
+            assert ids[result["ruleIndex"]] == result["ruleId"] and "auditframe/v1" in result["partialFingerprints"]
+    first = whole(R.sarif_lines(C.reported(_issues(spark))))["r"]["runs"][0]["results"][0]
     assert first["level"] == "error" and "region" not in first["locations"][0]["physicalLocation"]
 
 
 def test_json_document(spark):
     state = _issues(spark)
     shown, verdicts = C.reported(state), C.verdicts(state)
-    doc = json.loads(R.json_reports(shown, verdicts).first().document)
-    assert doc["failed"] and doc["summary"] == {"total": 21, "critical": 1, "high": 10, "medium": 0, "low": 10, "ai_relevant": 0}
-    assert [f["severity"] for f in doc["findings"]][:2] == ["critical", "high"] and "raw" not in doc["findings"][0]
+    doc = whole(R.json_lines(shown, verdicts))["r"]
+    levels = {"critical": 1, "high": 10, "medium": 0, "low": 10}
+    assert doc["failed"] and doc["summary"] == {"total": 21, "by_severity": levels, "by_category": {"dependency-cve": 1, "injection": 20}, "ai_relevant": 0}
+    assert [f["severity"] for f in doc["findings"]] == ["critical"] + ["high"] * 10 + ["low"] * 10 and "raw" not in doc["findings"][0]
+
+
+def test_json_says_what_ran_and_what_was_found_before(spark):
+    state = _issues(spark)
+    shown, verdicts = C.reported(state), C.verdicts(state)
+    listing = spark.createDataFrame([("r", "package.json", '{"engines": {"node": ">=18"}}'), ("r", "Dockerfile", "")], "repo string, path string, content string")
+    reports = spark.createDataFrame(
+        [("r", "semgrep", '{"version": "1.9"}', 0, 120), ("r", "bandit", "oops", 2, 30)], REPORTS + ", exit_code int, duration_ms int"
+    )
+    doc = whole(R.json_lines(shown, verdicts, P.repo_profile(listing), X.analyzer_status(reports, shown), P.node_constraint(listing),
+                             min_confidence="high", baseline=True))["r"]
+    assert doc["detection"]["stacks"] == ["node", "docker"] and doc["detection"]["node_constraint"] == ">=18 (package.json engines.node)"
+    assert [(t["tool"], t["status"], t["findings"], t.get("version"), t["duration_ms"]) for t in doc["analyzers"]] == [
+        ("bandit", "error", 0, None, 30), ("semgrep", "ok", 20, "1.9", 120),
+    ]
+    assert doc["baseline"] == {"new": 21, "known": 0} and doc["min_confidence"] == "high" and doc["min_confidence_filtered"] == 0
 
 
 def test_markdown_file_is_in_order(spark, tmp_path):
