@@ -377,19 +377,24 @@ class NearDuplicates:
         long = stored(long, "long")
         # Of each list, its largest component against the rest, and the rest among itself. Where the rest fits in a block,
         # as nearly everywhere, every row is dealt once.
-        counts = long.groupBy("token", "label").agg(F.count("*").alias("n"))
-        lists = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).select(
+        # as nearly everywhere, every row is dealt once. Lists with the same members, as the words of a passage make them, ask
+        # for the same pairs: one of them is enough. Members are told by their number and 128 bits of all their hashes.
+        both = lambda c: (F.bit_xor(c("one")).alias("one"), F.bit_xor(c("two")).alias("two"))
+        counts = long.groupBy("token", "label").agg(F.count("*").alias("n"), *both(lambda c: F.xxhash64("rid", F.lit(c))))
+        lists = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), *both(F.col))
+        lists = lists.filter(F.col("main.n") < F.col("n")).groupBy("n", "one", "two").agg(F.min("token").alias("token"), F.first("main").alias("main"))
+        lists = lists.select(
             "token", F.col("main.label").alias("main"),
             F.ceil(F.col("main.n") / MAIN_BLOCK).cast("int").alias("inside"),
             F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("outside"),
             (F.col("main.n") * F.ceil((F.col("n") - F.col("main.n")) / BLOCK)).alias("copies"),
-        ).filter("outside > 0")
+        )
         lists = stored(lists, "open")
         n_buckets = max(
             int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")),
             (lists.agg(F.sum("copies")).first()[0] or 0) // 200_000 + 1,
         )
-        mixed = long.drop("size").join(lists.drop("copies"), "token")
+        mixed = stored(long.drop("size").join(lists.drop("copies"), "token"), "mixed")
         block = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         pair = lambda kind, a, b: F.xxhash64("token", F.lit(kind), a, b)
