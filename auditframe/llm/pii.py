@@ -277,7 +277,7 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     base = F.filter(F.col(cand), lambda c: c["base"])
     more = F.array_sort(F.transform(F.filter(F.col(cand), lambda c: ~c["base"] & (score(c) > 0)), place))
     free = F.filter(more, lambda m: ~F.exists(F.col(post), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    none = F.filter(F.col(adds), lambda m: F.lit(False))
 
     def keep(kept: Column, m: Column) -> Column:
         last = F.element_at(kept, -1)
