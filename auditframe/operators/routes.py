@@ -15,6 +15,7 @@ from auditframe.functions import scalars as S
 from auditframe.operators.findings import concat_findings, make_findings
 from auditframe.operators.joins import salted_join
 from auditframe.session import durable
+from auditframe.sources.config import repo_lists
 from auditframe.sources.files import LINE_BREAK, listed
 from auditframe.sources.scanner import scanned
 
@@ -139,8 +140,9 @@ def route_facts(files: DataFrame) -> DataFrame:
 
 def routes(facts: DataFrame) -> DataFrame:
     """(repo, file, line, framework, method, route, guards)."""
-    return facts.select("repo", "file", F.inline_outer("routes")).filter(F.col("line").isNotNull()).select(
-        "repo", "file", "line", "framework", "method", F.col("path").alias("route"), "guards"
+    own = _own(facts)
+    return facts.select("repo", "file", *own, F.inline_outer("routes")).filter(F.col("line").isNotNull()).select(
+        "repo", "file", "line", "framework", "method", F.col("path").alias("route"), "guards", *own
     )
 
 
@@ -205,20 +207,49 @@ def file_signals(facts: DataFrame) -> DataFrame:
     return facts.select("repo", F.col("file").alias("path"), "helmet", "csp", "hsts", "rate_limit", "web_import")
 
 
-def is_auth_guard(name: Column, names: list[str]) -> Column:
+Names = list[str] | Column
+
+
+def with_lists(facts: DataFrame, config: DataFrame) -> DataFrame:
+    """Facts with the checker lists of their repository (``config`` from ``overlay_config``): columns ``cfg_<key>``."""
+    return salted_join(facts, repo_lists(config, "checkers"), ["repo"], ["file"])
+
+
+def _lists(facts: DataFrame, checks: dict[str, list[str]] | None) -> dict[str, Names]:
+    """Each list as literals, or the repository's own where facts carry one."""
+    plain = checks or default_checks()
+    own = lambda key: F.coalesce(F.col(f"cfg_{key}"), F.array(*[F.lit(v) for v in plain[key]]).cast("array<string>"))
+    return {key: own(key) if f"cfg_{key}" in facts.columns else values for key, values in plain.items()}
+
+
+def _own(facts: DataFrame) -> list[str]:
+    return [c for c in facts.columns if c.startswith("cfg_")]
+
+
+def _is_one(low: Column, names: Names) -> Column:
+    if isinstance(names, list):
+        return low.isin([n.lower() for n in names])
+    return F.exists(names, lambda n: F.lower(n) == low)
+
+
+def _has_one(low: Column, words: Names) -> Column:
+    if isinstance(words, list):
+        return S.contains_any(low, [w.lower() for w in words])
+    return F.exists(words, lambda w: F.contains(low, F.lower(w)))
+
+
+def is_auth_guard(name: Column, names: Names) -> Column:
     low = F.lower(name)
-    return low.isin([n.lower() for n in names]) | S.contains_any(low, V.AUTH_GUARD_WORDS)
+    return _is_one(low, names) | S.contains_any(low, V.AUTH_GUARD_WORDS)
 
 
-def is_limiter(name: Column, names: list[str]) -> Column:
-    return F.lower(name).isin([n.lower() for n in names])
+def is_limiter(name: Column, names: Names) -> Column:
+    return _is_one(F.lower(name), names)
 
 
-def is_sensitive(route: Column, method: Column, keywords: list[str]) -> Column:
+def is_sensitive(route: Column, method: Column, keywords: Names) -> Column:
     low = F.lower(route)
-    return S.contains_any(low, [k.lower() for k in keywords]) | (
-        method.isin(V.MUTATING_METHODS) & low.rlike(r"(^|/)api(/|$)")
-    )
+    return _has_one(low, keywords) | (method.isin(V.MUTATING_METHODS) & low.rlike(r"(^|/)api(/|$)"))
 
 
 def project_flags(facts: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
@@ -227,7 +258,7 @@ def project_flags(facts: DataFrame, checks: dict[str, list[str]] | None = None)
     Booleans are formed per file, so the exchange carries a few bytes per task
     and repository.
     """
-    cfg = checks or default_checks()
+    cfg = _lists(facts, checks)
     auth, limit = cfg["authMiddlewareNames"], cfg["rateLimitMiddlewareNames"]
     limited = F.exists("use_guards", lambda g: is_limiter(g, limit)) | F.exists(
         "routes", lambda r: F.exists(r["guards"], lambda g: is_limiter(g, limit))
@@ -250,15 +281,13 @@ def default_checks() -> dict[str, list[str]]:
 
 def missing_auth(facts: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
     """Sensitive routes without an auth guard, unless one covers the whole repository."""
-    cfg = checks or default_checks()
+    cfg = _lists(facts, checks)
     names = cfg["authMiddlewareNames"]
     open_routes = routes(facts).filter(
         is_sensitive(F.col("route"), F.col("method"), cfg["sensitivePathKeywords"])
         & ~F.exists("guards", lambda g: is_auth_guard(g, names))
     )
-    covered = (
-        global_guards(facts).filter(is_auth_guard(F.col("guard"), names)).select("repo").distinct()
-    )
+    covered = facts.filter(F.exists("use_guards", lambda g: is_auth_guard(g, names))).select("repo").distinct()
     left = salted_join(open_routes, covered, ["repo"], ["file", "line"], "left_anti")
     return make_findings(
         left,
@@ -282,11 +311,11 @@ def missing_auth(facts: DataFrame, checks: dict[str, list[str]] | None = None) -
 
 def missing_rate_limit(facts: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
     """Login-like routes of repositories in which no limiter appears anywhere."""
-    cfg = checks or default_checks()
+    cfg = _lists(facts, checks)
     hit = routes(facts).filter(
-        S.contains_any(F.lower("route"), [p.lower() for p in cfg["sensitiveRoutePatterns"]])
+        _has_one(F.lower("route"), cfg["sensitiveRoutePatterns"])
     )
-    limited = project_flags(facts, cfg).filter("rate_limit").select("repo")
+    limited = project_flags(facts, checks).filter("rate_limit").select("repo")
     left = salted_join(hit, limited, ["repo"], ["file", "line"], "left_anti")
     return make_findings(
         left,
@@ -338,7 +367,12 @@ def missing_headers(facts: DataFrame) -> DataFrame:
     )
 
 
-def check_findings(files: DataFrame, checks: dict[str, list[str]] | None = None) -> DataFrame:
-    """Findings of the three route checks; the files are read once."""
+def check_findings(files: DataFrame, checks: dict[str, list[str]] | None = None, config: DataFrame | None = None) -> DataFrame:
+    """Findings of the three route checks; the files are read once.
+
+    ``config`` (from ``overlay_config``) gives repositories lists of their own.
+    """
     facts = durable(route_facts(files))
+    if config is not None:
+        facts = durable(with_lists(facts, config))
     return concat_findings(missing_auth(facts, checks), missing_rate_limit(facts, checks), missing_headers(facts))

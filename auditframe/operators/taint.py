@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
 from auditframe.operators.findings import concat_findings, make_findings
+from auditframe.operators.joins import salted_join
 from auditframe.session import durable
+from auditframe.sources.config import repo_lists
 from auditframe.sources.files import LINE_BREAK, listed
 from auditframe.sources.scanner import scanned
 
@@ -185,7 +187,6 @@ JS_CALL = rf"({DOTTED})\s*+\({_ARGS}"
 JS_KEYWORDS = [
     "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "require", "import", "super",
 ]
-_ARG = "struct<src:boolean,tokens:array<string>>"
 _TAINT = "struct<v:string,o:string>"
 _JS_HIT = "struct<fn:int,line:int,callee:string,full:boolean,origin:string,via:string>"
 _JS_EDGE = "struct<fn:int,line:int,callee:string,arg:int,origin:string>"
@@ -208,10 +209,12 @@ def _without_calls(text: Column) -> Column:
     return text
 
 
-def _value(text: Column, source: str) -> Column:
-    """struct(src, tokens) of an expression: does it read input, which names does it use."""
+def _value(text: Column, source: Column) -> Column:
+    """struct(src, named, tokens) of an expression: does it read input, from what, and which names does it use."""
+    named = F.call_function("regexp_extract", text, source, F.lit(1))
     return F.struct(
-        text.rlike(source).alias("src"),
+        (named != "").alias("src"),
+        named.alias("named"),
         F.regexp_extract_all(text, F.lit(rf"(?:^|[^.\w$])({IDENT})"), F.lit(1)).alias("tokens"),
     )
 
@@ -292,11 +295,29 @@ def _calls(text: Column) -> Column:
     )
 
 
-def _facts(s: Column, config: dict[str, list[str]]) -> Column:
+Lists = dict[str, list[str] | Column]
+
+
+def _source_pattern(sources: list[str] | Column) -> Column:
+    """Any of the sources as a whole dotted name; none at all matches nothing."""
+    if isinstance(sources, list):
+        any_of = F.lit(S.any_literal(sources) if sources else "(?!)")
+    else:
+        quoted = F.transform(sources, lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E")))
+        any_of = F.when(F.size(sources) == 0, F.lit("(?!)")).otherwise(F.array_join(quoted, "|"))
+    return F.concat(F.lit(r"(?:^|[^.\w$])("), any_of, F.lit(r")(?![\w$])"))
+
+
+def _is_in(name: Column, names: list[str] | Column, last: bool = False) -> Column:
+    """Whether a callee is one of the names, or ends as one of them does."""
+    if isinstance(names, list):
+        return name.isin(sorted({x.rsplit(".", 1)[-1] for x in names}) if last else names)
+    return F.exists(names, lambda x: (S.last_segment(x) if last else x) == name)
+
+
+def _facts(s: Column, config: Lists) -> Column:
     """Everything about a statement that does not depend on what is tainted."""
-    source = rf"(?:^|[^.\w$])(?:{S.any_literal(config['sources'])})(?![\w$])"
-    sink_last = sorted({x.rsplit(".", 1)[-1] for x in config["sinks"]})
-    clean_last = sorted({x.rsplit(".", 1)[-1] for x in config["sanitizers"]})
+    source = _source_pattern(config["sources"])
     text = _without_strings(s["text"])
 
     def values(args: Column) -> Column:
@@ -308,10 +329,10 @@ def _facts(s: Column, config: dict[str, list[str]]) -> Column:
             lambda c: F.struct(
                 c["callee"].alias("callee"),
                 (
-                    (S.last_segment(c["callee"]).isin(sink_last) | c["callee"].isin(config["sinks"]))
-                    & ~S.last_segment(c["callee"]).isin(clean_last)
+                    (_is_in(S.last_segment(c["callee"]), config["sinks"], last=True) | _is_in(c["callee"], config["sinks"]))
+                    & ~_is_in(S.last_segment(c["callee"]), config["sanitizers"], last=True)
                 ).alias("sink"),
-                c["callee"].isin(config["sinks"]).alias("full"),
+                _is_in(c["callee"], config["sinks"]).alias("full"),
                 (~c["callee"].contains(".") & ~c["callee"].isin(JS_KEYWORDS)).alias("local"),
                 values(c["args"]).alias("args"),
             ),
@@ -361,8 +382,9 @@ def _flow(facts: Column) -> Column:
     )
 
     def origins(value: Column, tainted: Column) -> Column:
-        """array<struct<v, o>> feeding a value; input read in place has v = ''."""
-        direct = F.when(value["src"], F.array(F.struct(F.lit("").alias("v"), F.lit("").alias("o")))).otherwise(_no(_TAINT))
+        """array<struct<v, o>> feeding a value; for input read in place v is what it is read from, with a space in front."""
+        read = F.struct(F.concat(F.lit(" "), value["named"]).alias("v"), F.lit("").alias("o"))
+        direct = F.when(value["src"], F.array(read)).otherwise(_no(_TAINT))
         return F.concat(direct, F.filter(tainted, lambda t: F.array_contains(value["tokens"], t["v"])))
 
     def hits(x: Column, fn: Column, tainted: Column) -> Column:
@@ -523,13 +545,19 @@ def _exports(content: Column) -> Column:
 
 
 def js_models(
-    files: DataFrame, config: dict[str, list[str]] | None = None, max_bytes: int | None = None
+    files: DataFrame, config: dict[str, list[str]] | DataFrame | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """One small row per JS/TS file: functions, imports, exports, sink hits, call edges.
 
-    Files of any size are read unless ``max_bytes`` is given.
+    Files of any size are read unless ``max_bytes`` is given. ``config`` holds lists for all files, or is a table (from
+    ``overlay_config``) with lists of repositories' own; source text moves only if that table is too large to be sent to all tasks.
     """
-    config = config or default_taint()
+    lists: Lists = config if isinstance(config, dict) else default_taint()
+    own: list[str] = []
+    if isinstance(config, DataFrame):
+        files = salted_join(files, repo_lists(config, "taint"), ["repo"], ["path"])
+        own = [f"cfg_{key}" for key in lists]
+        lists = {k: F.coalesce(F.col(f"cfg_{k}"), F.array(*[F.lit(x) for x in v]).cast("array<string>")) for k, v in lists.items()}
     js = files.filter(listed(extensions=V.JS_EXTENSIONS))
     if max_bytes is not None:
         js = js.filter(F.octet_length("content") <= max_bytes)
@@ -539,6 +567,7 @@ def js_models(
         scanned(F.col("content"), "js", split=True)["statements"].alias("found"),
         _imports(F.col("content")).alias("imports"),
         _exports(F.col("content")).alias("exports"),
+        *own,
     ).withColumn("statements", _statements(F.col("found")))
     return parsed.select(
         "repo",
@@ -549,7 +578,7 @@ def js_models(
         ).alias("functions"),
         "imports",
         "exports",
-        _flow(F.transform("statements", lambda s: _facts(s, config))).alias("flow"),
+        _flow(F.transform("statements", lambda s: _facts(s, lists))).alias("flow"),
     )
 
 
@@ -664,12 +693,13 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return visited
 
 
-def js_taint(files: DataFrame, config: dict[str, list[str]] | None = None) -> DataFrame:
-    """(repo, file, line, callee, confidence, via, crossed) of JS/TS files.
+def js_taint(files: DataFrame, config: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
+    """(repo, file, line, callee, confidence, via, crossed, direct) of JS/TS files.
 
     Input used in the function that reads it: medium if the sink is named in
     full, else low. Input that arrives through a parameter: low. Per file, line
-    and sink name the more certain hit stays.
+    and sink name the more certain hit stays. ``via`` is the tainted name, or what input is read from, such as ``req.query``;
+    ``direct`` tells the second.
     """
     models = durable(js_models(files, config))
     hits = models.select("repo", "path", F.inline("flow.hits"))
@@ -697,12 +727,12 @@ def js_taint(files: DataFrame, config: dict[str, list[str]] | None = None) -> Da
     return both.groupBy("repo", F.col("path").alias("file"), "line", "last").agg(best).select(
         "repo", "file", "line", F.col("b.callee").alias("callee"),
         F.when(F.col("b.unsure"), F.lit("low")).otherwise(F.lit("medium")).alias("confidence"),
-        F.col("b.via").alias("via"), F.col("b.crossed").alias("crossed"),
+        F.ltrim("b.via").alias("via"), F.col("b.crossed").alias("crossed"), F.startswith(F.col("b.via"), F.lit(" ")).alias("direct"),
     )
 
 
-def js_taint_findings(files: DataFrame, config: dict[str, list[str]] | None = None) -> DataFrame:
-    reason = F.coalesce(F.concat(F.lit("the tainted name "), S.nonempty("via")), F.lit("user input"))
+def js_taint_findings(files: DataFrame, config: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
+    reason = F.when(F.col("direct"), F.concat(F.lit("user input ("), "via", F.lit(")"))).otherwise(F.concat(F.lit("the tainted name "), "via"))
     hits = js_taint(files, config).withColumn("category", S.sink_category(S.last_segment("callee")))
     return make_findings(
         hits,
@@ -725,5 +755,5 @@ def js_taint_findings(files: DataFrame, config: dict[str, list[str]] | None = No
     )
 
 
-def taint_findings(files: DataFrame, config: dict[str, list[str]] | None = None) -> DataFrame:
+def taint_findings(files: DataFrame, config: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
     return concat_findings(py_taint_findings(files), js_taint_findings(files, config))

@@ -158,6 +158,15 @@ FROM @@supplier JOIN (VALUES
 ) AS t(k, scope, name, val) ON s_suppkey % 4 = t.k
 """
 
+# Lists of checkers and flows that some repositories set for themselves.
+CHECK_CONFIG = """
+SELECT CONCAT('repo', CAST(s_suppkey AS STRING)) AS repo, t.scope AS scope, t.name AS name, t.val AS val
+FROM @@supplier JOIN (VALUES
+ (0,'checkers','authMiddlewareNames','Handler,doList'),(0,'taint','sources','req.query,paper'),(0,'taint','sinks','store,cp.exec'),
+ (1,'checkers','sensitivePathKeywords','health,invoices'),(1,'taint','sanitizers','exec'),(1,'checkers','sensitiveRoutePatterns','/orders')
+) AS t(k, scope, name, val) ON CAST((s_suppkey - s_suppkey % 5) / 5 AS BIGINT) % 3 = t.k
+"""
+
 # Rule submissions of many teams for catalogue checks.
 SUBMITTED_RULES = """
 SELECT CONCAT('rule-', CAST(p_partkey % 1000 AS STRING), CASE WHEN p_partkey % 50 = 3 THEN '' ELSE CONCAT('-', CAST(p_partkey AS STRING)) END) AS rule_id,
@@ -186,6 +195,7 @@ _NAMED = {
     "edges": EDGES,
     "repo_listing": REPO_LISTING,
     "user_config": USER_CONFIG,
+    "check_config": CHECK_CONFIG,
     "submitted_rules": SUBMITTED_RULES,
     "advisories": ADVISORIES,
 }

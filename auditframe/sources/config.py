@@ -59,6 +59,13 @@ def repo_settings(config: DataFrame) -> DataFrame:
     )
 
 
+def repo_lists(config: DataFrame, scope: str) -> DataFrame:
+    """(repo, cfg_<key> array<string>, ...): the lists of a scope that users set; null where a repository keeps the default."""
+    keys = [key for (s, key) in V.DEFAULT_CONFIG if s == scope]
+    own = config.filter((F.col("scope") == scope) & F.col("key").isin(keys) & F.col("overridden"))
+    return own.groupBy("repo").agg(*[F.max_by(F.when(F.col("key") == key, F.col("value")), F.col("key") == key).alias(f"cfg_{key}") for key in keys])
+
+
 def with_config_ignores(ignore_lines: DataFrame, config: DataFrame) -> DataFrame:
     """Ignore lists with the configuration's own ``ignore`` lines behind those of the file."""
     own = config.filter((F.col("scope") == "") & (F.col("key") == "ignore"))

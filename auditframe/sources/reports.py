@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import scalars as S
 from auditframe.operators.findings import concat_findings, make_findings
+from auditframe.operators.joins import salted_join
 from auditframe.sources.files import lines, listed
 
 ROTATE = "Revoke and replace this credential, then delete it from the files and the history; load it from a secret store."
@@ -269,10 +270,11 @@ def requirement_paths(listing: DataFrame, max_depth: int | None = None) -> DataF
     return found.groupBy("repo").agg(F.min("path").alias("manifest"))
 
 
-def _with_manifest(rows: DataFrame, manifests: DataFrame | None, default: str) -> DataFrame:
+def _with_manifest(rows: DataFrame, manifests: DataFrame | None, default: str, spread: str) -> DataFrame:
+    """With the manifest that a repository's rows are about; a repository with very many rows is spread by ``spread``."""
     if manifests is None:
         return rows.withColumn("manifest", F.lit(default))
-    return rows.join(manifests, "repo", "left").withColumn("manifest", F.coalesce("manifest", F.lit(default)))
+    return salted_join(rows, manifests, ["repo"], [spread]).withColumn("manifest", F.coalesce("manifest", F.lit(default)))
 
 
 def _affected(versions: Column) -> Column:
@@ -309,7 +311,7 @@ def read_npm_v7(reports: DataFrame, manifests: DataFrame | None = None) -> DataF
         )
         .withColumn("adv", F.explode_outer("firsts"))
     )
-    rows = _with_manifest(rows, manifests, "package.json")
+    rows = _with_manifest(rows, manifests, "package.json", "package")
     ghsa, listed_adv = S.ghsa_id("adv.url"), F.col("adv").isNotNull()
     by_package = F.concat(F.lit("npm-audit."), F.col("package"))
     return make_findings(
@@ -346,7 +348,7 @@ def read_npm_v6(reports: DataFrame, manifests: DataFrame | None = None) -> DataF
     )
     advisories = F.when(F.col("doc.vulnerabilities").isNull(), F.map_values("doc.advisories"))
     rows = _items(_parsed(reports, "npm-audit", schema), advisories, "adv")
-    rows = _with_manifest(rows, manifests, "package.json")
+    rows = _with_manifest(rows, manifests, "package.json", "adv")
     return make_findings(
         rows,
         repo="repo",
@@ -375,7 +377,7 @@ def read_pip_audit(reports: DataFrame, manifests: DataFrame | None = None) -> Da
         " fix_versions: array<string>, aliases: array<string>>>>"
     )
     rows = _items(_items(_list_or_field(reports, "pip-audit", item, "dependencies"), "items", "dep"), "dep.vulns", "vuln")
-    rows = _with_manifest(rows, manifests, "requirements.txt")
+    rows = _with_manifest(rows, manifests, "requirements.txt", "vuln")
     name = F.coalesce("dep.name", F.lit(""))
     aliases = F.when(
         F.size("vuln.aliases") > 0, F.concat(F.lit(" ("), F.array_join("vuln.aliases", ", "), F.lit(")"))
