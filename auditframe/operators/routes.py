@@ -160,7 +160,10 @@ def global_guards(facts: DataFrame) -> DataFrame:
 
 
 def _signals() -> list[Column]:
-    """helmet, csp, hsts, rate_limit, web_import of one file; needs ``content``, ``js`` and ``is_py``."""
+    """helmet, csp, hsts, rate_limit, web_import of one file; needs ``content``, ``js`` and ``is_py``.
+
+    Fixed values: the names of libraries, headers and decorators in the patterns below.
+    """
     content = F.col("content")
     code = F.array_join(F.transform("js.statements", lambda x: x["text"]), "\n")
     modules = F.concat(

@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
-# Check-side normalisation of the raw findings.
+# Check-side normalisation of the raw findings. Spellings of severities.
 _NORM = r"""
 SELECT repo_key, seq, repo, tool, rule_id,
  CASE WHEN lower(trim(severity_raw)) IN ('critical','crit') THEN 'critical'
@@ -31,6 +31,7 @@ FROM findings_raw
 """
 _SEV = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
 _CONF = "CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+# Folders of other people's code.
 _VENDORED = (
     "(list_has_any(string_split(file, '/'), ['node_modules','.venv','venv','vendor','site-packages',"
     "'bower_components','__pycache__','.git','.cache','.auditframe-cache','.pytest_cache','.mypy_cache','.tox',"
@@ -49,7 +50,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY repo, file, line, category, CASE
 """
 _BLOCKS = {
     "norm": (_NORM, ["findings_raw"]),
-    "clean": (f"SELECT * FROM norm WHERE NOT {_VENDORED}", ["norm"]),
     "merged": (_DEDUP.format(src="norm", sev=_SEV, conf=_CONF), ["norm"]),
 }
 
