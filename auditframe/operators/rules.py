@@ -8,7 +8,6 @@ span lines. No step shuffles.
 
 from __future__ import annotations
 
-import json
 import re
 from typing import NamedTuple
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
 from auditframe.operators.findings import make_findings
+from auditframe.session import durable
 from auditframe.sources.files import lines, statement_lines
 from auditframe.sources.scanner import scanned
 
@@ -154,9 +154,7 @@ def scan_rules(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     return out
 
 
-#: Rules searched for in one pass: their index goes with the plan, so it is bounded whatever the table holds.
-RULES_PER_PASS = 5_000
-_WORDS = "[^A-Za-z0-9_$]+"
+_WORD = "[A-Za-z0-9_$]+"
 
 
 def whole_words(needle: str, pattern: str) -> list[str]:
@@ -181,52 +179,74 @@ _RULE_ROW = (
 )
 
 
+#: Rules that one task numbers and lists, so that a long table is spread over tasks.
+RULES_PER_PASS = 5_000
+#: Tasks that statements are dealt to where an alternative of a rule has no whole word to be found by.
+WORDLESS_SALTS = 16
+_RULE_FIELDS = ["rule_id", "severity", "category", "confidence", "pattern", "needles"]
+
+
+def _words_of(text: Column) -> Column:
+    """Distinct words of a text; a dollar sign belongs to a word and bounds it, as patterns see it."""
+    found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    with_dollar = F.concat(found, F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    return F.array_distinct(F.when(text.contains("$"), with_dollar).otherwise(found))
+
+
 def scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Hits of the rules of a table (columns of ``table_of_rules``) of any length, as ``scan_rules`` gives them.
 
     Words of the rules make an inverted index: each alternative of a rule is listed under the rarest of its words, counted over
-    the files. A file's own words fetch the rules to try, so what a file costs grows with the rules that may match,
-    not with the table. An alternative without a whole word is tried on every file of its language. Files are read once to
-    count and once per ``RULES_PER_PASS`` rules to scan.
+    the files. A statement's own words are joined with it, so what a statement costs grows with the rules that may match,
+    not with the table. An alternative without a whole word is tried on every statement of its language. Files are read
+    once to count and once to scan, however many rules there are.
     """
-    out = None
-    numbered = rules.select(*[F.col(c) for c in ("rule_id", "language", "severity", "category", "confidence", "pattern", "needles", "words")])
-    passes = max(1, -(-rules.count() // RULES_PER_PASS))
-    for number in range(passes):
-        held = numbered.filter(F.pmod(F.xxhash64("rule_id", "language", "pattern"), F.lit(passes)) == number)
-        block = sorted((r.asDict() for r in held.collect()), key=lambda r: (r["rule_id"], r["language"], r["pattern"]))
-        for language in sorted({r["language"] for r in block}):
-            mine = [r for r in block if r["language"] == language]
-            hits = _scan_block(files.filter(language_of() == language), language, mine)
-            out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else files.limit(0).select("repo", "path", F.lit(0).alias("line"), F.inline(F.array(_rule_struct(LINE_RULES[0]))))
-
-
-def _scan_block(files: DataFrame, language: str, rules: list[dict]) -> DataFrame:
-    words = sorted({w for r in rules for alternative in r["words"] for w in alternative})
-    own = F.array_distinct(F.split("content", _WORDS))
-    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
-    common: dict[str, int] = {}
-    if any(len(a) > 1 for r in rules for a in r["words"]):  # with one word each there is nothing to choose
-        found = files.select(F.explode(F.array_intersect(own, constant(words, "array<string>"))).alias("word"))
-        common = {r["word"]: r["count"] for r in found.groupBy("word").count().collect()}  # at most one row a word
-    index: dict[str, list[int]] = {}
-    for n, r in enumerate(rules):
-        for alternative in r["words"]:
-            key = min(alternative, key=lambda w: (common.get(w, 0), w)) if alternative else ""
-            index.setdefault(key, []).append(n)
-    listed_under = constant(index, "map<string,array<int>>")
-    keys = F.array_union(F.array_intersect(own, constant(sorted(index), "array<string>")), F.array(F.lit("")))
-    tried = F.array_distinct(F.flatten(F.transform(keys, lambda w: F.coalesce(F.try_element_at(listed_under, w), F.array().cast("array<int>")))))
-    fields = ["rule_id", "severity", "category", "confidence", "pattern", "needles"]
-    known = constant([{f: r[f] for f in fields} for r in rules], "array<struct<" + ",".join(f"{f}:{'array<string>' if f == 'needles' else 'string'}" for f in fields) + ">>")
-    rows = files.select("repo", "path", "content", tried.alias("tried")).filter(F.size("tried") > 0)
-    rows = rows.select("repo", "path", "tried", F.inline(scanned(F.col("content"), language)["statements"]))
-    rows = rows.select("repo", "path", "line", "text", F.explode("tried").alias("n")).withColumn("rule", F.get(known, F.col("n")))
-    text = F.col("text")
-    found = F.exists("rule.needles", lambda needle: F.contains(text, needle)) & F.rlike(text, F.col("rule.pattern"))
-    hit = found & _outside_strings(text, F.col("rule.needles"))
-    return rows.filter(hit).select("repo", "path", "line", *[F.col(f"rule.{f}") for f in fields[:4]])
+    dealt = rules.select("language", "words", *_RULE_FIELDS).repartition(max(1, -(-rules.count() // RULES_PER_PASS)))
+    numbered = durable(dealt.withColumn("__n", F.monotonically_increasing_id()))
+    asked = [r["language"] for r in numbered.select("language").filter(F.col("language").isin(list(LANGUAGE_EXTENSIONS))).distinct().collect()]
+    if not asked:
+        return files.limit(0).select("repo", "path", F.lit(0).alias("line"), F.inline(F.array(_rule_struct(LINE_RULES[0]))))
+    index, wordless = _rule_index(files, numbered)
+    text, rows = F.col("text"), None
+    for language in sorted(asked):
+        found = statement_lines(files.filter(language_of() == language), language).withColumn("language", F.lit(language))
+        rows = found if rows is None else rows.unionByName(found)
+    keys = _words_of(text)
+    if wordless:
+        salt = F.pmod(F.xxhash64("repo", "path", "line"), F.lit(WORDLESS_SALTS))
+        keys = F.array_append(keys, F.concat(F.lit(" "), salt.cast("string")))
+    tried = rows.select("*", F.explode(keys).alias("__key")).join(index, ["language", "__key"])
+    # A rule is tried once a statement: by the first of its words that is there.
+    first = (F.size("earlier") == 0) | ~F.arrays_overlap(_words_of(text), F.col("earlier"))
+    found = F.exists("needles", lambda needle: F.contains(text, needle)) & F.rlike(text, F.col("pattern"))
+    hit = found & first & _outside_strings(text, F.col("needles"))
+    return tried.filter(hit).select("repo", "path", "line", *_RULE_FIELDS[:4])
+
+
+def _rule_index(files: DataFrame, rules: DataFrame) -> tuple[DataFrame, bool]:
+    """Rules by the keys they are listed under, with the keys of a rule before each, and whether any has no word.
+
+    Rules without a word for some alternative stand under a blank and a number, once for each.
+    """
+    alternatives = rules.select("language", "__n", F.explode("words").alias("words")).withColumn("words", F.array_remove("words", ""))
+    any_with = lambda cond: not alternatives.filter(cond).isEmpty()
+    several, wordless = F.size("words") > 1, any_with(F.size("words") == 0)
+    keyed = alternatives.filter(~several).select("__n", F.coalesce(F.get("words", F.lit(0)), F.lit(" ")).alias("key"))
+    if any_with(several):  # with one word each there is nothing to choose
+        choices = alternatives.filter(several).withColumn("__alternative", F.monotonically_increasing_id())
+        choices = durable(choices.select("language", "__n", "__alternative", F.explode("words").alias("key")))
+        known = files.select(language_of().alias("language"), "content").filter(F.col("language").isNotNull())
+        own = known.select("language", F.explode(_words_of(F.col("content"))).alias("key"))
+        common = own.join(choices.select("language", "key").distinct(), ["language", "key"], "left_semi").groupBy("language", "key").count()
+        ranked = choices.join(common, ["language", "key"], "left").groupBy("__n", "__alternative")
+        rarest = ranked.agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "key")).alias("rarest"))
+        keyed = keyed.unionByName(rarest.select("__n", F.col("rarest.key").alias("key")))
+    blanks = F.transform(F.sequence(F.lit(0), F.lit(WORDLESS_SALTS - 1)), lambda i: F.concat(F.lit(" "), i.cast("string")))
+    listed_under = keyed.groupBy("__n").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    placed = rules.drop("words").join(listed_under, "__n").withColumn("blank", F.array_contains("keys", " "))
+    placed = placed.select("*", F.posexplode(F.when(F.col("blank"), blanks).otherwise(F.col("keys"))).alias("at", "__key"))
+    earlier = F.when(F.col("blank"), F.array().cast("array<string>")).otherwise(F.slice("keys", F.lit(1), F.col("at")))
+    return placed.select("language", "__key", *_RULE_FIELDS, earlier.alias("earlier")), wordless
 
 
 def scan_handlers(files: DataFrame) -> DataFrame:
@@ -237,7 +257,8 @@ def scan_handlers(files: DataFrame) -> DataFrame:
     """
     js = files.filter(S.extension("path").isin(V.JS_EXTENSIONS)).filter(F.col("content").rlike(r"\.\s*post\s*\("))
     calls = scanned(F.col("content"), "js", ("post",), HANDLER_CHECKED)["calls"]
-    found = js.select("repo", "path", calls.alias("calls")).select("repo", "path", F.inline("calls"))
+    # From the inner form the optimiser derives a filter that would scan every text a second time.
+    found = js.select("repo", "path", calls.alias("calls")).select("repo", "path", F.inline_outer("calls")).filter(F.col("line").isNotNull())
     args = F.filter("args", lambda a: a != "")  # a comma may stand behind the last
     judged = found.withColumn("args", args).filter(
         (F.size("args") == 2)

@@ -200,6 +200,9 @@ _NAMED = {
     "advisories": ADVISORIES,
 }
 
+#: Inputs that hold a source text for each row of a table, and the column that it follows from.
+_WRITES_TEXT = {"code_files": ("part", "p_partkey"), "code_forms": ("part", "p_partkey")}
+
 
 def expand(sql: str) -> str:
     """Replace references to other inputs by their text."""
@@ -222,6 +225,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _table(spark, sf_dir, name)
     sql = expand(_NAMED[name])
     used = {t: _table(spark, sf_dir, t) for t in set(re.findall(r"@@(\w+)", sql))}
+    if name in _WRITES_TEXT:
+        # Few bytes of keys become much text, which is slow to read: without this, one task would read all that
+        # comes from one file of keys.
+        table, key = _WRITES_TEXT[name]
+        used[table] = used[table].select(key).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     for table, df in used.items():
         df.createOrReplaceTempView(f"given_{table}")
     return spark.sql(re.sub(r"@@(\w+)", r"given_\1", sql))

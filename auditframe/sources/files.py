@@ -80,7 +80,8 @@ def statement_lines(files: DataFrame, language: str, keys: list[str] | None = No
     """One row per statement of files in one language; the number is that of its first line, comments are gone."""
     keys = keys or ["repo", "path"]
     found = files.select(*keys, scanned(F.col(text), language)["statements"].alias("statements"))
-    return found.select(*keys, F.inline("statements"))
+    # From the inner form the optimiser derives a filter that would scan every text a second time.
+    return found.select(*keys, F.inline_outer("statements")).filter(F.col("line").isNotNull())
 
 
 def json_lines(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
