@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions import scalars as S
-from auditframe.operators.joins import salted_join
+from auditframe.operators.joins import SPREAD
 
 ISSUE = ["repo", "file", "line", "category", "issue_rule"]
 SPOT = [*ISSUE, "rule_id", "tool"]
@@ -22,11 +22,11 @@ def with_issue_rule(findings: DataFrame) -> DataFrame:
     return findings.withColumn("issue_rule", F.when(F.col("line").isNull(), F.col("rule_id")))
 
 
-def _candidate(columns: list[str]) -> Column:
-    """Struct ordered from best to worst: confidence, severity, then a total order over all columns."""
+def _candidate(columns: list[str], keys: list[str]) -> Column:
+    """Struct ordered from best to worst: confidence, severity, then a total order over all columns but the keys, which are equal."""
     rank = S.confidence_ord("confidence") * 10 + S.severity_ord("severity")
-    first = ["tool", "rule_id", "message", "file"]
-    rest = [c for c in columns if c not in first]
+    first = [c for c in ("tool", "rule_id", "message", "file") if c not in keys]
+    rest = [c for c in columns if c not in (*first, *keys)]
     return F.struct((-rank).alias("__rank"), *first, *rest)
 
 
@@ -65,21 +65,23 @@ def reduce_groups(findings: DataFrame, keys: list[str], stages: list[str] | None
     counts = [
         F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("__n"))), F.lit(0)).alias(f"n_{s}") for s in stages or []
     ]
+    tool_is_key = "tool" in keys and not stages
     grouped = rows.groupBy(*keys).agg(
-        F.min(live(_candidate(columns))).alias("best"),
+        F.min(live(_candidate(columns, keys))).alias("best"),
         F.max(live(F.col("__top"))).alias("__top"),
         F.sum(live(F.col("__n"))).alias("__n"),
-        F.collect_set(live(F.col("tool"))).alias("tools"),
+        *([] if tool_is_key else [F.collect_set(live(F.col("tool"))).alias("tools")]),
         F.array_distinct(F.flatten(F.collect_set(live(F.col("__agreed"))))).alias("__agreed"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(live(F.col("__links")))))).alias("__links"),
         *counts,
     )
-    united = F.array_union("tools", "__agreed")
+    tools = F.array_compact(F.array("tool")) if tool_is_key else F.col("tools")
+    united = F.array_union(tools, "__agreed")
     # A key without a live row still names its place, so its counts find their repository.
-    shown = [F.coalesce(F.col("best")[c], F.col(c)).alias(c) if c in keys else F.col("best")[c].alias(c) for c in columns]
+    shown = [F.col(c) if c in keys else F.col("best")[c].alias(c) for c in columns]
     return grouped.select(
         *shown,
-        *([F.col("issue_rule")] if "issue_rule" in keys else []),
+        *[F.col(c) for c in ("issue_rule", SPREAD) if c in keys],
         "__top", F.coalesce("__n", F.lit(0)).alias("__n"), united.alias("__agreed"), "__links",
         *[f"n_{s}" for s in stages or []],
     )
@@ -93,13 +95,14 @@ def collapse_copies(findings: DataFrame) -> DataFrame:
     return reduce_groups(findings, SPOT)
 
 
-def merge_issues(findings: DataFrame, stages: list[str] | None = None) -> DataFrame:
+def merge_issues(findings: DataFrame, stages: list[str] | None = None, spread: bool = False) -> DataFrame:
     """Final reduction to one row per issue.
 
     A group of one row is untouched. A larger one takes its best candidate,
     the group's highest severity, the sorted tools and the united links.
+    With ``spread`` rows carry a ``SPREAD`` that follows from their issue and keep it.
     """
-    merged = reduce_groups(findings, ISSUE, stages)
+    merged = reduce_groups(findings, [*ISSUE, SPREAD] if spread else ISSUE, stages)
     many = F.col("__n") > 1
     out = merged.withColumn("severity", F.when(many, S.severity_name("__top")).otherwise(F.col("severity")))
     if "agreed_tools" not in out.columns:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
-from auditframe.operators.joins import salted_join
+from auditframe.operators.joins import SPREAD, SPREADS, salted_join, spread_of
 from auditframe.sources.files import LINE_BREAK
 
 # Fixed value: directive grammar; group 1 is the scope, group 2 the ids.
@@ -70,10 +70,26 @@ def directive_hits() -> Column:
     )
 
 
+def _dealt(directives: DataFrame) -> DataFrame:
+    """Directives by the ``SPREAD`` of the findings they may cover: those of a line go to one, those of a file to all.
+
+    Every file has a row for each, without directives if none may cover.
+    """
+    covering = lambda i: F.filter("directives", lambda d: (d["line"] == 0) | (spread_of(d["line"]) == i))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SPREADS - 1)), lambda i: F.struct(i.alias(SPREAD), covering(i).alias("directives")))
+    return directives.select("repo", "file", F.inline_outer(parts))
+
+
 def mark_inline(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Add ``inline_suppressed``. Rows of one hot file are spread over several tasks."""
+    """Add ``inline_suppressed``. Rows of one hot file are spread over several tasks.
+
+    A ``SPREAD`` that findings carry is ``spread_of("line", ...)``, where what follows is null if there is a line.
+    """
     directives = file_directives(files).withColumnRenamed("path", "file")
-    joined = salted_join(findings, directives, ["repo", "file"], ["line", "rule_id", "tool", "message"])
+    if SPREAD in findings.columns:
+        joined = findings.join(_dealt(directives), ["repo", "file", SPREAD], "left")
+    else:
+        joined = salted_join(findings, directives, ["repo", "file"], ["line", "rule_id", "tool", "message"])
     return joined.withColumn("inline_suppressed", directive_hits()).drop("directives")
 
 
