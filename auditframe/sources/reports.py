@@ -220,8 +220,9 @@ def read_trufflehog(reports: DataFrame) -> DataFrame:
         f" SourceMetadata struct<Data: struct<Filesystem: {source}, Git: {source}, Directory: {source}>>"
     )
     # Broken lines parse to nothing but nulls and leave with the other lines
-    # that name neither detector nor source. Exploding keeps the parse in one place.
-    texts = lines(reports.filter((F.col("tool") == "trufflehog") & (F.col("payload") != "")), ["repo"], "payload")
+    # that name neither detector nor source. Exploding keeps the parse in one place. Empty payloads leave as lines, since
+    # a filter on payloads would make each of them a second time where they are derived.
+    texts = lines(reports.filter(F.col("tool") == "trufflehog"), ["repo"], "payload")
     texts = texts.filter(F.col("text").contains("{"))
     recs = texts.select("repo", F.explode(F.array(F.from_json(S.strip("text"), schema))).alias("rec"))
     recs = recs.filter(S.nonempty("rec.DetectorName").isNotNull() | F.col("rec.SourceMetadata").isNotNull())

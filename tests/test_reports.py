@@ -3,6 +3,8 @@
 import glob
 import json
 
+from pyspark.sql import functions as F
+
 from auditframe.operators import dedup as D
 from auditframe.operators import profile as P
 from auditframe.plans import reports as R
@@ -162,3 +164,14 @@ def test_findings_table_replaces_only_its_run_date(spark, tmp_path):
     C.write_findings(shown.limit(1), path, "2024-01-02")
     counts = spark.read.parquet(path).groupBy("run_date").count()
     assert rows(counts.selectExpr("CAST(run_date AS STRING) d", "count"), "d", "count") == [("2024-01-01", 21), ("2024-01-02", 1)]
+
+
+def test_trufflehog_payloads_are_made_once(spark, capsys):
+    """A payload that is derived is not derived again for a filter; empty and missing ones give nothing."""
+    record = '{"DetectorName": "d", "Raw": "abcdefgh", "SourceMetadata": {"Data": {"Git": {"file": "a.py", "line": 3}}}}'
+    rows = [("r", record), ("r", ""), ("r", None), ("s", "{broken\n\n" + record)]
+    raw = spark.createDataFrame(rows, "repo string, said string")
+    found = X.read_trufflehog(raw.select("repo", F.lit("trufflehog").alias("tool"), F.reverse(F.reverse("said")).alias("payload")))
+    found.explain()
+    assert capsys.readouterr().out.count("reverse(reverse(") == 1
+    assert sorted(tuple(r) for r in found.select("repo", "rule_id", "file", "line").collect()) == [(r, "trufflehog.d", "a.py", 3) for r in ("r", "s")]
