@@ -23,14 +23,19 @@ def salted_join(
     spread: list[str | Column],
     how: str = "left",
     salts: int = SALTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Join ``left`` with a much smaller ``right``, spreading every key over ``salts`` tasks.
 
     ``right`` is repeated once per salt. The salt of a left row is a hash of its
     ``spread`` columns, so a retried task gives every row the same salt again.
     If ``right`` turns out small, adaptive execution broadcasts it instead.
+    With ``tasks`` the joined rows are that many tasks' work, however few bytes they have.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
     salted_right = right.withColumn(_SALT, copies)
-    return left.withColumn(_SALT, salt).join(salted_right, [*on, _SALT], how).drop(_SALT)
+    salted_left = left.withColumn(_SALT, salt)
+    if tasks is not None:
+        salted_left = salted_left.repartition(tasks, *on, _SALT)
+    return salted_left.join(salted_right, [*on, _SALT], how).drop(_SALT)

@@ -203,20 +203,27 @@ def _without_strings(text: Column) -> Column:
 
 def _without_calls(text: Column) -> Column:
     """Drop call results (they count as clean) and unwrap plain parentheses."""
-    for _ in range(3):
-        text = F.regexp_replace(text, rf"{DOTTED}\s*+\([^()]*+\)", " ")
-        text = F.regexp_replace(text, r"\(([^()]*+)\)", " $1 ")
-    return text
+
+    def dropped(t: Column) -> Column:
+        for _ in range(3):
+            t = F.regexp_replace(t, rf"{DOTTED}\s*+\([^()]*+\)", " ")
+            t = F.regexp_replace(t, r"\(([^()]*+)\)", " $1 ")
+        return t
+
+    return _let(text, lambda t: F.when(t.contains("("), dropped(t)).otherwise(t))
 
 
 def _value(text: Column, source: Column) -> Column:
     """struct(src, named, tokens) of an expression: does it read input, from what, and which names does it use."""
-    named = F.call_function("regexp_extract", text, source, F.lit(1))
-    return F.struct(
-        (named != "").alias("src"),
-        named.alias("named"),
-        F.regexp_extract_all(text, F.lit(rf"(?:^|[^.\w$])({IDENT})"), F.lit(1)).alias("tokens"),
-    )
+
+    def described(t: Column, named: Column) -> Column:
+        return F.struct(
+            (named != "").alias("src"),
+            named.alias("named"),
+            F.regexp_extract_all(t, F.lit(rf"(?:^|[^.\w$])({IDENT})"), F.lit(1)).alias("tokens"),
+        )
+
+    return _let(text, lambda t: _let(F.call_function("regexp_extract", t, source, F.lit(1)), lambda n: described(t, n)))
 
 
 def _names(text: Column, keep_positions: bool) -> Column:
@@ -251,7 +258,7 @@ def _statements(found: Column) -> Column:
         params = F.concat(*[F.regexp_extract(text, JS_HEADER, g) for g in (3, 4, 5)])
         return (
             F.when(
-                text.rlike(JS_HEADER),
+                (text.contains("=>") | text.contains("function")) & text.rlike(JS_HEADER),
                 F.array(piece(pre, line), piece(F.regexp_extract(text, JS_HEADER, 6), line, name, _names(params, True))),
             )
             .when(
@@ -274,7 +281,7 @@ def _calls(text: Column) -> Column:
     """array<struct<callee, args>> of a statement, nested calls included."""
 
     def level(t: Column) -> Column:
-        return F.regexp_extract_all(t, F.lit(JS_CALL), F.lit(0))
+        return F.when(t.contains("("), F.regexp_extract_all(t, F.lit(JS_CALL), F.lit(0))).otherwise(_no("string"))
 
     def inside(found: Column) -> Column:
         return F.array_join(F.transform(found, lambda c: F.regexp_extract(c, JS_CALL, 2)), " ; ")
@@ -315,57 +322,76 @@ def _is_in(name: Column, names: list[str] | Column, last: bool = False) -> Colum
     return F.exists(names, lambda x: (S.last_segment(x) if last else x) == name)
 
 
-def _facts(s: Column, config: Lists) -> Column:
-    """Everything about a statement that does not depend on what is tainted."""
-    source = _source_pattern(config["sources"])
-    text = _without_strings(s["text"])
+def _facts(s: Column, config: Lists, source: Column) -> Column:
+    """Everything about a statement that does not depend on what is tainted; ``source`` is the pattern of what is input.
+
+    Lambdas are interpreted, and a value named twice in one is computed twice: texts and matches are bound first.
+    """
 
     def values(args: Column) -> Column:
         return F.transform(F.split(_without_calls(args), ",", -1), lambda a: _value(a, source))
 
-    calls = F.filter(
-        F.transform(
-            _calls(text),
-            lambda c: F.struct(
-                c["callee"].alias("callee"),
-                (
-                    (_is_in(S.last_segment(c["callee"]), config["sinks"], last=True) | _is_in(c["callee"], config["sinks"]))
-                    & ~_is_in(S.last_segment(c["callee"]), config["sanitizers"], last=True)
-                ).alias("sink"),
-                _is_in(c["callee"], config["sinks"]).alias("full"),
-                (~c["callee"].contains(".") & ~c["callee"].isin(JS_KEYWORDS)).alias("local"),
-                values(c["args"]).alias("args"),
+    def sink(callee: Column, last: Column) -> Column:
+        return (_is_in(last, config["sinks"], last=True) | _is_in(callee, config["sinks"])) & ~_is_in(last, config["sanitizers"], last=True)
+
+    def calls(text: Column) -> Column:
+        sorted_out = F.filter(
+            F.transform(
+                _calls(text),
+                lambda c: F.struct(
+                    c["callee"].alias("callee"),
+                    _let(S.last_segment(c["callee"]), lambda last: sink(c["callee"], last)).alias("sink"),
+                    _is_in(c["callee"], config["sinks"]).alias("full"),
+                    (~c["callee"].contains(".") & ~c["callee"].isin(JS_KEYWORDS)).alias("local"),
+                    c["args"].alias("args"),
+                ),
             ),
-        ),
-        lambda c: c["sink"] | c["local"],
-    )
-    destructured, each, counter = text.rlike(JS_DESTRUCTURE), text.rlike(JS_EACH), text.rlike(JS_COUNTER)
-    unpacked = F.when(each, F.regexp_extract(text, JS_EACH, 2)).otherwise(F.regexp_extract(text, JS_DESTRUCTURE, 1))
-    named = F.when(each, F.regexp_extract(text, JS_EACH, 1)).otherwise(F.regexp_extract(text, JS_COUNTER, 1))
-    rhs = (
-        F.when(each, F.regexp_extract(text, JS_EACH, 3))
-        .when(counter, F.regexp_extract(text, JS_COUNTER, 2))
-        .when(destructured, F.regexp_extract(text, JS_DESTRUCTURE, 2))
-        .otherwise(F.regexp_extract(text, JS_ASSIGN, 3))
-    )
+            lambda c: c["sink"] | c["local"],
+        )
+        return F.transform(sorted_out, lambda c: c.withField("args", values(c["args"])))
 
-    def count(ch: str) -> Column:
+    def count(text: Column, ch: str) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
-    return F.struct(
-        s["line"].alias("line"),
-        s["header"].alias("header"),
-        s["params"].alias("params"),
-        (count("{") - count("}")).alias("braces"),
-        F.when((each | counter) & (named != ""), F.array(named))
-        .when(each | (destructured & ~counter), _names(unpacked, False))
-        .when(text.rlike(JS_ASSIGN), F.array(F.regexp_extract(text, JS_ASSIGN, 1)))
-        .otherwise(_no("string"))
-        .alias("vars"),
-        (((each | counter) & (named != "")) | (~each & ~destructured & (F.regexp_extract(text, JS_ASSIGN, 2) == "="))).alias("replaces"),
-        _value(_without_calls(rhs), source).alias("value"),
-        calls.alias("calls"),
-    )
+    def kinds(text: Column) -> Column:
+        loop, value = text.contains("for"), text.contains("=")
+        return F.struct(
+            (loop & text.rlike(JS_EACH)).alias("each"), (loop & text.rlike(JS_COUNTER)).alias("counter"),
+            (value & text.rlike(JS_DESTRUCTURE)).alias("destructured"), (value & text.rlike(JS_ASSIGN)).alias("assigned"),
+        )
+
+    def facts(text: Column, kind: Column) -> Column:
+        each, counter, destructured, assigned = (kind[k] for k in ("each", "counter", "destructured", "assigned"))
+        unpacked = F.when(each, F.regexp_extract(text, JS_EACH, 2)).otherwise(F.regexp_extract(text, JS_DESTRUCTURE, 1))
+        named = (
+            F.when(each, F.regexp_extract(text, JS_EACH, 1))
+            .when(counter, F.regexp_extract(text, JS_COUNTER, 1))
+            .otherwise(F.lit(""))
+        )
+        rhs = (
+            F.when(each, F.regexp_extract(text, JS_EACH, 3))
+            .when(counter, F.regexp_extract(text, JS_COUNTER, 2))
+            .when(destructured, F.regexp_extract(text, JS_DESTRUCTURE, 2))
+            .when(assigned, F.regexp_extract(text, JS_ASSIGN, 3))
+            .otherwise(F.lit(""))
+        )
+        binds = F.when(each | counter, named != "").otherwise(F.lit(False))
+        return F.struct(
+            s["line"].alias("line"),
+            s["header"].alias("header"),
+            s["params"].alias("params"),
+            (count(text, "{") - count(text, "}")).alias("braces"),
+            F.when(binds, F.array(named))
+            .when(each | (destructured & ~counter), _names(unpacked, False))
+            .when(assigned, F.array(F.regexp_extract(text, JS_ASSIGN, 1)))
+            .otherwise(_no("string"))
+            .alias("vars"),
+            (binds | (assigned & ~each & ~destructured & (F.regexp_extract(text, JS_ASSIGN, 2) == "="))).alias("replaces"),
+            _value(_without_calls(rhs), source).alias("value"),
+            calls(text).alias("calls"),
+        )
+
+    return _let(_without_strings(s["text"]), lambda text: _let(kinds(text), lambda kind: facts(text, kind)))
 
 
 def _flow(facts: Column) -> Column:
@@ -458,14 +484,19 @@ def _flow(facts: Column) -> Column:
 
         return _let(open_frame(acc, x), in_frame)
 
-    end = F.aggregate(facts, start, step)
-    return F.struct(end["hits"].alias("hits"), end["edges"].alias("edges"))
+    return F.aggregate(facts, start, step, lambda end: F.struct(end["hits"].alias("hits"), end["edges"].alias("edges")))
+
+
+def _matches(content: Column, pattern: str) -> Column:
+    """Every match of a pattern about imports or exports; a text without the word is not searched."""
+    word = next(w for w in ("export", "import", "require") if w in pattern)
+    return F.when(~content.contains(word), _no("string")).otherwise(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)))
 
 
 def _pairs(content: Column, pattern: str, first: int, second: int | None, fixed: str | None = None) -> Column:
     """array<struct<a, b>> from two groups of every match; ``fixed`` replaces the second."""
     return F.transform(
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
+        _matches(content, pattern),
         lambda m: F.struct(
             F.regexp_extract(m, pattern, first).alias("a"),
             (F.lit(fixed) if second is None else F.regexp_extract(m, pattern, second)).alias("b"),
@@ -489,7 +520,7 @@ def _listed_pairs(content: Column, pattern: str, separator: str, tail: int | Non
 
     return F.flatten(
         F.transform(
-            F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
+            _matches(content, pattern),
             lambda m: F.filter(
                 F.transform(F.split(F.regexp_extract(m, pattern, 1), ",", -1), lambda i: entry(m, i)),
                 lambda e: e["a"] != "",
@@ -553,11 +584,15 @@ def js_models(
     ``overlay_config``) with lists of repositories' own; source text moves only if that table is too large to be sent to all tasks.
     """
     lists: Lists = config if isinstance(config, dict) else default_taint()
-    own: list[str] = []
+    own: list[Column] = []
+    source = _source_pattern(lists["sources"])
     if isinstance(config, DataFrame):
-        files = salted_join(files, repo_lists(config, "taint"), ["repo"], ["path"])
-        own = [f"cfg_{key}" for key in lists]
-        lists = {k: F.coalesce(F.col(f"cfg_{k}"), F.array(*[F.lit(x) for x in v]).cast("array<string>")) for k, v in lists.items()}
+        # Little text is much work here: by its bytes alone it would be left to a few tasks.
+        n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        files = salted_join(files, repo_lists(config, "taint"), ["repo"], ["path"], tasks=n)
+        merged = {k: F.coalesce(F.col(f"cfg_{k}"), F.array(*[F.lit(x) for x in v]).cast("array<string>")) for k, v in lists.items()}
+        own = [*[c.alias(f"cfg_{k}") for k, c in merged.items()], _source_pattern(merged["sources"]).alias("__source")]
+        lists, source = {k: F.col(f"cfg_{k}") for k in lists}, F.col("__source")
     js = files.filter(listed(extensions=V.JS_EXTENSIONS))
     if max_bytes is not None:
         js = js.filter(F.octet_length("content") <= max_bytes)
@@ -578,7 +613,7 @@ def js_models(
         ).alias("functions"),
         "imports",
         "exports",
-        _flow(F.transform("statements", lambda s: _facts(s, lists))).alias("flow"),
+        _flow(F.transform("statements", lambda s: _facts(s, lists, source))).alias("flow"),
     )
 
 
