@@ -73,11 +73,12 @@ def directive_hits() -> Column:
 def _dealt(directives: DataFrame) -> DataFrame:
     """Directives by the ``SPREAD`` of the findings they may cover: those of a line go to one, those of a file to all.
 
-    Every file has a row for each, without directives if none may cover.
+    A file has no row for a spread in which none may cover: the join that follows keeps findings without a partner.
     """
     covering = lambda i: F.filter("directives", lambda d: (d["line"] == 0) | (spread_of(d["line"]) == i))
     parts = F.transform(F.sequence(F.lit(0), F.lit(SPREADS - 1)), lambda i: F.struct(i.alias(SPREAD), covering(i).alias("directives")))
-    return directives.select("repo", "file", F.inline_outer(parts))
+    covered = F.filter(parts, lambda p: F.size(p["directives"]) > 0)
+    return directives.select("repo", "file", F.inline(covered))
 
 
 def mark_inline(findings: DataFrame, files: DataFrame) -> DataFrame:
