@@ -25,6 +25,8 @@ JS_METHODS = ["get", "post", "put", "delete", "patch", "all", "head", "options"]
 JS_GUARD = r"^(?:[A-Za-z_$][\w$]*(?:\(\)|\[\])*\s*\??\.\s*)*([A-Za-z_$][\w$]*)(?:\(\))*$"
 PY_DECORATED_ROUTE = r"@\s*[\w.]+\.(route|get|post|put|delete|patch)\s*\("
 PY_DEF = r"^(async\s+)?def\s+"
+#: Found in every text that calls ``use``, whatever white space is around it; linear in the text.
+JS_USES = r"\.[^\w.(]*+use[^\w.(]*+\("
 WEB_FRAMEWORK = r"(?i)^(express|fastify|koa|flask|django|@hapi)"
 _ROUTE_TYPE = "array<struct<framework:string,method:string,path:string,line:int,guards:array<string>>>"
 
@@ -117,18 +119,22 @@ def _decorated(content: Column) -> Column:
     return F.aggregate(numbered, start, step)["found"]
 
 
-def route_facts(files: DataFrame) -> DataFrame:
+def route_facts(files: DataFrame, guards_only: bool = False) -> DataFrame:
     """One small row per analysed file: routes, global guards and signals.
 
     Source text is read once and does not go any further; routes, flags and
-    all three checks are derived from these rows.
+    all three checks are derived from these rows. With ``guards_only`` the rows
+    are for ``global_guards`` alone: texts that never call ``use`` are not scanned.
     """
     content, is_py = F.col("content"), F.col("is_py")
     rows = files.filter(listed(extensions=V.JS_EXTENSIONS + V.PY_EXTENSIONS)).withColumn(
         "is_py", S.extension("path").isin(V.PY_EXTENSIONS)
     )
-    rows = rows.withColumn("js", scanned(F.when(~is_py, content), "js", (*JS_METHODS, "use")))
+    read = ~is_py & content.rlike(JS_USES) if guards_only else ~is_py
+    rows = rows.withColumn("js", scanned(F.when(read, content), "js", (*JS_METHODS, "use")))
     py = F.when(content.rlike(PY_DECORATED_ROUTE), _decorated(content)).otherwise(F.array().cast(_ROUTE_TYPE))
+    if guards_only:
+        return rows.select("repo", F.col("path").alias("file"), _js_guards(F.col("js.calls")).alias("use_guards"))
     return rows.select(
         "repo",
         F.col("path").alias("file"),

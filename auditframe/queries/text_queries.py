@@ -196,7 +196,7 @@ def routes_js(spark, sf_dir):
 
 @query(f"WITH {_JS_ROUTES} SELECT repo, guard FROM global_guards", ["code_files"])
 def guards_global(spark, sf_dir):
-    return T.global_guards(T.route_facts(IN.code_files(spark, sf_dir)))
+    return T.global_guards(T.route_facts(IN.code_files(spark, sf_dir), guards_only=True))
 
 
 # Gaps and islands: a line that is neither decorator, blank nor comment ends a run.
