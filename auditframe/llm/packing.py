@@ -22,8 +22,8 @@ from auditframe.llm.words import slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Words, and parts of words, whose ids a process remembers in each of two generations.
-REMEMBERED = 600_000
+#: Words, and parts of words, whose ids a process remembers in each of two generations. Workers keep them between stages.
+REMEMBERED = 100_000
 _LONGEST_REMEMBERED = 64
 
 

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at a time; a longer text is worked on alone.
-SLICE_BYTES = 1 << 20
+#: Bytes of text worked on at a time; a longer text is worked on alone. Working arrays take up to fifty times that.
+SLICE_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -1,5 +1,6 @@
 """Packing: ids as the library gives them, complete slots, few sequences."""
 
+import sys
 import zlib
 from collections import defaultdict
 
@@ -85,3 +86,12 @@ def test_query(spark, sf_dir, name):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     n, tokens = check(queries.QUERIES[name](spark, sf_dir).collect(), texts)
     assert n <= -(-tokens // 4096) + 1
+
+
+def test_remembered_words_hold_little_memory():
+    held = packing._Remembered()
+    for lo in range(0, 500_000, 1000):
+        _, new = held.known(f"word{i}" for i in range(lo, lo + 1000))
+        held.add({w: bytes(8) for w in new})
+    sizes = [sys.getsizeof(g) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in g.items()) for g in (held.young, held.old)]
+    assert sum(sizes) < 48e6
