@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions import scalars as S
-from auditframe.operators.joins import SPREAD
+from auditframe.operators.joins import SPREAD, TASK
 
 ISSUE = ["repo", "file", "line", "category", "issue_rule"]
-SPOT = [*ISSUE, "rule_id", "tool"]
+# The rule of an issue without a line follows from the others.
+SPOT = [*(c for c in ISSUE if c != "issue_rule"), "rule_id", "tool"]
 
 
 def with_issue_rule(findings: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def reduce_groups(findings: DataFrame, keys: list[str], stages: list[str] | None
     shown = [F.col(c) if c in keys else F.col("best")[c].alias(c) for c in columns]
     return grouped.select(
         *shown,
-        *[F.col(c) for c in ("issue_rule", SPREAD) if c in keys],
+        *[F.col(c) for c in ("issue_rule", SPREAD, TASK) if c in keys],
         "__top", F.coalesce("__n", F.lit(0)).alias("__n"), united.alias("__agreed"), "__links",
         *[f"n_{s}" for s in stages or []],
     )
@@ -100,9 +101,10 @@ def merge_issues(findings: DataFrame, stages: list[str] | None = None, spread: b
 
     A group of one row is untouched. A larger one takes its best candidate,
     the group's highest severity, the sorted tools and the united links.
-    With ``spread`` rows carry a ``SPREAD`` that follows from their issue and keep it.
+    With ``spread`` rows carry a ``SPREAD`` that follows from their issue, maybe its ``TASK`` too, and keep them.
     """
-    merged = reduce_groups(findings, [*ISSUE, SPREAD] if spread else ISSUE, stages)
+    place = [c for c in (SPREAD, TASK) if spread and c in findings.columns]
+    merged = reduce_groups(findings, [*ISSUE, *place], stages)
     many = F.col("__n") > 1
     out = merged.withColumn("severity", F.when(many, S.severity_name("__top")).otherwise(F.col("severity")))
     if "agreed_tools" not in out.columns:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditframe import vocabulary as V
 from auditframe.functions import scalars as S
-from auditframe.operators.joins import SPREAD, SPREADS, salted_join, spread_of
+from auditframe.operators.joins import SPREAD, SPREADS, TASK, by_spread, in_file, salted_join, spread_of
 from auditframe.sources.files import LINE_BREAK
 
 # Fixed value: directive grammar; group 1 is the scope, group 2 the ids.
@@ -71,12 +71,12 @@ def directive_hits() -> Column:
 
 
 def _dealt(directives: DataFrame) -> DataFrame:
-    """Directives by the ``SPREAD`` of the findings they may cover: those of a line go to one, those of a file to all.
+    """Directives by the ``SPREAD`` of the findings they may cover: those of a line go to one, those of a file to all of that file.
 
     A file has no row for a spread in which none may cover: the join that follows keeps findings without a partner.
     """
     covering = lambda i: F.filter("directives", lambda d: (d["line"] == 0) | (spread_of(d["line"]) == i))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(SPREADS - 1)), lambda i: F.struct(i.alias(SPREAD), covering(i).alias("directives")))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SPREADS - 1)), lambda i: F.struct(in_file(i).alias(SPREAD), covering(i).alias("directives")))
     covered = F.filter(parts, lambda p: F.size(p["directives"]) > 0)
     return directives.select("repo", "file", F.inline(covered))
 
@@ -84,10 +84,12 @@ def _dealt(directives: DataFrame) -> DataFrame:
 def mark_inline(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``inline_suppressed``. Rows of one hot file are spread over several tasks.
 
-    A ``SPREAD`` that findings carry is ``spread_of("line", ...)``, where what follows is null if there is a line.
+    A ``SPREAD`` that findings carry is ``in_file(spread_of("line", ...))``, where what follows is null if there is a line.
     """
     directives = file_directives(files).withColumnRenamed("path", "file")
-    if SPREAD in findings.columns:
+    if TASK in findings.columns:
+        joined = findings.join(by_spread(_dealt(directives)), [TASK, "repo", "file", SPREAD], "left")
+    elif SPREAD in findings.columns:
         joined = findings.join(_dealt(directives), ["repo", "file", SPREAD], "left")
     else:
         joined = salted_join(findings, directives, ["repo", "file"], ["line", "rule_id", "tool", "message"])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions import scalars as S
-from auditframe.operators.joins import salted_join
+from auditframe.operators.joins import SPREAD, TASK, for_all_spreads, salted_join
 
 
 def parse_ignore_lines(ignore_lines: DataFrame) -> DataFrame:
@@ -100,8 +100,12 @@ def suppression_reason(file: str = "file", rule_id: str = "rule_id", category: s
 
 
 def mark_suppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
-    """Add ``suppressed_by``; kept rows have null. The hot repository's rows are salted."""
-    joined = salted_join(findings, compile_suppressions(suppressions), ["repo"], ["file", "rule_id", "line", "message"])
+    """Add ``suppressed_by``; kept rows have null. The hot repository's rows are salted, where they lie if they are laid out by ``TASK``."""
+    lists = compile_suppressions(suppressions)
+    if TASK in findings.columns:
+        joined = findings.join(for_all_spreads(lists), [TASK, "repo", SPREAD], "left")
+    else:
+        joined = salted_join(findings, lists, ["repo"], ["file", "rule_id", "line", "message"])
     return joined.withColumn("suppressed_by", suppression_reason()).drop(
         "path_runs", "rule_regex", "ignored_categories"
     )

@@ -382,12 +382,12 @@ final AS (SELECT p.*, CASE WHEN {_ASSERT_NOISE} THEN 'test-assert' WHEN confiden
 _CHAIN_USES = ["norm", "ignore_lines", "directive_files"]
 
 
-def _chain(spark, sf_dir):
+def _chain(spark, sf_dir, **how):
     rows = IN.findings(spark, sf_dir, ["repo_key"])
     baseline = D.build_baseline(rows.filter(F.col("repo_key") % 2 == 0))
     return C.issues(
         rows.drop("repo_key"), IN.load(spark, sf_dir, "ignore_lines"), IN.load(spark, sf_dir, "directive_files"),
-        min_confidence="medium", baseline=baseline,
+        min_confidence="medium", baseline=baseline, **how,
     )
 
 
@@ -457,7 +457,7 @@ def fleet_scan_configured(spark, sf_dir):
 @query(_CHAIN + f"SELECT {_CORE_SQL}, agreed AS agreed_tools FROM final WHERE {_SHOWN}", _CHAIN_USES)
 def reported_findings(spark, sf_dir):
     """The findings a report shows after the whole chain."""
-    out = C.reported(_chain(spark, sf_dir))
+    out = C.reported(_chain(spark, sf_dir, with_dropped=False))
     return out.select(*_CORE, F.array_join("agreed_tools", ",").alias("agreed_tools"))
 
 
