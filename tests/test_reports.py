@@ -175,3 +175,16 @@ def test_trufflehog_payloads_are_made_once(spark, capsys):
     found.explain()
     assert capsys.readouterr().out.count("reverse(reverse(") == 1
     assert sorted(tuple(r) for r in found.select("repo", "rule_id", "file", "line").collect()) == [(r, "trufflehog.d", "a.py", 3) for r in ("r", "s")]
+
+
+def test_sarif_rules_meet_every_block_of_a_report(spark, monkeypatch):
+    """A rule is dealt to the blocks that use it and to no fixed number of copies; results are the same."""
+    state = _issues(spark)
+
+    def results():
+        lines = R.sarif_lines(C.reported(state)).filter("section = 3").collect()
+        return sorted((r.place, json.loads(r.text.lstrip(","))["ruleIndex"]) for r in lines)
+
+    whole = results()
+    monkeypatch.setattr(R, "_BLOCK", 2)
+    assert results() == whole and len(whole) == 21
