@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,15 @@ def _quantiles(n: int) -> Column:
 
 
 def _splitters(quantiles: list[int]) -> list[int]:
-    """Bounds from quantiles. A key that fills a quantile and more gets a range of its own, so nothing shares its fate."""
-    repeated = [a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b]
-    return sorted({*quantiles, *(v + 1 for v in repeated if v < (1 << 63) - 1)} - {_LEAST})
+    """Bounds from quantiles. A key that fills a quantile and more gets a range of its own, so nothing shares its fate.
+
+    Quantiles of large keys are rounded to doubles, so such a range has all keys that round alike.
+    """
+    bounds = {*quantiles}
+    for v in {a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}:
+        off = 0 if v == _LEAST else int(math.ulp(float(v)) / 2)
+        bounds |= {max(v - off, _LEAST), min(v + off + 1, (1 << 63) - 1)}
+    return sorted(bounds - {_LEAST})
 
 
 def shard_records(

@@ -92,3 +92,9 @@ def test_query(spark):
 def test_buckets():
     assert sharding._splitters([1, 5, 5, 5, 9]) == [1, 5, 6, 9]
     assert sharding._splitters([sharding._LEAST, sharding._LEAST]) == [sharding._LEAST + 1]
+
+
+def test_a_large_hot_key_is_told_from_its_rounded_quantile():
+    for key in (9033949828089504547, -9033949828089504547, (1 << 62) + 300):
+        bounds = sharding._splitters([1, int(float(key)), int(float(key)), 1 << 61])
+        assert any(a <= key < b and b - a < 4096 for a, b in zip(bounds, bounds[1:], strict=False))
