@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,15 +47,9 @@ def _quantiles(n: int) -> Column:
 
 
 def _splitters(quantiles: list[int]) -> list[int]:
-    """Bounds from quantiles. A key that fills a quantile and more gets a range of its own, so nothing shares its fate.
-
-    Quantiles of large keys are rounded to doubles, so such a range has all keys that round alike.
-    """
-    bounds = {*quantiles}
-    for v in {a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}:
-        off = 0 if v == _LEAST else int(math.ulp(float(v)) / 2)
-        bounds |= {max(v - off, _LEAST), min(v + off + 1, (1 << 63) - 1)}
-    return sorted(bounds - {_LEAST})
+    """Bounds from quantiles. A key that fills a quantile and more gets a range of its own, so nothing shares its fate."""
+    repeated = [a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b]
+    return sorted({*quantiles, *(v + 1 for v in repeated if v < (1 << 63) - 1)} - {_LEAST})
 
 
 def shard_records(
@@ -119,11 +112,18 @@ def shard_records(
         return [tuple(r) for r in cuts.groupBy(part).agg(F.percentile_approx(column, _quantiles(pieces), 10_000)).collect()]
 
     bounds = sorted({*bounds, *(b for _, cut in overfull(k, bounds) for b in _splitters(cut))})
+    whole = F.col(own) <= max(1.0, total * WHOLE_SHARE / n_shards)
+    cuts = overfull(t, bounds)
     sub = F.lit(0)
-    for heavy, cut in overfull(t, bounds):
-        sub = F.when(F.col(part) == heavy, _bucket(F.col(t), sorted(set(cut)))).otherwise(sub)
+    for heavy, cut in cuts:
+        sub = F.when(F.col(part) == heavy, _bucket(F.col(at), sorted(set(cut)))).otherwise(sub)
     ranged = work.withColumn(part, _bucket(F.col(k), bounds))
-    ranged = ranged.withColumn(part, F.col(part).cast("long") * (n_ranges + 2) + sub)
+    if cuts:
+        # Quantiles of keys are rounded, so a heavy key may still share its range: the groups beside it go whole where their first tie goes.
+        beside = slim.withColumn(part, _bucket(F.col(k), bounds)).filter(F.col(part).isin([r for r, _ in cuts]))
+        sizes = beside.groupBy(k).agg(F.sum(w).alias(own), F.count("*").alias(base_n), F.min(t).alias(at))
+        ranged = ranged.join(sizes.filter(whole & (F.col(base_n) > 1)).select(k, at), k, "left").withColumn(at, F.coalesce(at, t))
+    ranged = ranged.withColumn(part, F.col(part).cast("long") * (n_ranges + 2) + sub).drop(at)
 
     # Where each range begins. The table has as many rows as there are ranges: bounded by the parameters.
     loads = ranged.groupBy(part).agg(F.sum(w).alias(base_w), F.count("*").alias(base_n))
@@ -138,7 +138,6 @@ def shard_records(
     inside = Window.partitionBy(part).orderBy(k, t, *plain)
     running = inside.rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(part, k)
-    whole = F.col(own) <= max(1.0, total * WHOLE_SHARE / n_shards)
     placed = (
         ranged.withColumn(before, F.coalesce(F.sum(w).over(running), F.lit(0)))
         .withColumn(at, F.row_number().over(inside).cast("long") - 1)

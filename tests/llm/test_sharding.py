@@ -94,7 +94,10 @@ def test_buckets():
     assert sharding._splitters([sharding._LEAST, sharding._LEAST]) == [sharding._LEAST + 1]
 
 
-def test_a_large_hot_key_is_told_from_its_rounded_quantile():
-    for key in (9033949828089504547, -9033949828089504547, (1 << 62) + 300):
-        bounds = sharding._splitters([1, int(float(key)), int(float(key)), 1 << 61])
-        assert any(a <= key < b and b - a < 4096 for a, b in zip(bounds, bounds[1:], strict=False))
+def test_groups_beside_a_heavy_key_stay_whole(spark, monkeypatch):
+    """A range that a heavy key shares with others is cut by ties, their groups are not."""
+    monkeypatch.setattr(sharding, "WHOLE_SHARE", 0.03)
+    monkeypatch.setattr(sharding, "_splitters", lambda quantiles: [])
+    rows = [(i, f"small {i % 40} " * 3, "x", 0) for i in range(120)] + [(10_000 + i, "hot text " * 9, "x", 1) for i in range(900)]
+    groups = judge(sharded(spark.createDataFrame(rows, SCHEMA), 6).collect(), rows, 6, whole=0.03)
+    assert len(groups["hot text " * 9]) > 2
